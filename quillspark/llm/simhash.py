@@ -15,9 +15,10 @@ pairs, so a bucket of thousands yields thousands of edges. Components come from
 large-star and small-star rounds, each written to the shared folder.
 
 Results by case. Null doc_id or text, and texts without a word: in no group, and kept.
-Repeated rows (same doc_id): one node, and one row is kept. Ties of the sum: bit 0. Ties
-between representatives: the least doc_id stays. Extra columns: ignored by groups, kept by
-keep_one. Empty tables: empty results.
+Repeated rows (same doc_id and text): one node, and one row is kept. A doc_id with several
+texts is one document that belongs to the groups of all of them. Ties of the sum: bit 0.
+The representative is the least doc_id. Extra columns: ignored by groups, kept by keep_one.
+Empty tables: empty results.
 """
 
 from __future__ import annotations
@@ -229,7 +230,13 @@ def groups(docs: DataFrame, radius: int = JOIN_RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = JOIN_RADIUS) -> DataFrame:
-    """docs with one row of each group: that of the least doc_id. Rows in no group stay, a doc_id repeated with the same text once."""
-    gone = groups(docs, radius).filter("doc_id <> group_id").select(F.col("doc_id").alias("qs_gone"))
-    left = docs.join(gone, docs["doc_id"] == gone["qs_gone"], "left_anti")
-    return left
+    """docs with one document of each group: the least doc_id's. Rows in no group stay; of rows that repeat a doc_id with its text one stays."""
+    gone = groups(docs, radius).filter("doc_id <> group_id").select(F.col("doc_id").alias("qs_id"))
+    left = docs.join(gone, docs["doc_id"] == gone["qs_id"], "left_anti")
+    twice = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("qs_id")).count().filter("count > 1").select("qs_id")
+    if twice.isEmpty():
+        return left
+    twice = stored(twice, "repeated")
+    order = Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*docs.columns))
+    repeated = left.join(twice, left["doc_id"] == twice["qs_id"], "left_semi").withColumn("qs_n", F.row_number().over(order)).filter("qs_n = 1").drop("qs_n")
+    return left.join(twice, left["doc_id"] == twice["qs_id"], "left_anti").unionByName(repeated)
