@@ -34,11 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR[0]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df written to the shared folder and read again, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    if partition_by:  # these come last when read
+        return spark.read.schema(df.schema).parquet(path).select(df.columns)
     return spark.read.schema(df.schema).parquet(path)
 
 
