@@ -1,10 +1,429 @@
-"""The named queries and the SQL that gives the same rows."""
+"""The named queries and the SQL that gives the same rows. Each runs over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from quillspark.functions.normalize import NormalizerConfig, denormalize, normalize, with_spacer
+from quillspark.functions.pretokenize import code_pretokenize, hybrid_code_pretokenize, normalized_chunks, pretokenize, simple_code_tokens
+from quillspark.functions.whitespace import SPACER, WS25_CLASS, WS29_CLASS, word_count, words
+from quillspark.model import Model, model_hash
+from quillspark.operators import metrics as M
+from quillspark.operators.encode import count_tokens, decode, encode, encode_ids, explain_function
+from quillspark.operators.training import base_vocabulary, may_merge, pair_counts, split_by_order, tokens_of, train_bpe, train_bpe_fast, train_fair_bpe, word_counts
+from quillspark.plans import oracle as O
+from quillspark.sources.corpus import manifest, synthetic_corpus
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Merges that the training queries learn; each is a step of their SQL.
+MERGES, FAIR_MERGES, WEIGHT = 20, 6, 0.3
+LANGS = ["de", "en", "es", "fr"]
+CONFIG = NormalizerConfig(form="NFC", spacer="PREFIX", chunking="GPT2")
+_MODELS: dict[tuple[str, str, str], Model] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select(*columns or ("doc_id", "lang", "text"))
+
+
+def model_of(spark: SparkSession, d: str) -> Model:
+    """The model of a folder's documents, learned once in a session."""
+    key = (spark.sparkContext.applicationId, d, "standard")
+    if key not in _MODELS:
+        _MODELS[key] = train_bpe(docs(spark, d, "doc_id", "text"), n_merges=MERGES, normalizer=CONFIG)
+    return _MODELS[key]
+
+
+def encoded(spark: SparkSession, d: str, model: Model | None = None) -> DataFrame:
+    return docs(spark, d).withColumn("tokens", encode(F.col("text"), model or model_of(spark, d)))
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# Counts of text
+
+@query("ws_word_count", f"SELECT doc_id, len({O.words('text')})::BIGINT AS n_words, len(text)::BIGINT AS n_chars, strlen(text)::BIGINT AS n_bytes FROM documents")
+def ws_word_count(spark, d):
+    return docs(spark, d, "doc_id", "text").select("doc_id", word_count(F.col("text")).alias("n_words"), F.length("text").cast("bigint").alias("n_chars"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+
+
+@query("corpus_manifest", f"SELECT lang, count(*) AS samples, coalesce(sum(len(text)), 0)::BIGINT AS chars, coalesce(sum(len({O.words('text')})), 0)::BIGINT AS words FROM documents GROUP BY lang")
+def corpus_manifest(spark, d):
+    return manifest(docs(spark, d, "lang", "text"))
+
+
+@query("corpus_rollup", "SELECT lang, source, count(*) AS samples, sum(len(text))::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang, source)")
+def corpus_rollup(spark, d):
+    return docs(spark, d, "lang", "source", "text").rollup("lang", "source").agg(F.count("*").alias("samples"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+
+
+@query("conversation_words", f"SELECT role, count(*) AS turns, sum(len({O.words('text')}))::BIGINT AS n_words FROM conversations GROUP BY role")
+def conversation_words(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").groupBy("role").agg(F.count("*").alias("turns"), F.sum(word_count(F.col("text"))).cast("bigint").alias("n_words"))
+
+
+# Normalisation
+
+def spaced(spacer: str) -> Query:
+    return lambda spark, d: docs(spark, d, "doc_id", "text").select("doc_id", with_spacer(F.col("text"), spacer).alias("text"))
+
+
+_MARKS = f"regexp_replace(text, '[{WS25_CLASS}]+', '{SPACER}', 'g')"
+query("spacer_prefix", f"SELECT doc_id, CASE WHEN text = '' THEN '' ELSE '{SPACER}' || {_MARKS} END AS text FROM documents")(spaced("PREFIX"))
+query("spacer_suffix", f"SELECT doc_id, regexp_replace(text, '([^{WS25_CLASS}]+)', '\\1{SPACER}', 'g') AS text FROM documents")(spaced("SUFFIX"))
+query("spacer_isolated", f"SELECT doc_id, {_MARKS} AS text FROM documents")(spaced("ISOLATED"))
+query("spacer_none", "SELECT doc_id, text FROM documents")(spaced("NONE"))
+
+
+@query("lowercase_nfc", "SELECT doc_id, lower(nfc_normalize(text)) AS text FROM documents")
+def lowercase_nfc(spark, d):
+    return docs(spark, d, "doc_id", "text").select("doc_id", normalize(F.col("text"), NormalizerConfig("NFC", "NONE", True)).alias("text"))
+
+
+@query("nfkc")
+def nfkc(spark, d):
+    return docs(spark, d, "doc_id", "text").select("doc_id", *[normalize(F.col("text"), NormalizerConfig(form, "NONE")).alias(form.lower()) for form in ("NFKC", "NFKD", "NFD")])
+
+
+_TRIM = f"regexp_replace(regexp_replace(text, '^[{WS29_CLASS}]+', ''), '[{WS29_CLASS}]+$', '')"
+
+
+@query("denormalize_roundtrip", f"SELECT doc_id, regexp_replace(text, '[{WS25_CLASS}]+', ' ', 'g') AS prefix, {_TRIM.replace('text,', 'replace(regexp_replace(text, ' + chr(39) + '([^' + WS25_CLASS + ']+)' + chr(39) + ', ' + chr(39) + chr(92) + '1 ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + SPACER + chr(39) + ', ' + chr(39) + ' ' + chr(39) + '),')} AS suffix FROM documents")
+def denormalize_roundtrip(spark, d):
+    """Texts to marks and back: PREFIX gives runs of whitespace as one space, SUFFIX adds a space to each word and strips."""
+    text, there = F.col("text"), lambda s: NormalizerConfig("NONE", s)
+    back = [denormalize(normalize(text, there(s)), there(s)).alias(s.lower()) for s in ("PREFIX", "SUFFIX")]
+    return docs(spark, d, "doc_id", "text").select("doc_id", *back)
+
+
+# Chunks
+
+def chunk_counts(chunks: Callable[[Column], Column]) -> Query:
+    return lambda spark, d: docs(spark, d, "doc_id", "text").select("doc_id", F.posexplode(chunks(F.col("text"))).alias("pos", "chunk"))
+
+
+def _positions(chunks: str) -> str:
+    return f"SELECT doc_id, (generate_subscripts(c, 1) - 1)::INT AS pos, unnest(c) AS chunk FROM (SELECT doc_id, {chunks} AS c FROM documents)"
+
+
+query("pretok_none", _positions("CASE WHEN text = '' THEN []::VARCHAR[] ELSE [text] END"))(chunk_counts(lambda t: pretokenize(t, "NONE")))
+query("pretok_whitespace", _positions(f"CASE WHEN text = '' THEN [''] ELSE regexp_extract_all(text, '[^{WS25_CLASS}]+|[{WS25_CLASS}]+') END"))(chunk_counts(lambda t: pretokenize(t, "WHITESPACE")))
+query("pretok_gpt2", _positions(O.gpt2("text")))(chunk_counts(lambda t: pretokenize(t, "GPT2")))
+query("code_pretok_v1")(chunk_counts(code_pretokenize))
+query("code_pretok_v1_compat")(chunk_counts(lambda t: code_pretokenize(t, True)))
+query("code_pretok_v2")(chunk_counts(hybrid_code_pretokenize))
+
+
+@query("pretok_simple_code", rf"SELECT page_id, (generate_subscripts(c, 1) - 1)::INT AS pos, unnest(c) AS token FROM (SELECT page_id, regexp_extract_all(html, '[><=!+-]=|[=-]>|//|<<|>>|&&|\|\||[a-zA-Z_][a-zA-Z0-9_]*|\p{{Nd}}+\.?\p{{Nd}}*|""[^""]*""|''[^'']*''|[^{WS29_CLASS}]') AS c FROM pages)".replace('""', '"'))
+def pretok_simple_code(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.posexplode(simple_code_tokens(F.col("html"))).alias("pos", "token"))
+
+
+# Counting for training
+
+@query("word_freq", f"WITH {O.CHUNKS} SELECT word, count(*) AS n FROM ch WHERE word <> '' GROUP BY word")
+def word_freq(spark, d):
+    return word_counts(docs(spark, d), CONFIG).select("word", "n")
+
+
+@query("word_freq_by_lang", f"WITH {O.CHUNKS} SELECT lang, word, count(*) AS n FROM ch GROUP BY lang, word")
+def word_freq_by_lang(spark, d):
+    return word_counts(docs(spark, d), CONFIG, ["lang"], keep_empty=True).select("lang", "word", "n")
+
+
+@query("base_vocab", f"WITH {O.CHUNKS} SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS token FROM ch")
+def base_vocab(spark, d):
+    return base_vocabulary(word_counts(docs(spark, d), CONFIG))
+
+
+_PAIRS = f"{O.CHUNKS}, w AS (SELECT word, count(*) AS n, min(struct_pack(d := doc_id, p := pos)) AS ord, regexp_extract_all(word, '(?s).') AS t FROM ch WHERE word <> '' GROUP BY word), x AS (SELECT n, ord, t, unnest(range(1, len(t))) AS k FROM w), pr AS (SELECT t[k] AS l, t[k + 1] AS r, sum(n)::BIGINT AS n, min(struct_pack(o := ord, k := k)) AS f FROM x GROUP BY 1, 2)"
+
+
+@query("pair_freq", f'WITH {_PAIRS} SELECT l AS "left", r AS "right", n FROM pr')
+def pair_freq(spark, d):
+    return pair_counts(tokens_of(word_counts(docs(spark, d), CONFIG))).select("left", "right", "n")
+
+
+@query("top_pairs", f"""WITH {_PAIRS} SELECT l AS "left", r AS "right", n FROM pr WHERE NOT contains(substr(l || r, 2), '{SPACER}') ORDER BY n DESC, f LIMIT 25""")
+def top_pairs(spark, d):
+    pairs = pair_counts(tokens_of(word_counts(docs(spark, d), CONFIG)))
+    return pairs.filter(may_merge(F.col("left"), F.col("right"))).orderBy(F.desc("n"), "first").limit(25).select("left", "right", "n")
+
+
+# Training
+
+@query("train_merges_std", f"WITH {O.trained(MERGES)} {O.merges_of(MERGES)}")
+def train_merges_std(spark, d):
+    return model_of(spark, d).merge_table(spark)
+
+
+@query("train_vocab_std", f"WITH {O.trained(MERGES)}, base AS (SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS token FROM w0), allt AS (SELECT token, 0 AS part, 0 AS k FROM base UNION ALL SELECT \"left\" || \"right\", 1, rank FROM ({O.merges_of(MERGES)})) SELECT (row_number() OVER (ORDER BY part, k, encode(token)) - 1)::INT AS id, token FROM allt")
+def train_vocab_std(spark, d):
+    return model_of(spark, d).vocab_table(spark).select("id", "token")
+
+
+@query("train_unused_pad", f"WITH {O.CHUNKS}, base AS (SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS token FROM ch), sp AS (SELECT unnest(['<PAD>', '<UNK>', '<BOS>', '<EOS>']) AS token, unnest([0, 1, 2, 3]) AS k), t AS (SELECT token, k FROM sp UNION ALL SELECT token, 4 FROM base), n AS (SELECT (row_number() OVER (ORDER BY k, encode(token)) - 1)::INT AS id, token FROM t) SELECT id, token FROM n UNION ALL SELECT i::INT, '<unused_' || i || '>' FROM range((SELECT count(*) FROM n), (SELECT count(*) + 4 FROM n)) r(i)")
+def train_unused_pad(spark, d):
+    """With special tokens and a size that leaves no merge, four unused ids fill up."""
+    texts = docs(spark, d, "doc_id", "text")
+    size = 4 + base_vocabulary(word_counts(texts, CONFIG)).count()
+    return train_bpe(texts, size, normalizer=CONFIG, special=True).vocab_table(spark).select("id", "token")
+
+
+@query("train_merges_bytes_lex", f"WITH {O.trained(MERGES, tokens=O.BYTES, ties='lex', valid='true')} {O.merges_of(MERGES)}")
+def train_merges_bytes_lex(spark, d):
+    return train_bpe_fast(docs(spark, d, "doc_id", "text"), n_merges=MERGES, normalizer=CONFIG).merge_table(spark)
+
+
+def fair_of(spark, d, weight):
+    return train_fair_bpe(docs(spark, d), n_merges=FAIR_MERGES, fairness_weight=weight, languages=LANGS, normalizer=CONFIG)
+
+
+@query("train_merges_fair", f"WITH {O.fair(FAIR_MERGES, WEIGHT, LANGS)} {O.merges_of(FAIR_MERGES)}")
+def train_merges_fair(spark, d):
+    return fair_of(spark, d, WEIGHT).model.merge_table(spark)
+
+
+@query("train_merges_fair_0", f"WITH {O.fair(FAIR_MERGES, 0, LANGS)} {O.merges_of(FAIR_MERGES)}")
+def train_merges_fair_0(spark, d):
+    return fair_of(spark, d, 0).model.merge_table(spark)
+
+
+@query("fair_language_stats", f"WITH {O.fair(FAIR_MERGES, WEIGHT, LANGS)}, st AS (SELECT lang, sum(n * len(string_split(substr(s, 2, len(s) - 2), chr(2) || chr(1))))::BIGINT AS total_tokens, sum(n)::BIGINT AS total_words FROM w{FAIR_MERGES} GROUP BY lang) SELECT lang, total_tokens, total_words, round(total_tokens / total_words::DOUBLE, 6) AS fertility, round(total_words / (sum(total_words) OVER ())::DOUBLE, 6) AS target_ratio FROM st")
+def fair_language_stats(spark, d):
+    rows = fair_of(spark, d, WEIGHT).languages
+    return spark.createDataFrame([(r["lang"], r["total_tokens"], r["total_words"], round(r["fertility"], 6), round(r["target_ratio"], 6)) for r in rows], "lang string, total_tokens bigint, total_words bigint, fertility double, target_ratio double")
+
+
+@query("fairness_sweep")
+def fairness_sweep(spark, d):
+    """Weights and what they do to the languages' fertility."""
+    rows = []
+    for weight in (0.0, 0.3, 0.5, 1.0):
+        result = fair_of(spark, d, weight)
+        rows += [(weight, x["lang"], x["fertility"], result.fertility_gap()) for x in result.languages]
+    return spark.createDataFrame(rows, "fairness_weight double, lang string, fertility double, fertility_gap double")
+
+
+# Encoding
+
+@query("encode_tokens", f"WITH {O.token_rows(MERGES)} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1)::INT AS pos, token FROM tok")
+def encode_tokens(spark, d):
+    return M.token_rows(encoded(spark, d), "doc_id")
+
+
+@query("encode_counts_by_doc", f"WITH {O.encoded(MERGES)} SELECT doc_id, sum(len(tokens))::BIGINT AS n_tokens FROM enc GROUP BY doc_id UNION ALL SELECT doc_id, 0 FROM documents WHERE text = ''")
+def encode_counts_by_doc(spark, d):
+    return docs(spark, d, "doc_id", "text").select("doc_id", count_tokens(F.col("text"), model_of(spark, d)).alias("n_tokens"))
+
+
+@query("encode_ids", f"WITH {O.token_rows(MERGES)}, base AS (SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS token FROM w0), allt AS (SELECT token, 0 AS part, 0 AS q FROM base UNION ALL SELECT \"left\" || \"right\", 1, rank FROM ({O.merges_of(MERGES)})), voc AS (SELECT (row_number() OVER (ORDER BY part, q, encode(token)) - 1)::INT AS id, token FROM allt) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1)::INT AS pos, id FROM tok LEFT JOIN voc USING (token)")
+def encode_ids_(spark, d):
+    return docs(spark, d, "doc_id", "text").select("doc_id", F.posexplode(encode_ids(F.col("text"), model_of(spark, d))).alias("pos", "id"))
+
+
+@query("byte_fallback_tokens", r"SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '(?s).'), x -> CASE WHEN ascii(x) < 128 THEN x ELSE array_to_string(list_transform(regexp_extract_all(hex(encode(x)), '..'), h -> '<0x' || h || '>'), ' ') END), ' ') AS tokens FROM benchmark")
+def byte_fallback_tokens(spark, d):
+    """Items of the benchmark under a model that knows ASCII alone: other characters come as bytes."""
+    ascii_only = Model(tuple(map(chr, range(128))), (), NormalizerConfig("NONE", "NONE"))
+    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.array_join(encode(F.col("text"), ascii_only), " ").alias("tokens"))
+
+
+@query("decode_roundtrip", f"WITH {O.CHUNKS} SELECT doc_id, regexp_replace(replace(string_agg(word, '' ORDER BY pos), '{SPACER}', ' '), '^ ', '') AS text FROM ch GROUP BY doc_id")
+def decode_roundtrip(spark, d):
+    """Encoded and decoded: every chunk has brought its spacer, as a space."""
+    model = model_of(spark, d)
+    return encoded(spark, d, model).select("doc_id", decode(F.col("tokens"), model).alias("text"))
+
+
+@query("merge_explain")
+def merge_explain(spark, d):
+    """Every merge of every item of the benchmark, step by step."""
+    spark.udtf.register("qs_explain", explain_function(model_of(spark, d)))
+    return spark.sql("SELECT item_id, e.chunk, e.step, e.left, e.right, e.rank, array_join(e.tokens, ' ') AS tokens FROM {b} b, LATERAL qs_explain(b.text) e", b=spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
+# Quality and fairness
+
+_REPORT = f"WITH {O.report(MERGES)}"
+
+
+def lang_report(spark, d):
+    return M.corpus_report(encoded(spark, d))
+
+
+@query("fertility_by_lang", f"{_REPORT} SELECT lang, n_tokens, n_words, n_chars, round(fertility, 6) AS fertility, round(compression, 6) AS compression FROM rep")
+def fertility_by_lang(spark, d):
+    return rounded(lang_report(spark, d), "fertility", "compression")
+
+
+_SUMMARY = "v AS (SELECT fertility AS x, row_number() OVER (ORDER BY fertility) AS i FROM rep), g AS (SELECT 2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1) / count(*)::DOUBLE AS gini, avg(x) AS mean, stddev_pop(x) AS std, median(x) AS median, min(x) AS min, max(x) AS max FROM v)"
+
+
+@query("fairness_summary", f"{_REPORT}, {_SUMMARY} SELECT round(gini, 6) AS gini, round(std / mean, 6) AS cv, round(max / min, 6) AS max_min_ratio, round(max / median, 6) AS max_median_ratio, round(mean, 6) AS mean, round(std, 6) AS std, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max FROM g")
+def fairness_summary(spark, d):
+    out = M.fairness_summary(lang_report(spark, d))
+    return rounded(out, *out.columns)
+
+
+@query("fairness_report", f"{_REPORT}, {_SUMMARY} SELECT lang, round(fertility, 6) AS fertility, CASE WHEN fertility < 1.2 * median THEN 'ok' WHEN fertility < 1.5 * median THEN 'high' ELSE 'very high' END AS flag, CASE WHEN gini < 0.2 THEN 'FAIR' ELSE 'BIASED' END AS verdict FROM rep, g")
+def fairness_report(spark, d):
+    return rounded(M.fairness_report(lang_report(spark, d).select("lang", "fertility")), "fertility")
+
+
+@query("fairness_gap", f"{_REPORT} SELECT round(min(fertility) / max(fertility), 6) AS fairness_ratio, round(max(fertility) / min(fertility), 6) AS efficiency_gap, round(max(fertility) - min(fertility), 6) AS fertility_gap FROM rep")
+def fairness_gap(spark, d):
+    out = M.fairness_gap(lang_report(spark, d))
+    return rounded(out, *out.columns)
+
+
+@query("relative_cost", f"{_REPORT} SELECT r.lang, round(r.fertility, 6) AS fertility, r.n_tokens, round(r.fertility / b.fertility, 6) AS fertility_ratio, round(r.n_tokens / b.n_tokens::DOUBLE, 6) AS token_ratio FROM rep r, (SELECT * FROM rep WHERE lang = 'en') b")
+def relative_cost(spark, d):
+    return rounded(M.relative_cost(lang_report(spark, d)), "fertility", "fertility_ratio", "token_ratio")
+
+
+@query("coverage_by_lang", f"""WITH {O.token_rows(MERGES)}, {O.report(MERGES).rsplit('enc AS', 1)[1].split('),', 1)[1].strip()},
+q AS (SELECT lang, count(*) FILTER (WHERE contains(token, '<0x')) AS fb, count(*) FILTER (WHERE NOT contains(token, '<0x')) AS pl, sum(len(replace(token, '{SPACER}', ''))) FILTER (WHERE NOT contains(token, '<0x')) AS pc FROM tok GROUP BY lang)
+SELECT lang, round(fertility, 6) AS fertility, round(fb / n_tokens::DOUBLE, 6) AS fallback_rate, round(pc / n_chars::DOUBLE, 6) AS char_coverage, round(pc / pl::DOUBLE, 6) AS avg_token_length, n_tokens AS num_tokens, n_words AS num_words FROM rep JOIN q USING (lang)""")
+def coverage_by_lang(spark, d):
+    return rounded(M.coverage(encoded(spark, d)), "fertility", "fallback_rate", "char_coverage", "avg_token_length")
+
+
+_ENTROPY = "ec AS (SELECT lang, c, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) GROUP BY 1, 2), es AS (SELECT lang, n / (sum(n) OVER (PARTITION BY lang))::DOUBLE AS p FROM ec), en AS (SELECT lang, -sum(p * log2(p)) AS char_entropy FROM es GROUP BY lang)"
+
+
+@query("char_entropy", f"WITH {_ENTROPY} SELECT lang, round(char_entropy, 6) AS char_entropy FROM en")
+def char_entropy(spark, d):
+    return rounded(M.char_entropy(docs(spark, d)), "char_entropy")
+
+
+@query("info_per_token", f"{_REPORT}, {_ENTROPY} SELECT lang, round(char_entropy, 6) AS char_entropy, round(fertility, 6) AS fertility, round(char_entropy / fertility, 6) AS info_per_token FROM rep JOIN en USING (lang)")
+def info_per_token(spark, d):
+    return rounded(M.info_per_token(encoded(spark, d)), "char_entropy", "fertility", "info_per_token")
+
+
+@query("language_spread", f"{_REPORT}, m AS (SELECT 'fertility' AS metric, fertility AS x FROM rep UNION ALL SELECT 'compression', compression FROM rep) SELECT metric, round(max(x) - min(x), 6) AS gap, round(var_pop(x), 6) AS variance, round(stddev_pop(x) / avg(x), 6) AS cv FROM m GROUP BY metric")
+def language_spread(spark, d):
+    return rounded(M.spread(lang_report(spark, d), ["fertility", "compression"]), "gap", "variance", "cv")
+
+
+@query("mean_compression", f"WITH {O.encoded(MERGES)}, t AS (SELECT doc_id, sum(len(tokens)) AS n FROM enc GROUP BY doc_id) SELECT lang, round(avg(CASE WHEN len(text) = 0 THEN 0 ELSE n / len(text)::DOUBLE END), 6) AS mean_compression FROM documents JOIN t USING (doc_id) GROUP BY lang")
+def mean_compression(spark, d):
+    return rounded(M.mean_compression(encoded(spark, d)), "mean_compression")
+
+
+_SIMPLE = ORACLE_SQL["pretok_simple_code"]
+_HOLDS = " OR ".join(f"contains(token, '{o}')" for o in M.OPERATORS)
+
+
+def code_tokens(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), simple_code_tokens(F.col("html")).alias("tokens"))
+
+
+@query("operator_preservation", f"WITH t AS ({_SIMPLE}) SELECT count(*) FILTER (WHERE token IN {O.sql_list(M.OPERATORS)}) AS whole, count(*) FILTER (WHERE {_HOLDS}) AS holding, round(count(*) FILTER (WHERE token IN {O.sql_list(M.OPERATORS)}) / (count(*) FILTER (WHERE {_HOLDS}))::DOUBLE, 6) AS preservation FROM t")
+def operator_preservation(spark, d):
+    return rounded(M.operator_preservation(code_tokens(spark, d)), "preservation")
+
+
+@query("keyword_preservation", f"WITH t AS ({_SIMPLE}), a AS (SELECT count(*) FILTER (WHERE token IN {O.sql_list(M.KEYWORDS)}) AS as_tokens FROM t), b AS (SELECT count(*) FILTER (WHERE w IN {O.sql_list(M.KEYWORDS)}) AS as_words FROM (SELECT unnest({O.words('html')}) AS w FROM pages)) SELECT as_tokens, as_words, 1.0::DOUBLE AS constant_rate, round(CASE WHEN as_words > 0 THEN as_tokens / as_words::DOUBLE ELSE 1 END, 6) AS rate FROM a, b")
+def keyword_preservation(spark, d):
+    return rounded(M.keyword_preservation(code_tokens(spark, d)), "rate")
+
+
+@query("keyword_presence", f"WITH t AS ({_SIMPLE}) SELECT 'keywords' AS kind, count(DISTINCT token) AS n_present, round(count(DISTINCT token) / 17.0, 6)::DOUBLE AS rate FROM t WHERE token IN {O.sql_list(M.LISTED_KEYWORDS)} UNION ALL SELECT 'operators', count(DISTINCT token), round(count(DISTINCT token) / 10.0, 6)::DOUBLE FROM t WHERE token IN {O.sql_list(M.TEN_OPERATORS)}")
+def keyword_presence(spark, d):
+    t = code_tokens(spark, d)
+    parts = [M.presence(t, names).select(F.lit(kind).alias("kind"), "n_present", "rate") for kind, names in (("keywords", M.LISTED_KEYWORDS), ("operators", M.TEN_OPERATORS))]
+    return rounded(parts[0].unionAll(parts[1]), "rate")
+
+
+@query("token_stats", f"WITH {O.token_rows(MERGES)} SELECT count(*) AS total_tokens, count(DISTINCT token) AS unique_tokens, round(avg(strlen(token)), 6) AS avg_bytes, median(strlen(token))::DOUBLE AS median_bytes, max(strlen(token))::BIGINT AS max_bytes, min(strlen(token))::BIGINT AS min_bytes, round(avg(len(token)), 6) AS avg_chars FROM tok")
+def token_stats(spark, d):
+    return rounded(M.token_stats(encoded(spark, d)), "avg_bytes", "avg_chars")
+
+
+@query("top_tokens", f"WITH {O.token_rows(MERGES)} SELECT token, n FROM (SELECT token, count(*) AS n, min(struct_pack(d := doc_id, p := pos, k := k)) AS f FROM tok GROUP BY token) ORDER BY n DESC, f LIMIT 10")
+def top_tokens(spark, d):
+    return M.top_tokens(encoded(spark, d))
+
+
+@query("token_class", f"""WITH {O.token_rows(MERGES)} SELECT CASE WHEN regexp_replace(token, '^[{SPACER} ]+|[{SPACER} ]+$', '', 'g') IN {O.sql_list(M.CLASS_KEYWORDS)} THEN 'keyword' WHEN trim(token) IN {O.sql_list(M.CLASS_OPERATORS)} THEN 'operator' WHEN regexp_matches(token, '^["'']') OR regexp_matches(token, '^\\p{{Nd}}+$') THEN 'literal' WHEN regexp_matches(replace(token, '{SPACER}', ''), '^[\\p{{L}}_][\\p{{L}}\\p{{N}}\\p{{M}}_]*$') THEN 'identifier' ELSE 'other' END AS class, count(*) AS n FROM tok GROUP BY 1""")
+def token_class(spark, d):
+    return M.token_rows(encoded(spark, d)).groupBy(M.token_class(F.col("token")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("vocab_utilization", f"WITH {O.token_rows(MERGES)}, s AS (SELECT count(*) + {MERGES} AS size FROM (SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS token FROM w0)) SELECT count(DISTINCT token) AS used, round(count(DISTINCT token) * 100.0 / max(size), 6)::DOUBLE AS percent FROM tok, s")
+def vocab_utilization(spark, d):
+    model = model_of(spark, d)
+    return rounded(M.vocab_utilization(encoded(spark, d, model), len(model)).withColumn("percent", F.col("percent").cast("double")), "percent")
+
+
+@query("vocab_size_estimate", f"SELECT count(DISTINCT w) AS n_distinct, greatest(300, least(2000, floor(count(DISTINCT w) * 1.5)))::BIGINT AS vocab_size FROM (SELECT unnest({O.words('text')}) AS w FROM documents)")
+def vocab_size_estimate(spark, d):
+    return M.vocab_size_estimate(docs(spark, d, "text"))
+
+
+# Orders and neighbours
+
+@query("train_test_split", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN i <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS part FROM r")
+def train_test_split(spark, d):
+    return split_by_order(docs(spark, d, "doc_id"))
+
+
+def word_lists(spark, d):
+    return docs(spark, d, "doc_id", "text").select("doc_id", words(F.lower("text")).alias("tokens"))
+
+
+_WORDS = f"l AS (SELECT doc_id, {O.words('lower(text)')} AS t FROM documents), s AS (SELECT unnest(t) AS token FROM l), b AS (SELECT t[k] AS l, t[k + 1] AS r FROM (SELECT t, unnest(range(1, len(t))) AS k FROM l)), bc AS (SELECT l, r, count(*) AS n FROM b GROUP BY 1, 2)"
+
+
+@query("unigram_top", f"WITH {_WORDS} SELECT token, count(*) AS n FROM s GROUP BY token ORDER BY n DESC, encode(token) LIMIT 100")
+def unigram_top(spark, d):
+    return M.ngram_top(word_lists(spark, d), 1)
+
+
+@query("bigram_top", f"WITH {_WORDS} SELECT l || '||' || r AS token, n FROM bc ORDER BY n DESC, encode(l || '||' || r) LIMIT 100")
+def bigram_top(spark, d):
+    return M.ngram_top(word_lists(spark, d), 2)
+
+
+@query("bigram_pmi", f'WITH {_WORDS}, u AS (SELECT token, count(*) AS c FROM s GROUP BY token), q AS (SELECT (SELECT sum(n) FROM bc)::DOUBLE AS np, (SELECT sum(c) FROM u)::DOUBLE AS nu) SELECT bc.l AS "left", bc.r AS "right", n, round(log2(n / np / (a.c / nu * (z.c / nu))), 6) AS pmi FROM bc JOIN u a ON bc.l = a.token JOIN u z ON bc.r = z.token, q')
+def bigram_pmi(spark, d):
+    return rounded(M.pmi(word_lists(spark, d)), "pmi")
+
+
+@query("branching_entropy", f"WITH {_WORDS}, rr AS (SELECT l AS token, n / (sum(n) OVER (PARTITION BY l))::DOUBLE AS p FROM bc), ll AS (SELECT r AS token, n / (sum(n) OVER (PARTITION BY r))::DOUBLE AS p FROM bc), x AS (SELECT token, -sum(p * log2(p)) AS e FROM rr GROUP BY token), y AS (SELECT token, -sum(p * log2(p)) AS e FROM ll GROUP BY token) SELECT token, round(x.e, 5) + 0 AS right_entropy, round(y.e, 5) + 0 AS left_entropy FROM x FULL JOIN y USING (token)")
+def branching_entropy(spark, d):
+    out = M.branching_entropy(word_lists(spark, d))
+    return out.select("token", (F.round("right_entropy", 5) + 0).alias("right_entropy"), (F.round("left_entropy", 5) + 0).alias("left_entropy"))
+
+
+# Generated text and models
+
+@query("synthetic_corpus")
+def synthetic(spark, d):
+    return synthetic_corpus(spark)
+
+
+@query("model_hash")
+def hash_of_model(spark, d):
+    model = model_of(spark, d)
+    return spark.createDataFrame([(model_hash(model.to_dict()), len(model), len(model.merges))], "model_hash string, vocab_size bigint, num_merges bigint")
