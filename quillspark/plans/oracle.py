@@ -33,7 +33,7 @@ c1 AS (SELECT doc_id, lang, unnest(chunks) AS chunk, generate_subscripts(chunks,
 ch AS (SELECT doc_id, lang, pos, chunk, {prefixed('chunk')} AS word FROM c1)"""
 
 _CHARS = "regexp_extract_all(word, '(?s).')"
-_BYTES = "list_transform(regexp_extract_all(hex(encode(word)), '..'), x -> '<0x' || x || '>')"
+_BYTES = "['<0x' || x || '>' for x in regexp_extract_all(hex(encode(word)), '..')]"
 
 
 def _marked(tokens: str) -> str:

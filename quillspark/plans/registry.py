@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.normalize import NormalizerConfig, denormalize, normalize, with_spacer
-from quillspark.functions.pretokenize import code_pretokenize, hybrid_code_pretokenize, normalized_chunks, pretokenize, simple_code_tokens
+from quillspark.functions.pretokenize import SIMPLE_CODE, code_pretokenize, hybrid_code_pretokenize, normalized_chunks, pretokenize, simple_code_tokens
 from quillspark.functions.whitespace import SPACER, WS25_CLASS, WS29_CLASS, word_count, words
 from quillspark.model import Model, model_hash
 from quillspark.operators import metrics as M
@@ -132,7 +132,10 @@ query("code_pretok_v1_compat")(chunk_counts(lambda t: code_pretokenize(t, True))
 query("code_pretok_v2")(chunk_counts(hybrid_code_pretokenize))
 
 
-@query("pretok_simple_code", rf"SELECT page_id, (generate_subscripts(c, 1) - 1)::INT AS pos, unnest(c) AS token FROM (SELECT page_id, regexp_extract_all(html, '[><=!+-]=|[=-]>|//|<<|>>|&&|\|\||[a-zA-Z_][a-zA-Z0-9_]*|\p{{Nd}}+\.?\p{{Nd}}*|""[^""]*""|''[^'']*''|[^{WS29_CLASS}]') AS c FROM pages)".replace('""', '"'))
+_SIMPLE_CODE = SIMPLE_CODE.replace('\\"', "\\x22").replace("'", "\\x27")
+
+
+@query("pretok_simple_code", f"SELECT page_id, (generate_subscripts(c, 1) - 1)::INT AS pos, unnest(c) AS token FROM (SELECT page_id, regexp_extract_all(html, '{_SIMPLE_CODE}') AS c FROM pages)")
 def pretok_simple_code(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.posexplode(simple_code_tokens(F.col("html"))).alias("pos", "token"))
 
@@ -240,7 +243,7 @@ def encode_ids_(spark, d):
     return docs(spark, d, "doc_id", "text").select("doc_id", F.posexplode(encode_ids(F.col("text"), model_of(spark, d))).alias("pos", "id"))
 
 
-@query("byte_fallback_tokens", r"SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '(?s).'), x -> CASE WHEN ascii(x) < 128 THEN x ELSE array_to_string(list_transform(regexp_extract_all(hex(encode(x)), '..'), h -> '<0x' || h || '>'), ' ') END), ' ') AS tokens FROM benchmark")
+@query("byte_fallback_tokens", "SELECT item_id, array_to_string([CASE WHEN strlen(x) = 1 THEN x ELSE array_to_string(['<0x' || h || '>' for h in regexp_extract_all(hex(encode(x)), '..')], ' ') END for x in regexp_extract_all(text, '(?s).')], ' ') AS tokens FROM benchmark")
 def byte_fallback_tokens(spark, d):
     """Items of the benchmark under a model that knows ASCII alone: other characters come as bytes."""
     ascii_only = Model(tuple(map(chr, range(128))), (), NormalizerConfig("NONE", "NONE"))
