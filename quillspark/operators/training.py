@@ -78,6 +78,8 @@ def _learned(words: DataFrame, order: Sequence[str], merges: int, alphabet: str,
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps([found, stats])])], names=["result"])
 
     result = words.select(*columns, *[c for c in order if c not in columns]).repartition(1).sortWithinPartitions(*order).select(*columns).mapInArrow(run, "result string").first()
+    if result is None:  # no words, no task
+        return [], {"tokens": [0] * len(langs or [0]), "words": [0] * len(langs or [0])}
     found, stats = json.loads(result[0])
     return [(a, b) for a, b in found], stats
 

@@ -29,9 +29,9 @@ def _numbered(lines: DataFrame) -> DataFrame:
     return rows.withColumn("qs_rank", rank).join(F.broadcast(before), "qs_part").select((F.col("qs_rank") + F.col("qs_before")).cast("bigint").alias("doc_id"), *lines.columns)
 
 
-def _text(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
+def _text(spark: SparkSession, path: str | Sequence[str], wholetext: bool = False, **options) -> DataFrame:
     try:
-        return spark.read.options(**options).text(path if isinstance(path, str) else list(path))
+        return spark.read.options(**options).text(path if isinstance(path, str) else list(path), wholetext=wholetext)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(str(path)) from error
