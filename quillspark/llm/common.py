@@ -44,6 +44,14 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def lowered(text: str) -> str:
     """Lower case that keeps every character's place: a character whose lower case is longer stays."""
     low = text.lower()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, lowered, pieces, with_text
+from quillspark.llm.common import WORD, free_name, lowered, pieces, with_text
 
 N = 8
 DROP_SHARE = 0.5
@@ -134,24 +134,27 @@ def _scan(docs: DataFrame, benchmark: DataFrame, n: int, max_grams: int, columns
 
         return docs.mapInArrow(run, schema)
 
+    key = free_name(docs, "qs_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+
     def hits_of(part):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, texts in pieces(batches):
                 found = _found(part.value, texts)
                 keys = batch.column(1).take(pa.array(list(found), pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array([w for w, _, _ in found.values()], pa.int32()), pa.array([sorted(s) for _, s, _ in found.values()], pa.list_(pa.int32())), pa.array([sorted(i) for _, _, i in found.values()], pa.list_(pa.int64()))], names=["qs_key", "qs_words", "qs_starts", "qs_items"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array([w for w, _, _ in found.values()], pa.int32()), pa.array([sorted(s) for _, s, _ in found.values()], pa.list_(pa.int32())), pa.array([sorted(i) for _, _, i in found.values()], pa.list_(pa.int64()))], names=["k", "words", "starts", "items"])
 
-        return docs.select("text", F.xxhash64("text").alias("qs_key")).mapInArrow(run, "qs_key bigint, qs_words int, qs_starts array<int>, qs_items array<bigint>")
+        return keyed.select("text", key).mapInArrow(run, "k bigint, words int, starts array<int>, items array<bigint>")
 
-    hits = reduce(DataFrame.unionAll, [hits_of(p) for p in shared]).groupBy("qs_key").agg(F.max("qs_words").alias("qs_words"), F.flatten(F.collect_set("qs_starts")).alias("qs_starts"), F.flatten(F.collect_set("qs_items")).alias("qs_items"))
-    joined = docs.withColumn("qs_key", F.xxhash64("text")).join(hits, "qs_key", "left").select(*columns, "qs_words", "qs_starts", "qs_items")
+    hits = reduce(DataFrame.unionAll, [hits_of(p) for p in shared]).groupBy("k").agg(F.max("words").alias("words"), F.flatten(F.collect_set("starts")).alias("starts"), F.flatten(F.collect_set("items")).alias("items"))
+    joined = keyed.join(hits, keyed[key] == hits["k"], "left").select(*[keyed[c].alias(f"c{i}") for i, c in enumerate(columns)], hits["words"], hits["starts"], hits["items"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches):
+        for batch, texts in pieces(batches, f"c{columns.index('text')}"):
             at = len(columns)
             words, starts, items = (batch.column(at + k).to_pylist() for k in range(3))
             found = {t: (w, set(starts[t]), set(items[t])) for t, w in enumerate(words) if w is not None}
-            yield decide(batch.select(columns), texts, found)
+            yield decide(pa.RecordBatch.from_arrays(batch.columns[:at], names=columns), texts, found)
 
     return joined.mapInArrow(again, schema)
 

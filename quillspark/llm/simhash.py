@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, lowered, pieces, stored
+from quillspark.llm.common import WORD, free_name, lowered, pieces, stored
 
 BITS, BLOCKS, BLOCK_RADIUS = 256, 4, 4
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
@@ -238,5 +238,6 @@ def keep_one(docs: DataFrame, radius: int = JOIN_RADIUS) -> DataFrame:
         return left
     twice = stored(twice, "repeated")
     order = Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*docs.columns))
-    repeated = left.join(twice, left["doc_id"] == twice["qs_id"], "left_semi").withColumn("qs_n", F.row_number().over(order)).filter("qs_n = 1").drop("qs_n")
+    number = free_name(docs, "qs_n")
+    repeated = left.join(twice, left["doc_id"] == twice["qs_id"], "left_semi").withColumn(number, F.row_number().over(order)).filter(F.col(number) == 1).drop(number)
     return left.join(twice, left["doc_id"] == twice["qs_id"], "left_anti").unionByName(repeated)
