@@ -37,7 +37,7 @@ class NormalizerConfig:
             object.__setattr__(self, name, value)
 
     def to_dict(self) -> dict:
-        return {"normalization_mode": self.form, "spacer_mode": self.spacer, "pre_tokenization_mode": self.chunking, "lowercase": self.lowercase, "spacer": SPACER}
+        return {"lowercase": self.lowercase, "spacer": SPACER, "spacer_mode": self.spacer, "normalization_mode": self.form, "pre_tokenization_mode": self.chunking}
 
     @classmethod
     def from_dict(cls, data: dict) -> NormalizerConfig:

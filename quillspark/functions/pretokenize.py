@@ -14,9 +14,9 @@ from quillspark.functions.normalize import NormalizerConfig, normalize, normaliz
 from quillspark.functions.whitespace import WS25_CLASS, WS29_CLASS
 
 #: Contractions, letters, numbers, other signs with a space before, and white runs, of which the last white character goes to the chunk after.
-GPT2 = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS25_CLASS}\p{{L}}\p{{N}}]+|[{WS25_CLASS}]+(?![^{WS25_CLASS}])|[{WS25_CLASS}]+"
+GPT2 = rf"'(?:[stmd]|re|ve|ll)| ?(?:\p{{L}}+|\p{{N}}+|[^{WS25_CLASS}\p{{N}}\p{{L}}]+)|[{WS25_CLASS}]+(?![^{WS25_CLASS}])|[{WS25_CLASS}]+"
 #: Operators, names, numbers, strings and any other sign; whitespace is dropped.
-SIMPLE_CODE = rf"[><=!+-]=|[=-]>|//|<<|>>|&&|\|\||[a-zA-Z_][a-zA-Z0-9_]*|\p{{Nd}}+\.?\p{{Nd}}*|\"[^\"]*\"|'[^']*'|[^{WS29_CLASS}]"
+SIMPLE_CODE = rf"[><=!+-]=|[=-]>|//|<<|>>|&&|\|\||[A-Za-z_][0-9A-Za-z_]*|\p{{Nd}}+\.?\p{{Nd}}*|\"[^\"]*\"|'[^']*'|[^{WS29_CLASS}]"
 _WHITE_OR_NOT = f"[^{WS25_CLASS}]+|[{WS25_CLASS}]+"
 
 
@@ -74,7 +74,7 @@ def normalized_chunks(text: Column, config: NormalizerConfig) -> Column:
 
 @lru_cache(1)
 def _gpt2() -> regex.Pattern:
-    return regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    return regex.compile(r"'(?:[stmd]|re|ve|ll)| ?(?:\p{L}+|\p{N}+|[^\p{N}\s\p{L}]+)|\s+(?!\S)|\s+")
 
 
 @lru_cache(1)

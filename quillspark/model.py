@@ -23,10 +23,10 @@ BYTE_TOKEN = re.compile(r"<0x([0-9A-F]{2})>")
 
 @dataclass(frozen=True)
 class SpecialTokens:
-    pad: str = "<PAD>"
-    unk: str = "<UNK>"
-    bos: str = "<BOS>"
     eos: str = "<EOS>"
+    bos: str = "<BOS>"
+    unk: str = "<UNK>"
+    pad: str = "<PAD>"
 
     def all(self) -> list[str]:
         return [self.pad, self.unk, self.bos, self.eos]
@@ -65,8 +65,8 @@ class Model:
     def __len__(self) -> int:
         return len(self.tokens)
 
-    def __contains__(self, token: str) -> bool:
-        return token in self.ids
+    def __contains__(self, name: object) -> bool:
+        return name in self.ids
 
     def token_id(self, token: str) -> int | None:
         return self.ids.get(token)
@@ -110,7 +110,7 @@ class Model:
         return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(self.merges)], "rank int, left string, right string")
 
     def to_dict(self, metadata: dict | None = None) -> dict:
-        vocab: dict = {"byte_fallback": self.byte_fallback, "use_special_tokens": self.special is not None, "tokens": list(self.tokens)}
+        vocab: dict = {"tokens": list(self.tokens), "use_special_tokens": self.special is not None, "byte_fallback": self.byte_fallback}
         if self.special:
             vocab["special_tokens"] = {n: getattr(self.special, n) for n in ("pad", "unk", "bos", "eos")}
         out = {"algorithm": ALGORITHM, "version": FORMAT, "created_at": datetime.now().isoformat(), "normalizer": self.normalizer.to_dict(), "byte_fallback": self.byte_fallback, "vocab": vocab, "merges": {"merges": [list(m) for m in self.merges]}}

@@ -166,7 +166,7 @@ class FairResult:
 
 def train_fair_bpe(texts: DataFrame, vocab_size: int | None = None, fairness_weight: float = 0.3, *, n_merges: int | None = None, languages: Sequence[str] | None = None, normalizer: NormalizerConfig | None = None, byte_fallback: bool = True) -> FairResult:
     """Training over texts(lang, doc_id, text) where languages of high fertility weigh more. languages: their order, which decides ties (by name where not given). Rows of other languages, null ones too, are left out."""
-    if not 0 <= fairness_weight <= 1:
+    if fairness_weight < 0 or fairness_weight > 1:
         raise ValueError("fairness_weight must be between 0 and 1")
     there = {r["lang"] for r in texts.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang").distinct().collect()}
     langs = list(languages) if languages is not None else sorted(there)

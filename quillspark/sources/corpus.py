@@ -90,17 +90,48 @@ def manifest(texts: DataFrame, by: str = "lang") -> DataFrame:
     return texts.groupBy(by).agg(F.count("*").alias("samples"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("bigint").alias("chars"), F.coalesce(F.sum(word_count(F.col("text"))), F.lit(0)).cast("bigint").alias("words"))
 
 
-_WORDS = {
-    "English": ("the quick brown fox jumps over lazy dog hello world test program computer science artificial intelligence machine learning neural network", ",s,ed,ing,er,est"),
-    "Spanish": ("el rápido marrón zorro salta sobre perro perezoso hola mundo prueba programa computadora ciencia artificial inteligencia máquina aprendizaje red neuronal", ",o,a,os,as,ado,ada,ados,adas,ando,iendo"),
-    "German": ("der schnell braun fuchs springt über hund faul hallo welt test programm computer wissenschaft künstlich intelligenz maschine lernen neuron netzwerk", ",s,es,en,er,ung,heit,keit,lich,isch"),
-    "Turkish": ("hızlı kahverengi tilki atlar üzerinde tembel köpek merhaba dünya test program bilgisayar bilim yapay zeka makine öğrenme sinir ağ", ",lar,ler,im,in,i,de,den,e,dan,lik,lık,luk,lük,ci,cı,cu,cü"),
-}
+#: The k-th stems of the four languages, in order; the last language has one less.
+_STEMS = (
+    "the el der hızlı",
+    "quick rápido schnell kahverengi",
+    "brown marrón braun tilki",
+    "fox zorro fuchs atlar",
+    "jumps salta springt üzerinde",
+    "over sobre über tembel",
+    "lazy perro hund köpek",
+    "dog perezoso faul merhaba",
+    "hello hola hallo dünya",
+    "world mundo welt test",
+    "test prueba test program",
+    "program programa programm bilgisayar",
+    "computer computadora computer bilim",
+    "science ciencia wissenschaft yapay",
+    "artificial artificial künstlich zeka",
+    "intelligence inteligencia intelligenz makine",
+    "machine máquina maschine öğrenme",
+    "learning aprendizaje lernen sinir",
+    "neural red neuron ağ",
+    "network neuronal netzwerk",
+)
+_LANGUAGES = ("English", "Spanish", "German", "Turkish")
+_FRONT_AND_BACK = " ".join(f"l{v}k" for v in "iıuü") + " " + " ".join(f"c{v}" for v in "iıuü")
+#: Endings besides the empty one.
+_ENDS = (
+    "s ed ing er est",
+    "o a os as ado ada ados adas ando iendo",
+    "s es en er ung heit keit lich isch",
+    f"lar ler im in i de den e dan {_FRONT_AND_BACK}",
+)
+
+
+def stems_and_ends(language: str) -> tuple[list[str], list[str]]:
+    k = _LANGUAGES.index(language)
+    return [w[k] for w in (line.split() for line in _STEMS) if k < len(w)], ["", *_ENDS[k].split()]
 
 
 def synthetic_corpus(spark: SparkSession, sentences: int = 500) -> DataFrame:
     """texts(lang, lang_ord, doc_id, text): sentences of stems and endings picked by arithmetic on their numbers."""
-    table = spark.createDataFrame([(name, k, stems.split(), ends.split(",")) for k, (name, (stems, ends)) in enumerate(_WORDS.items())], "lang string, lang_ord int, stems array<string>, ends array<string>")
+    table = spark.createDataFrame([(name, k, *stems_and_ends(name)) for k, name in enumerate(_LANGUAGES)], "lang string, lang_ord int, stems array<string>, ends array<string>")
     rows = table.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(sentences - 1))))
     word = "concat(stems[(i * j + j) % size(stems)], ends[(i + j * 3) % size(ends)])"
     text = F.expr(f"array_join(transform(sequence(0, 4 + i % 6), j -> {word}), ' ')")

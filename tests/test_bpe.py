@@ -190,7 +190,7 @@ def test_decoding_gives_the_text_back(text):
 
 
 def test_bytes_and_specials():
-    assert join_bytes(["<0xE4>", "<0xBD>", "<0xA0>"]) == "你" and join_bytes(["<0xE4><0xBD>", "<0xA0>", "x"]) == "你x"
+    assert join_bytes(byte_tokens_of("你")) == "你" and join_bytes(["<0xE4><0xBD>", "<0xA0>", "x"]) == "你x"
     assert join_bytes(["a", "<0xFF>", "<0xFE>", "b"]) == "a??b" and join_bytes(["<0xZZ>"]) == "<0xZZ>"
     assert readable("a<0xC3><0xA9>b<0xFF>") == "aéb"
     model = Model(tuple("<BOS>helo "), (), NormalizerConfig("NONE", "NONE"), special=SpecialTokens())

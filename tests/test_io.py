@@ -50,7 +50,7 @@ def test_whole_files_and_languages(spark, tmp_path):
 def test_generated_corpora(spark):
     assert pairs(C.fallback_corpus(spark, 3))[20][1] == C.FALLBACK_LINES[0] and C.fallback_corpus(spark, 3).count() == 60
     rows = C.synthetic_corpus(spark, 12).collect()
-    stems, ends = C._WORDS["German"][0].split(), C._WORDS["German"][1].split(",")
+    stems, ends = C.stems_and_ends("German")
     for r in rows:
         if r.lang == "German":
             i = r.doc_id - 24
