@@ -16,8 +16,10 @@ unigram, else the unknown word.
 How it runs. Texts become slices of word numbers once, stored. Each slice sends its distinct
 words, then its distinct bigrams with counts, to buckets by hash of the word or history, as
 packed arrays; a bucket adds them up, stores its part of the table, and answers each slice
-with the totals in the order asked. So no table has to fit anywhere, a hot word is one entry
-a slice, and what moves is some bytes for each distinct n-gram of a slice.
+with the totals in the order asked. So no table has to fit anywhere, and what moves is some bytes
+for each distinct n-gram of a slice. Followers of a hot history (the count of which is at
+least that of HOT_SHARE of all tokens, and HOT_LEAST) are spread over several buckets by
+word; the sums over them, of at most 1 / HOT_SHARE histories, meet on the driver.
 
 Results by case. Null or empty text, or no word: 0 tokens, log probability 0, null
 perplexity. Repeated rows: counted and scored each. Null doc_id: carried. Extra columns:
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +44,11 @@ from quillspark.llm.common import WORD, lowered, pieces, stored
 
 K, MIN_COUNT = 5, 2
 SLICE = 2_000_000
+HOT_LEAST, HOT_SHARE = 2_000_000, 5e-6
 _ROW = "kind int, key bigint, bucket int, a binary, b binary, c binary, d binary"
 _NAMES = [f.split()[0] for f in _ROW.split(", ")]
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-TABLE, REPLY, SLICED = 0, 1, -1
+TABLE, REPLY, HOT, SLICED = 0, 1, 2, -1
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -117,7 +120,7 @@ def discounted(counts: np.ndarray, d: list[float]) -> np.ndarray:
 
 
 def _slices(docs: DataFrame, size: int) -> DataFrame:
-    """Texts as word numbers: a the slice's words, b the numbers, c doc_ids (with a mark for null), d words per document."""
+    """Texts as word numbers: bucket the texts with a word, a the slice's words, b the numbers, c doc_ids (with a mark for null), d words per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -133,7 +136,7 @@ def _slices(docs: DataFrame, size: int) -> DataFrame:
             number += 1
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             names = np.array([i or 0 for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], np.uint8).tobytes()
-            out = row(SLICED, base + number, -1, pack_words(list(index)), pack(flat), _bytes(names), pack(np.array(counts)))
+            out = row(SLICED, base + number, sum(n > 0 for n in counts), pack_words(list(index)), pack(flat), _bytes(names), pack(np.array(counts)))
             index.clear(), parts.clear(), ids.clear(), counts.clear()
             total = 0
             return out
@@ -200,19 +203,51 @@ class Slice:
                 self.ids[place], self.counts[place] = own, unpack(r["b"])
                 at += len(own)
 
-    def bigrams(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (u, w, count of the pair, count of w) in order of bucket and pair, and the place of each token's bigram in it."""
-        w = self.ids[self.tokens]
-        u = np.concatenate([[0], w[:-1]]) if len(w) else w
+    def bigrams(self, spread: Spread) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (u, w, count of the pair, count of w, bucket) in order of bucket and pair, and the place of each token's bigram in it."""
+        w, n_w = self.ids[self.tokens], self.counts[self.tokens]
+        u, n_u = (np.concatenate([[0], x[:-1]]) if len(x) else x for x in (w, n_w))
         starts = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
-        u[starts] = 0
+        u[starts], n_u[starts] = 0, spread.starts
         keys = (u.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64)
         distinct, first, inverse, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         us, ws = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        order = np.argsort(id_bucket(us, buckets), kind="stable")
+        bucket = spread.bucket(us, ws, n_u[first])
+        order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return us[order], ws[order], n[order], self.counts[self.tokens[first]][order], place[inverse.reshape(-1)]
+        return us[order], ws[order], n[order], n_w[first][order], bucket[order], place[inverse.reshape(-1)]
+
+
+@dataclass(frozen=True)
+class Spread:
+    """Where bigrams go: by history, those of a history of `hot` tokens or more by word too. starts: how often the start mark is a history."""
+
+    buckets: int
+    hot: int
+    starts: int
+
+    def bucket(self, u: np.ndarray, w: np.ndarray, n_u: np.ndarray) -> np.ndarray:
+        ways = np.where(n_u >= self.hot, 1 + n_u // self.hot, 1)
+        return id_bucket(u + (id_bucket(w, 1 << 40) % ways) * 0x1F123BB5, self.buckets)
+
+
+@dataclass(frozen=True)
+class Hot:
+    """Sums over all buckets for hot histories, in order of history: tokens, stored bigrams of each count up to k, tokens in greater counts, unigram mass of stored words."""
+
+    ids: np.ndarray
+    sums: np.ndarray
+    lower: np.ndarray
+
+    def put(self, h: np.ndarray, sums: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """sums (a column for each history) and lower with those of hot histories in their places."""
+        at = np.minimum(np.searchsorted(self.ids, h), max(0, len(self.ids) - 1))
+        here = self.ids[at] == h if len(self.ids) else np.zeros(len(h), bool)
+        return np.where(here, self.sums[:, at], sums) if here.any() else sums, np.where(here, self.lower[at], lower) if here.any() else lower
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        return np.isin(h, self.ids)
 
 
 def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -225,20 +260,26 @@ def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
 class Model:
     """Packed tables by bucket, and what is known of the whole corpus. Words have numbers below 2^32."""
 
-    words: DataFrame
-    pairs: DataFrame
+    words: DataFrame | None
+    pairs: DataFrame | None
     total: int
-    kinds: int
     d1: list[float]
     d2: list[float]
     freed: float
+    hot: Hot
+
+    def bare(self) -> Model:
+        """Without tables, for workers."""
+        return replace(self, words=None, pairs=None)
 
     def p_word(self, counts: np.ndarray) -> np.ndarray:
         return discounted(counts, self.d1) / max(1, self.total)
 
-    def weights(self, seen: np.ndarray, kept: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What counts after a history are divided by, and its backoff weight, from all its tokens, its discounted stored counts and their unigram mass."""
-        seen = seen.astype(float)
+    def weights(self, h: np.ndarray, sums: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What counts after each history are divided by, and its backoff weight. sums as in Hot."""
+        sums, lower = self.hot.put(h, sums, lower)
+        seen, by_count, above = sums[0].astype(float), sums[1:-1], sums[-1]
+        kept = above + sum((r * d * x for r, (d, x) in enumerate(zip(self.d2, by_count), 1)), np.zeros(len(seen)))
         bottom = np.where(seen - kept < 1e-9, seen + 0.5, seen)
         return bottom, (1 - kept / np.maximum(bottom, 0.5)) / (1 - lower)
 
@@ -256,25 +297,39 @@ class Model:
 
     def bigrams(self) -> DataFrame:
         """u, w, n and logp of stored bigrams; w and n null: the backoff weight (logp) of a history u. History 0 is the start mark."""
-        model = (self.d1, self.d2, self.total, self.kinds, self.freed)
+        m = self.bare()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = Model(None, None, model[2], model[3], model[0], model[1], model[4])  # type: ignore[arg-type]
             for batch in batches:
                 for k in range(batch.num_rows):
                     h, seen, size, w, n, cw = _table_row({x: batch.column(c)[k].as_py() for c, x in enumerate(_NAMES)})
                     owner = np.repeat(np.arange(len(h)), size)
-                    kept = np.bincount(owner, discounted(n, m.d2), len(h))
-                    bottom, bow = m.weights(seen, kept, np.bincount(owner, m.p_word(cw), len(h)))
+                    bottom, bow = m.weights(h, *_sums_of(owner, n, m.p_word(cw), seen, len(m.d2)))
                     logp = np.log(discounted(n, m.d2) / bottom[owner])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[owner], h])), pa.array(np.concatenate([w, np.zeros(len(h), np.int64)]), mask=np.repeat([False, True], [len(w), len(h)])), pa.array(np.concatenate([n, np.zeros(len(h), np.int64)]), mask=np.repeat([False, True], [len(w), len(h)])), pa.array(np.concatenate([logp, np.log(bow)]))], names=["u", "w", "n", "logp"])
-
-        return self.pairs.mapInArrow(run, "u bigint, w bigint, n bigint, logp double")
+                    own = ~m.hot.has(h)  # the weights of hot histories come once, below
+                    none = np.repeat([False, True], [len(w), own.sum()])
+                    pad = np.zeros(own.sum(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[owner], h[own]])), pa.array(np.concatenate([w, pad]), mask=none), pa.array(np.concatenate([n, pad]), mask=none), pa.array(np.concatenate([logp, np.log(bow[own])]))], names=["u", "w", "n", "logp"])
+
+        fields = "u bigint, w bigint, n bigint, logp double"
+        rows = self.pairs.mapInArrow(run, fields)
+        if not len(self.hot.ids):
+            return rows
+        _, bow = self.weights(self.hot.ids, self.hot.sums, self.hot.lower)
+        return rows.unionAll(self.pairs.sparkSession.createDataFrame([(int(u), None, None, float(x)) for u, x in zip(self.hot.ids, np.log(bow))], fields))
 
     def unknown(self) -> float:
         return math.log(self.freed)
 
 
+def _sums_of(owner: np.ndarray, n: np.ndarray, p: np.ndarray, seen: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by history (as in Hot) over stored bigrams of counts n and unigram probabilities p."""
+    h = len(seen)
+    by_count = [np.bincount(owner[n == r], minlength=h) for r in range(1, k + 1)]
+    above = np.bincount(owner, np.where(n > k, n, 0), h).astype(np.int64)
+    return np.stack([seen, *by_count, above]), np.bincount(owner, p, h)
+
+
 def _table_row(r: dict) -> tuple[np.ndarray, ...]:
     """Histories, tokens after each, stored bigrams of each; and of these the word, count and the word's count."""
     h, seen, size = np.split(unpack(r["a"]).astype(np.int64), 3)
@@ -282,12 +337,11 @@ def _table_row(r: dict) -> tuple[np.ndarray, ...]:
     return h, seen, size, w, n, cw
 
 
-def train(docs: DataFrame, min_count: int = MIN_COUNT, k: int = K, size: int = SLICE) -> tuple[Model, DataFrame, int]:
-    """The model, the slices with all their answers (for score_own), and the number of buckets."""
+def train(docs: DataFrame, min_count: int = MIN_COUNT, k: int = K, size: int = SLICE, hot_least: int = HOT_LEAST) -> tuple[Model, DataFrame, Spread]:
+    """The model, the slices with all their answers, and where their bigrams went (both for score_own)."""
     slices = stored(_slices(docs, size), "slices")
     n_slices = slices.count()
-    buckets = max(1, n_slices)
-    parts = max(1, n_slices)
+    buckets = parts = max(1, n_slices)
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in _grouped(batches, "key"):
@@ -315,14 +369,17 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT, k: int = K, size: int = S
     words, word_replies = answered(TABLE), answered(REPLY)
     one = _sums(words, k)
     d1 = discounts(one[: k + 1].tolist(), k)
-    total, kinds = int(one[k + 1]), int(one[k + 2])
+    total = int(one[k + 1])
+    starts = slices.agg(F.sum("bucket")).first()[0] or 0
+    spread = Spread(buckets, max(hot_least, math.ceil(total * HOT_SHARE)), starts)
     freed = 1.0 if not total else sum(r * (1 - x) * int(one[r - 1]) for r, x in enumerate(d1, 1)) / total
     known = slices.unionAll(word_replies)
+    hot_ids = _hot_words(words, spread)
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in _grouped(batches, "key"):
-            u, w, n, cw, _ = Slice(rows, buckets).bigrams(buckets)
-            for b, i, j in _cuts(id_bucket(u, buckets)):
+            u, w, n, cw, bucket, _ = Slice(rows, buckets).bigrams(spread)
+            for b, i, j in _cuts(bucket):
                 first = runs(u[i:j])
                 h = u[i:j][first]
                 yield row(SLICED, key, b, pack(np.concatenate([np.diff(h, prepend=0), np.diff(np.append(first, j - i))])), pack(w[i:j]), pack(n[i:j]), pack(cw[i:j]))
@@ -348,22 +405,49 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT, k: int = K, size: int = S
             which = np.empty(len(order), np.int64)
             which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
             told = np.where(keep, counts, 0)
-            # For each history the stored bigrams of each count up to k, the tokens in greater counts, and their words' unigram mass.
-            owner = np.searchsorted(hs, np.arange(len(counts)), "right") - 1
-            by_count = [np.bincount(owner, keep & (counts == r), len(h)) for r in range(1, k + 1)]
-            above = np.bincount(owner, np.where(keep & (counts > k), counts, 0), len(h))
-            lower = np.bincount(owner, np.where(keep, discounted(cws, d1), 0), len(h)) / max(1, total)
+            owner = np.searchsorted(hs, np.flatnonzero(keep), "right") - 1
+            sums, lower = _sums_of(owner, counts[keep], discounted(cws[keep], d1) / max(1, total), seen, k)
+            if (hot := np.isin(h, hot_ids)).any():
+                yield row(HOT, b, b, h[hot].astype("<i8").tobytes(), sums[:, hot].astype("<i8").tobytes(), lower[hot].astype("<f8").tobytes())
             at = 0
             for r, (own, long, *_) in zip(rows, lists):
                 place = np.searchsorted(h, own)
-                yield row(REPLY, r["key"], b, pack(told[which[at : at + len(long)]]), pack(np.concatenate([seen[place], *(x[place].astype(np.int64) for x in by_count), above[place].astype(np.int64)])), _bytes(lower[place].astype("<f8").tobytes()), b"pairs")
+                yield row(REPLY, r["key"], b, pack(told[which[at : at + len(long)]]), pack(sums[:, place].reshape(-1)), _bytes(lower[place].astype("<f8").tobytes()), b"pairs")
                 at += len(long)
 
     answered = _stored_by_kind(_at(_at(known, "key", parts).mapInArrow(ask_pairs, _ROW), "bucket", parts).mapInArrow(count_pairs, _ROW), "pairs")
     pairs, pair_replies = answered(TABLE), answered(REPLY)
     d2 = discounts(_sums(pairs, k)[: k + 1].tolist(), k)
     d2 = [0.0 if r < min_count else x for r, x in enumerate(d2, 1)]
-    return Model(words, pairs, total, kinds, d1, d2, freed), _at(known.unionAll(pair_replies), "key", parts), buckets
+    return Model(words, pairs, total, d1, d2, freed, _hot_sums(answered(HOT), k)), _at(known.unionAll(pair_replies), "key", parts), spread
+
+
+def _hot_words(words: DataFrame, spread: Spread) -> np.ndarray:
+    """Numbers of words so common that their followers are spread; the start mark too where it is."""
+    hot = spread.hot
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _grouped(batches, "bucket"):
+            n = unpack(rows[0]["b"])
+            ids = 1 + np.flatnonzero(n >= hot) * int.from_bytes(rows[0]["c"], "little") + bucket
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=["id"])
+
+    found = [r["id"] for r in words.mapInArrow(run, "id bigint").collect()]
+    return np.array(sorted(found + [0] * (spread.starts >= hot)), np.int64)
+
+
+def _hot_sums(parts: DataFrame, k: int) -> Hot:
+    """Parts of hot histories, added up."""
+    ids, sums, lower = [np.zeros(0, np.int64)], [np.zeros((k + 2, 0), np.int64)], [np.zeros(0)]
+    for r in parts.orderBy("bucket").toLocalIterator():
+        ids.append(np.frombuffer(r["a"], "<i8"))
+        sums.append(np.frombuffer(r["b"], "<i8").reshape(k + 2, -1))
+        lower.append(np.frombuffer(r["c"], "<f8"))
+    distinct, inverse = np.unique(np.concatenate(ids), return_inverse=True)
+    total, mass = np.zeros((k + 2, len(distinct)), np.int64), np.zeros(len(distinct))
+    np.add.at(total.T, inverse, np.concatenate(sums, axis=1).T)
+    np.add.at(mass, inverse, np.concatenate(lower))
+    return Hot(distinct, total, mass)
 
 
 def _sums(table: DataFrame, k: int) -> np.ndarray:
@@ -386,15 +470,14 @@ def _stored_by_kind(df: DataFrame, name: str) -> Callable[[int], DataFrame]:
     return lambda kind: whole.filter(F.col("kind") == kind)
 
 
-def score_own(model: Model, answered: DataFrame, buckets: int) -> DataFrame:
+def score_own(model: Model, answered: DataFrame, spread: Spread) -> DataFrame:
     """doc_id, n_tokens, logprob (natural, summed) and perplexity of the documents that the model was trained on."""
-    d1, d2, total, kinds, freed = model.d1, model.d2, model.total, model.kinds, model.freed
+    m = model.bare()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(None, None, total, kinds, d1, d2, freed)  # type: ignore[arg-type]
         for _, rows in _grouped(batches, "key"):
-            s = Slice(rows, buckets)
-            u, _, _, cw, place = s.bigrams(buckets)
+            s = Slice(rows, spread.buckets)
+            u, _, _, cw, _, place = s.bigrams(spread)
             n, bottom, bow = np.zeros(len(u), np.int64), np.ones(len(u)), np.ones(len(u))
             at = 0
             for r in rows:
@@ -403,13 +486,10 @@ def score_own(model: Model, answered: DataFrame, buckets: int) -> DataFrame:
                     here = slice(at, at + len(own))
                     first = runs(u[here])
                     size = np.diff(np.append(first, len(own)))
-                    seen, *by_count, above = np.split(unpack(r["b"]).astype(np.int64), len(d2) + 2)
-                    kept = above + sum((r_ * d2[r_ - 1] * x for r_, x in enumerate(by_count, 1)), np.zeros(len(seen)))
-                    below, weight = m.weights(seen, kept, np.frombuffer(_plain(r["c"]), "<f8"))
+                    below, weight = m.weights(u[here][first], unpack(r["b"]).astype(np.int64).reshape(-1, len(first)), np.frombuffer(_plain(r["c"]), "<f8"))
                     n[here], bottom[here], bow[here] = own, np.repeat(below, size), np.repeat(weight, size)
                     at += len(own)
-            high = n > 0
-            logp = np.log(np.where(high, discounted(n, d2) / bottom, bow * m.p_word(cw)))
+            logp = np.log(np.where(n > 0, discounted(n, m.d2) / bottom, bow * m.p_word(cw)))
             ends = np.cumsum(s.sizes)
             sums = np.concatenate([[0.0], np.cumsum(logp[place])])
             score = sums[ends] - sums[ends - s.sizes]

@@ -60,13 +60,14 @@ class Brute:
         return sum(math.log(self.p2(h, w)) for h, w in zip([None, *words], words))
 
 
-def test_scores_match_brute_force_and_sum_to_one(spark):
+@pytest.mark.parametrize("hot", [10**9, 40])
+def test_scores_match_brute_force_and_sum_to_one(spark, hot):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     brute = Brute([t for _, t in rows])
-    model, answered, buckets = K.train(docs, size=300)
-    assert buckets > 3 and model.d1 == brute.d1
-    own = {r.doc_id: r for r in K.score_own(model, answered, buckets).collect()}
+    model, answered, spread = K.train(docs, size=300, hot_least=hot)
+    assert spread.buckets > 3 and model.d1 == brute.d1 and (len(model.hot.ids) > 3) == (hot == 40)
+    own = {r.doc_id: r for r in K.score_own(model, answered, spread).collect()}
     assert all(own[i].logprob == pytest.approx(brute.score(t), abs=2e-3) and own[i].n_tokens == len(t.split()) for i, t in rows)
     for h in [None, *list(brute.one)[:8], "never"]:
         assert sum(brute.p2(h, w) for w in brute.one) + brute.history(h)[1] * brute.freed == pytest.approx(1)
