@@ -207,7 +207,8 @@ def brute_clean(texts, items, n):
         w = norm(t) if t else []
         hit = [k for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in grams]
         if hit:
-            out[d] = (len({p for k in hit for p in range(k, k + n)}), {i for k in hit for i in grams[tuple(w[k : k + n])]})
+            covered = {p for k in hit for p in range(k, k + n)}
+            out[d] = (len(covered), {i for k in hit for i in grams[tuple(w[k : k + n])]}, [x for p, x in enumerate(w) if p not in covered])
     return out
 
 
@@ -231,7 +232,9 @@ def test_decontamination_matches_brute_force(spark, max_grams):
     rows = D.find(docs, bench, max_grams=max_grams).collect()
     assert {r.doc_id for r in rows} == set(truth)
     for r in rows:
-        covered, named = truth[r.doc_id]
+        covered, named, rest = truth[r.doc_id]
+        assert (r.action == "drop") == (covered >= D.DROP_SHARE * r.n_words)
+        assert r.clean_text is None if r.action == "drop" else D.WORD.findall(D.lowered(r.clean_text)) == rest
         assert r.n_covered == covered and set(map(int, r["items"].split(","))) == named
     assert sum(r.doc_id == 103 for r in rows) == 2
     left = D.clean(docs, bench, max_grams=max_grams)
@@ -239,7 +242,9 @@ def test_decontamination_matches_brute_force(spark, max_grams):
     kept = left.collect()
     assert {r.doc_id for r in kept} == {d for d, _ in texts} - {r.doc_id for r in rows if r.action == "drop"}
     assert all(r.text is None or r.n_chars == len(r.text) for r in kept)
-    assert not brute_clean([(r.doc_id, r.text) for r in kept if r.doc_id in truth and rows], [], D.N)
+    cut = {r.doc_id: r.clean_text for r in rows}
+    before = dict(texts)
+    assert all(r.text == cut.get(r.doc_id, before[r.doc_id]) for r in kept)
     assert D.find(docs, bench.limit(0)).count() == 0 and D.find(docs.limit(0), bench).count() == 0
 
 
