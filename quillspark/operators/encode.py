@@ -21,7 +21,8 @@ from quillspark.functions.normalize import denormalize_text, normalize_text
 from quillspark.functions.pretokenize import pretokenize_text
 from quillspark.model import BYTE_TOKEN, Model
 
-MEMO = 200_000
+#: Chunks that a worker remembers, and the longest of them.
+MEMO, MEMO_CHARS = 200_000, 64
 _BYTES = re.compile(rf"(?:{BYTE_TOKEN.pattern})+")
 
 
@@ -70,6 +71,8 @@ class Encoder:
         self.memo: dict[str, list[str]] = {}
 
     def chunk(self, chunk: str) -> list[str]:
+        if len(chunk) > MEMO_CHARS:
+            return self._chunk(chunk)
         found = self.memo.get(chunk)
         if found is None:
             if len(self.memo) >= MEMO:
