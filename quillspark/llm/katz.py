@@ -173,9 +173,27 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int,
         yield now, held
 
 
-def _at(df: DataFrame, by: str, parts: int) -> DataFrame:
-    """Rows of one value together, slices before replies."""
-    return df.repartition(parts, by).sortWithinPartitions(by, "kind", "bucket" if by == "key" else "key")
+@dataclass(frozen=True)
+class Places:
+    """A partition for each bucket and for each slice, which a key names by its task and its number there (from 1 to most)."""
+
+    buckets: int
+    tasks: int
+    most: int
+
+    @classmethod
+    def of(cls, slices: DataFrame) -> tuple[Places, int]:
+        """Also how many texts have a word."""
+        r = slices.agg(F.count("*"), F.max(F.shiftright("key", 32)), F.max(F.col("key").bitwiseAND(0xFFFFFFFF)), F.sum("bucket")).first()
+        return cls(max(1, r[0]), (r[1] or 0) + 1, r[2] or 1), r[3] or 0
+
+    def by_bucket(self, df: DataFrame) -> DataFrame:
+        return df.repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "key")
+
+    def by_slice(self, df: DataFrame) -> DataFrame:
+        """Slices come before the answers to them."""
+        at = F.shiftright("key", 32) * self.most + F.col("key").bitwiseAND(0xFFFFFFFF) - 1
+        return df.repartitionById(self.tasks * self.most, at.cast("int")).sortWithinPartitions("key", "kind", "bucket")
 
 
 class Slice:
@@ -340,8 +358,8 @@ def _table_row(r: dict) -> tuple[np.ndarray, ...]:
 def train(docs: DataFrame, min_count: int = MIN_COUNT, k: int = K, size: int = SLICE, hot_least: int = HOT_LEAST) -> tuple[Model, DataFrame, Spread]:
     """The model, the slices with all their answers, and where their bigrams went (both for score_own)."""
     slices = stored(_slices(docs, size), "slices")
-    n_slices = slices.count()
-    buckets = parts = max(1, n_slices)
+    places, starts = Places.of(slices)
+    buckets = places.buckets
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in _grouped(batches, "key"):
@@ -365,12 +383,11 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT, k: int = K, size: int = S
             for key, words, _ in asked:
                 yield row(REPLY, key, b, pack(np.array([number[w] for w in words])), pack(np.array([total[w] for w in words])))
 
-    answered = _stored_by_kind(_at(slices.mapInArrow(ask_words, _ROW), "bucket", parts).mapInArrow(count_words, _ROW), "words")
+    answered = _stored_by_kind(places.by_bucket(slices.mapInArrow(ask_words, _ROW)).mapInArrow(count_words, _ROW), "words")
     words, word_replies = answered(TABLE), answered(REPLY)
     one = _sums(words, k)
     d1 = discounts(one[: k + 1].tolist(), k)
     total = int(one[k + 1])
-    starts = slices.agg(F.sum("bucket")).first()[0] or 0
     spread = Spread(buckets, max(hot_least, math.ceil(total * HOT_SHARE)), starts)
     freed = 1.0 if not total else sum(r * (1 - x) * int(one[r - 1]) for r, x in enumerate(d1, 1)) / total
     known = slices.unionAll(word_replies)
@@ -415,11 +432,11 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT, k: int = K, size: int = S
                 yield row(REPLY, r["key"], b, pack(told[which[at : at + len(long)]]), pack(sums[:, place].reshape(-1)), _bytes(lower[place].astype("<f8").tobytes()), b"pairs")
                 at += len(long)
 
-    answered = _stored_by_kind(_at(_at(known, "key", parts).mapInArrow(ask_pairs, _ROW), "bucket", parts).mapInArrow(count_pairs, _ROW), "pairs")
+    answered = _stored_by_kind(places.by_bucket(places.by_slice(known).mapInArrow(ask_pairs, _ROW)).mapInArrow(count_pairs, _ROW), "pairs")
     pairs, pair_replies = answered(TABLE), answered(REPLY)
     d2 = discounts(_sums(pairs, k)[: k + 1].tolist(), k)
     d2 = [0.0 if r < min_count else x for r, x in enumerate(d2, 1)]
-    return Model(words, pairs, total, d1, d2, freed, _hot_sums(answered(HOT), k)), _at(known.unionAll(pair_replies), "key", parts), spread
+    return Model(words, pairs, total, d1, d2, freed, _hot_sums(answered(HOT), k)), places.by_slice(known.unionAll(pair_replies)), spread
 
 
 def _hot_words(words: DataFrame, spread: Spread) -> np.ndarray:
