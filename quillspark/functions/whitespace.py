@@ -17,8 +17,14 @@ WS29 = WS25 + "\x1c\x1d\x1e\x1f"
 
 
 def escaped(chars: str) -> str:
-    """Characters for a bracket class of Java, RE2 or Python, all in ASCII."""
-    return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
+    """Characters for a bracket class of Java, RE2 or Python, all in ASCII; neighbours as ranges, since Java tests the members of a class one by one."""
+    points, out = sorted(map(ord, chars)), []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
 
 
 WS25_CLASS, WS29_CLASS = escaped(WS25), escaped(WS29)
