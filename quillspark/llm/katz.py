@@ -3,9 +3,8 @@
 A word follows the word before it, the first one a start mark. Counts come from every
 document. Counts up to K are discounted by Good-Turing (Katz's form, so that the mass freed
 is that of the singletons); where counts of counts don't allow it, half a count is taken off
-instead. Bigrams seen less than MIN_COUNT times aren't stored, since on its own corpus a
-text of unique words would predict itself; their mass goes to backoff too. Unigram mass that
-discounting frees is the unknown word's. The backoff weight of a history h is exactly
+instead. Every bigram is stored (MIN_COUNT is 1). Unigram mass that discounting frees is the
+unknown word's. The backoff weight of a history h is exactly
 
     (1 - sum of p(w|h) over stored w) / (1 - sum of p(w) over stored w),
 
@@ -13,6 +12,11 @@ so the probabilities of all words and the unknown word sum to 1 after every hist
 is evaluated recursively: its stored bigram, else the weight of the history times its
 unigram, else the unknown word.
 
+So that no text predicts itself, a document of the corpus is scored by the bigrams of all
+other documents: its own are taken off the counts, the counts of counts (so the discounts)
+and the sums behind the weights, exactly. Unigrams remain those of the whole corpus, so a
+word of that document alone has the probability of a word seen once, not the unknown one's.
+
 How it runs. Texts become slices of word numbers once, stored. Each slice sends its distinct
 words, then its distinct bigrams with counts, to buckets by hash of the word or history, as
 packed arrays; a bucket adds them up, stores its part of the table, and answers each slice
@@ -22,7 +26,7 @@ least that of HOT_SHARE of all tokens, and HOT_LEAST) are spread over several bu
 word; the sums over them, of at most 1 / HOT_SHARE histories, meet on the driver.
 
 Results by case. Null or empty text, or no word: 0 tokens, log probability 0, null
-perplexity. Repeated rows: counted and scored each. Null doc_id: carried. Extra columns:
+perplexity. Repeated rows: counted and scored each (one predicts the other). Null doc_id: carried. Extra columns:
 ignored. Empty table: empty result. Very long texts: whole, in a slice of their own.
 """
 
@@ -42,8 +46,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import WORD, lowered, pieces, stored
 
-K, MIN_COUNT = 5, 2
+K, MIN_COUNT = 5, 1
 SLICE = 2_000_000
+SCORED = 250_000
 HOT_LEAST, HOT_SHARE = 2_000_000, 5e-6
 _ROW = "kind int, key bigint, bucket int, a binary, b binary, c binary, d binary"
 _NAMES = [f.split()[0] for f in _ROW.split(", ")]
@@ -285,6 +290,8 @@ class Model:
     d2: list[float]
     freed: float
     hot: Hot
+    least: int
+    n2: list[int]
 
     def bare(self) -> Model:
         """Without tables, for workers."""
@@ -295,11 +302,11 @@ class Model:
 
     def weights(self, h: np.ndarray, sums: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What counts after each history are divided by, and its backoff weight. sums as in Hot."""
-        sums, lower = self.hot.put(h, sums, lower)
-        seen, by_count, above = sums[0].astype(float), sums[1:-1], sums[-1]
-        kept = above + sum((r * d * x for r, (d, x) in enumerate(zip(self.d2, by_count), 1)), np.zeros(len(seen)))
-        bottom = np.where(seen - kept < 1e-9, seen + 0.5, seen)
-        return bottom, (1 - kept / np.maximum(bottom, 0.5)) / (1 - lower)
+        return _weights(*self.hot.put(h, sums, lower), np.array(self.d2)[:, None])
+
+    def discounts_of(self, n: list[int]) -> list[float]:
+        """Discounts of bigrams from their counts of counts; 0 for those not stored."""
+        return [0.0 if r < self.least else x for r, x in enumerate(discounts(n, len(self.d2)), 1)]
 
     def unigrams(self) -> DataFrame:
         """word, id, n and logp."""
@@ -340,6 +347,15 @@ class Model:
         return math.log(self.freed)
 
 
+def _weights(sums: np.ndarray, lower: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What counts are divided by and the backoff weight, by column of sums; d has a row for each count up to k."""
+    seen, by_count, above = sums[0].astype(float), sums[1:-1], sums[-1]
+    kept = above + (np.arange(1, len(d) + 1)[:, None] * d * by_count).sum(axis=0)
+    bottom = np.where(seen - kept < 1e-9, seen + 0.5, seen)
+    with np.errstate(divide="ignore", invalid="ignore"):  # where every word is stored, nothing backs off
+        return bottom, (1 - kept / np.maximum(bottom, 0.5)) / (1 - lower)
+
+
 def _sums_of(owner: np.ndarray, n: np.ndarray, p: np.ndarray, seen: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums by history (as in Hot) over stored bigrams of counts n and unigram probabilities p."""
     h = len(seen)
@@ -421,7 +437,6 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT, k: int = K, size: int = S
             yield row(TABLE, b, b, pack(np.concatenate([h, seen, size_])), pack(np.concatenate([ws[keep], counts[keep], cws[keep]])), None, np.array([(counts == r).sum() for r in range(1, k + 2)] + [counts.sum(), len(counts)], "<i8").tobytes())
             which = np.empty(len(order), np.int64)
             which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-            told = np.where(keep, counts, 0)
             owner = np.searchsorted(hs, np.flatnonzero(keep), "right") - 1
             sums, lower = _sums_of(owner, counts[keep], discounted(cws[keep], d1) / max(1, total), seen, k)
             if (hot := np.isin(h, hot_ids)).any():
@@ -429,14 +444,14 @@ def train(docs: DataFrame, min_count: int = MIN_COUNT, k: int = K, size: int = S
             at = 0
             for r, (own, long, *_) in zip(rows, lists):
                 place = np.searchsorted(h, own)
-                yield row(REPLY, r["key"], b, pack(told[which[at : at + len(long)]]), pack(sums[:, place].reshape(-1)), _bytes(lower[place].astype("<f8").tobytes()), b"pairs")
+                yield row(REPLY, r["key"], b, pack(counts[which[at : at + len(long)]]), pack(sums[:, place].reshape(-1)), _bytes(lower[place].astype("<f8").tobytes()), b"pairs")
                 at += len(long)
 
     answered = _stored_by_kind(places.by_bucket(places.by_slice(known).mapInArrow(ask_pairs, _ROW)).mapInArrow(count_pairs, _ROW), "pairs")
     pairs, pair_replies = answered(TABLE), answered(REPLY)
-    d2 = discounts(_sums(pairs, k)[: k + 1].tolist(), k)
-    d2 = [0.0 if r < min_count else x for r, x in enumerate(d2, 1)]
-    return Model(words, pairs, total, d1, d2, freed, _hot_sums(answered(HOT), k)), places.by_slice(known.unionAll(pair_replies)), spread
+    n2 = _sums(pairs, k)[: k + 1].tolist()
+    d2 = [0.0 if r < min_count else x for r, x in enumerate(discounts(n2, k), 1)]
+    return Model(words, pairs, total, d1, d2, freed, _hot_sums(answered(HOT), k), min_count, n2), places.by_slice(known.unionAll(pair_replies)), spread
 
 
 def _hot_words(words: DataFrame, spread: Spread) -> np.ndarray:
@@ -487,29 +502,54 @@ def _stored_by_kind(df: DataFrame, name: str) -> Callable[[int], DataFrame]:
     return lambda kind: whole.filter(F.col("kind") == kind)
 
 
-def score_own(model: Model, answered: DataFrame, spread: Spread) -> DataFrame:
-    """doc_id, n_tokens, logprob (natural, summed) and perplexity of the documents that the model was trained on."""
+def _document_scores(m: Model, n: np.ndarray, p: np.ndarray, history: np.ndarray, sums: np.ndarray, lower: np.ndarray, place: np.ndarray, sizes: np.ndarray, leave_out: bool) -> np.ndarray:
+    """Log probabilities of documents of those sizes, one after another in place, the bigram of each token. n, p and history are by bigram: count, unigram probability, column of sums and lower."""
+    docs, k = len(sizes), len(m.d2)
+    keys, own = np.unique(np.repeat(np.arange(docs), sizes) * len(n) + place, return_counts=True)
+    doc, pair = np.divmod(keys, max(1, len(n)))
+    before = n[pair]
+    after = before - own if leave_out else before
+    keys, at = np.unique(doc * max(1, len(lower)) + history[pair], return_inverse=True)
+    at = at.reshape(-1)
+    whose, h = np.divmod(keys, max(1, len(lower)))
+    moved = lambda owner, size, was, now: np.bincount(owner, now, size) - np.bincount(owner, was, size)
+    gone = (before >= m.least) & (after < m.least)
+    held = [np.where(x >= m.least, x, 0) for x in (before, after)]
+    steps = [moved(at, len(h), *(x == r for x in held)) for r in range(1, k + 1)]
+    steps = [np.bincount(at, after - before, len(h)), *steps, moved(at, len(h), *(np.where(x > k, x, 0) for x in held))]
+    ones = np.array(m.n2)[:, None] + np.stack([moved(doc, docs, before == r, after == r) for r in range(1, k + 2)])
+    d = np.array([m.discounts_of(x) for x in ones.astype(np.int64).T.tolist()]).T
+    bottom, bow = _weights(sums[:, h] + np.stack(steps), lower[h] - np.bincount(at, np.where(gone, p[pair], 0.0), len(h)), d[:, whose])
+    left = np.where(after > k, after, after * np.concatenate([np.zeros((1, docs)), d])[np.minimum(after, k), doc])
+    stored_, top = after >= m.least, bow[at] * p[pair]
+    logp = np.log(np.where(stored_, left / bottom[at], top))
+    return np.bincount(doc, own * logp, docs)
+
+
+def score_own(model: Model, answered: DataFrame, spread: Spread, leave_out: bool = False) -> DataFrame:
+    """doc_id, n_tokens, logprob (natural, summed) and perplexity of the documents that the model was trained on; leave_out: each by the bigrams of all others."""
     m = model.bare()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, "key"):
             s = Slice(rows, spread.buckets)
             u, _, _, cw, _, place = s.bigrams(spread)
-            n, bottom, bow = np.zeros(len(u), np.int64), np.ones(len(u)), np.ones(len(u))
+            distinct, history = np.unique(u, return_inverse=True)
+            history = history.reshape(-1)
+            n, sums, lower = np.zeros(len(u), np.int64), np.zeros((len(m.d2) + 2, len(distinct)), np.int64), np.zeros(len(distinct))
             at = 0
             for r in rows:
                 if r["kind"] == REPLY and r["d"] is not None:
                     own = unpack(r["a"])
                     here = slice(at, at + len(own))
                     first = runs(u[here])
-                    size = np.diff(np.append(first, len(own)))
-                    below, weight = m.weights(u[here][first], unpack(r["b"]).astype(np.int64).reshape(-1, len(first)), np.frombuffer(_plain(r["c"]), "<f8"))
-                    n[here], bottom[here], bow[here] = own, np.repeat(below, size), np.repeat(weight, size)
+                    to = history[here][first]
+                    sums[:, to], lower[to] = m.hot.put(u[here][first], unpack(r["b"]).astype(np.int64).reshape(-1, len(first)), np.frombuffer(_plain(r["c"]), "<f8"))
+                    n[here] = own
                     at += len(own)
-            logp = np.log(np.where(n > 0, discounted(n, m.d2) / bottom, bow * m.p_word(cw)))
-            ends = np.cumsum(s.sizes)
-            sums = np.concatenate([[0.0], np.cumsum(logp[place])])
-            score = sums[ends] - sums[ends - s.sizes]
+            p, ends, score = m.p_word(cw), np.cumsum(s.sizes), np.zeros(len(s.sizes))
+            for a, b in _shares(s.sizes):
+                score[a:b] = _document_scores(m, n, p, history, sums, lower, place[ends[a] - s.sizes[a] : ends[b - 1]], s.sizes[a:b], leave_out)
             none = s.sizes == 0
             perplexity = np.exp(-score / np.maximum(1, s.sizes))
             yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(s.sizes, pa.int32()), pa.array(np.where(none, 0.0, np.round(score, 4))), pa.array(np.round(perplexity, 4), mask=none)], names=["doc_id", "n_tokens", "logprob", "perplexity"])
@@ -517,6 +557,12 @@ def score_own(model: Model, answered: DataFrame, spread: Spread) -> DataFrame:
     return answered.mapInArrow(run, "doc_id bigint, n_tokens int, logprob double, perplexity double")
 
 
+def _shares(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Documents from and to, of about SCORED tokens together."""
+    cuts = runs((np.cumsum(sizes) - sizes) // SCORED).tolist()
+    return list(zip(cuts, [*cuts[1:], len(sizes)]))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """The same for other documents: every token meets the tables by join, an unseen bigram backs off, an unseen word is the unknown one."""
 
@@ -541,5 +587,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def train_and_score(docs: DataFrame, min_count: int = MIN_COUNT, size: int = SLICE) -> DataFrame:
-    """Scores of docs under the model of docs."""
-    return score_own(*train(docs, min_count, K, size))
+    """Scores of docs, each under the model of the others."""
+    return score_own(*train(docs, min_count, K, size), leave_out=True)

@@ -82,6 +82,33 @@ def test_scores_match_brute_force_and_sum_to_one(spark, hot):
     assert held[1003].n_tokens == held[1004].n_tokens == 0 and held[1003].perplexity is None
 
 
+def left_out(texts, i):
+    """The model of the other texts' bigrams over the unigrams of all, no bigram dropped."""
+    model, others = Brute(texts, 1), Brute(texts[:i] + texts[i + 1 :], 1)
+    model.two, model.hist, model.d2 = others.two, others.hist, others.d2
+    return model
+
+
+@pytest.mark.parametrize("hot", [10**9, 40])
+def test_all_bigrams_count_and_no_text_predicts_itself(spark, hot, monkeypatch):
+    monkeypatch.setattr(K, "SCORED", 100)
+    texts = [t for _, t in corpus()] + ["one two three four five one two"]
+    rows = list(enumerate(texts))
+    model, answered, spread = K.train(spark.createDataFrame(rows, "doc_id bigint, text string"), size=300, hot_least=hot)
+    assert model.bigrams().filter("n = 1").count() == sum(c == 1 for c in Brute(texts, 1).two.values()) > 50
+    own = {r.doc_id: r.logprob for r in K.score_own(model, answered, spread, leave_out=True).collect()}
+    assert all(own[i] == pytest.approx(left_out(texts, i).score(t), abs=2e-3) for i, t in rows)
+    alone = left_out(texts, len(texts) - 1)
+    assert own[len(texts) - 1] == pytest.approx(math.log(alone.p2(None, "one")) + sum(math.log(alone.p1(w)) for w in texts[-1].split()[1:]), abs=2e-3)
+
+
+def test_the_query_leaves_each_document_out(spark):
+    rows = corpus(40)
+    texts = [t for _, t in rows]
+    out = {r.doc_id: r.logprob for r in K.train_and_score(spark.createDataFrame(rows, "doc_id bigint, text string"), size=300).collect()}
+    assert all(out[i] == pytest.approx(left_out(texts, i).score(t), abs=2e-3) for i, t in rows)
+
+
 def test_discounts_fall_back_where_counts_of_counts_are_empty():
     assert K.discounts([0] * 6) == [0.5, 0.75, 1 - 0.5 / 3, 0.875, 0.9]
     good = K.discounts([1000, 400, 220, 140, 100, 75])
