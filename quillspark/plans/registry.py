@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from quillspark.functions.whitespace import SPACER, WS25_CLASS, WS29_CLASS, word
 from quillspark.model import Model, model_hash
 from quillspark.operators import metrics as M
 from quillspark.operators.encode import count_tokens, decode, encode, encode_ids, explain_function
-from quillspark.operators.training import base_vocabulary, may_merge, pair_counts, split_by_order, tokens_of, train_bpe, train_bpe_fast, train_fair_bpe, word_counts
+from quillspark.operators.training import FairResult, base_vocabulary, may_merge, pair_counts, split_by_order, tokens_of, train_bpe, train_bpe_fast, train_fair_bpe, word_counts
 from quillspark.plans import oracle as O
 from quillspark.sources.corpus import manifest, synthetic_corpus
 
@@ -21,16 +22,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Merges that the training queries learn; each is a step of their SQL.
+#: Merges that the training queries with SQL learn; each is a step of it.
 MERGES, FAIR_MERGES, WEIGHT = 20, 6, 0.3
+#: Vocabulary size of the queries named ..._full: the same ones at the size of real work, which is beyond SQL.
+VOCAB = 10_000
 LANGS = ["de", "en", "es", "fr"]
 CONFIG = NormalizerConfig(form="NFC", spacer="PREFIX", chunking="GPT2")
-_MODELS: dict[tuple[str, str, str], Model] = {}
+_MODELS: dict[tuple, Model] = {}
+_FAIR: dict[tuple, FairResult] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query; one that takes a vocabulary size also as name_full, with VOCAB."""
+
     def add(f: Query) -> Query:
         QUERIES[name] = f
+        if "size" in signature(f).parameters:
+            QUERIES[f"{name}_full"] = lambda spark, d: f(spark, d, VOCAB)
         if sql:
             ORACLE_SQL[name] = sql
         return f
@@ -42,16 +50,20 @@ def docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select(*columns or ("doc_id", "lang", "text"))
 
 
-def model_of(spark: SparkSession, d: str) -> Model:
-    """The model of a folder's documents, learned once in a session."""
-    key = (spark.sparkContext.applicationId, d, "standard")
+def budget(size: int | None, merges: int) -> dict[str, int]:
+    return {"n_merges": merges} if size is None else {"vocab_size": size}
+
+
+def model_of(spark: SparkSession, d: str, size: int | None = None) -> Model:
+    """The model of a folder's documents, of MERGES merges or a vocabulary size, learned once in a session."""
+    key = (spark.sparkContext.applicationId, d, size)
     if key not in _MODELS:
-        _MODELS[key] = train_bpe(docs(spark, d, "doc_id", "text"), n_merges=MERGES, normalizer=CONFIG)
+        _MODELS[key] = train_bpe(docs(spark, d, "doc_id", "text"), **budget(size, MERGES), normalizer=CONFIG)
     return _MODELS[key]
 
 
-def encoded(spark: SparkSession, d: str, model: Model | None = None) -> DataFrame:
-    return docs(spark, d).withColumn("tokens", encode(F.col("text"), model or model_of(spark, d)))
+def encoded(spark: SparkSession, d: str, size: int | None = None) -> DataFrame:
+    return docs(spark, d).withColumn("tokens", encode(F.col("text"), model_of(spark, d, size)))
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -174,13 +186,13 @@ def top_pairs(spark, d):
 # Training
 
 @query("train_merges_std", f"WITH {O.trained(MERGES)} {O.merges_of(MERGES)}")
-def train_merges_std(spark, d):
-    return model_of(spark, d).merge_table(spark)
+def train_merges_std(spark, d, size=None):
+    return model_of(spark, d, size).merge_table(spark)
 
 
 @query("train_vocab_std", f"WITH {O.trained(MERGES)}, base AS (SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS token FROM w0), allt AS (SELECT token, 0 AS part, 0 AS k FROM base UNION ALL SELECT \"left\" || \"right\", 1, rank FROM ({O.merges_of(MERGES)})) SELECT (row_number() OVER (ORDER BY part, k, encode(token)) - 1)::INT AS id, token FROM allt")
-def train_vocab_std(spark, d):
-    return model_of(spark, d).vocab_table(spark).select("id", "token")
+def train_vocab_std(spark, d, size=None):
+    return model_of(spark, d, size).vocab_table(spark).select("id", "token")
 
 
 @query("train_unused_pad", f"WITH {O.CHUNKS}, base AS (SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS token FROM ch), sp AS (SELECT unnest(['<PAD>', '<UNK>', '<BOS>', '<EOS>']) AS token, unnest([0, 1, 2, 3]) AS k), t AS (SELECT token, k FROM sp UNION ALL SELECT token, 4 FROM base), n AS (SELECT (row_number() OVER (ORDER BY k, encode(token)) - 1)::INT AS id, token FROM t) SELECT id, token FROM n UNION ALL SELECT i::INT, '<unused_' || i || '>' FROM range((SELECT count(*) FROM n), (SELECT count(*) + 4 FROM n)) r(i)")
@@ -192,36 +204,39 @@ def train_unused_pad(spark, d):
 
 
 @query("train_merges_bytes_lex", f"WITH {O.trained(MERGES, tokens=O.BYTES, ties='lex', valid='true')} {O.merges_of(MERGES)}")
-def train_merges_bytes_lex(spark, d):
-    return train_bpe_fast(docs(spark, d, "doc_id", "text"), n_merges=MERGES, normalizer=CONFIG).merge_table(spark)
+def train_merges_bytes_lex(spark, d, size=None):
+    return train_bpe_fast(docs(spark, d, "doc_id", "text"), **budget(size, MERGES), normalizer=CONFIG).merge_table(spark)
 
 
-def fair_of(spark, d, weight):
-    return train_fair_bpe(docs(spark, d), n_merges=FAIR_MERGES, fairness_weight=weight, languages=LANGS, normalizer=CONFIG)
+def fair_of(spark, d, weight, size=None):
+    key = (spark.sparkContext.applicationId, d, weight, size)
+    if key not in _FAIR:
+        _FAIR[key] = train_fair_bpe(docs(spark, d), **budget(size, FAIR_MERGES), fairness_weight=weight, languages=LANGS, normalizer=CONFIG)
+    return _FAIR[key]
 
 
 @query("train_merges_fair", f"WITH {O.fair(FAIR_MERGES, WEIGHT, LANGS)} {O.merges_of(FAIR_MERGES)}")
-def train_merges_fair(spark, d):
-    return fair_of(spark, d, WEIGHT).model.merge_table(spark)
+def train_merges_fair(spark, d, size=None):
+    return fair_of(spark, d, WEIGHT, size).model.merge_table(spark)
 
 
 @query("train_merges_fair_0", f"WITH {O.fair(FAIR_MERGES, 0, LANGS)} {O.merges_of(FAIR_MERGES)}")
-def train_merges_fair_0(spark, d):
-    return fair_of(spark, d, 0).model.merge_table(spark)
+def train_merges_fair_0(spark, d, size=None):
+    return fair_of(spark, d, 0, size).model.merge_table(spark)
 
 
 @query("fair_language_stats", f"WITH {O.fair(FAIR_MERGES, WEIGHT, LANGS)}, st AS (SELECT lang, sum(n * len(string_split(substr(s, 2, len(s) - 2), chr(2) || chr(1))))::BIGINT AS total_tokens, sum(n)::BIGINT AS total_words FROM w{FAIR_MERGES} GROUP BY lang) SELECT lang, total_tokens, total_words, round(total_tokens / total_words::DOUBLE, 6) AS fertility, round(total_words / (sum(total_words) OVER ())::DOUBLE, 6) AS target_ratio FROM st")
-def fair_language_stats(spark, d):
-    rows = fair_of(spark, d, WEIGHT).languages
+def fair_language_stats(spark, d, size=None):
+    rows = fair_of(spark, d, WEIGHT, size).languages
     return spark.createDataFrame([(r["lang"], r["total_tokens"], r["total_words"], round(r["fertility"], 6), round(r["target_ratio"], 6)) for r in rows], "lang string, total_tokens bigint, total_words bigint, fertility double, target_ratio double")
 
 
 @query("fairness_sweep")
-def fairness_sweep(spark, d):
+def fairness_sweep(spark, d, size=None):
     """Weights and what they do to the languages' fertility."""
     rows = []
     for weight in (0.0, 0.3, 0.5, 1.0):
-        result = fair_of(spark, d, weight)
+        result = fair_of(spark, d, weight, size)
         rows += [(weight, x["lang"], x["fertility"], result.fertility_gap()) for x in result.languages]
     return spark.createDataFrame(rows, "fairness_weight double, lang string, fertility double, fertility_gap double")
 
@@ -229,18 +244,18 @@ def fairness_sweep(spark, d):
 # Encoding
 
 @query("encode_tokens", f"WITH {O.token_rows(MERGES)} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1)::INT AS pos, token FROM tok")
-def encode_tokens(spark, d):
-    return M.token_rows(encoded(spark, d), "doc_id")
+def encode_tokens(spark, d, size=None):
+    return M.token_rows(encoded(spark, d, size), "doc_id")
 
 
 @query("encode_counts_by_doc", f"WITH {O.encoded(MERGES)} SELECT doc_id, sum(len(tokens))::BIGINT AS n_tokens FROM enc GROUP BY doc_id UNION ALL SELECT doc_id, 0 FROM documents WHERE text = ''")
-def encode_counts_by_doc(spark, d):
-    return docs(spark, d, "doc_id", "text").select("doc_id", count_tokens(F.col("text"), model_of(spark, d)).alias("n_tokens"))
+def encode_counts_by_doc(spark, d, size=None):
+    return docs(spark, d, "doc_id", "text").select("doc_id", count_tokens(F.col("text"), model_of(spark, d, size)).alias("n_tokens"))
 
 
 @query("encode_ids", f"WITH {O.token_rows(MERGES)}, base AS (SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS token FROM w0), allt AS (SELECT token, 0 AS part, 0 AS q FROM base UNION ALL SELECT \"left\" || \"right\", 1, rank FROM ({O.merges_of(MERGES)})), voc AS (SELECT (row_number() OVER (ORDER BY part, q, encode(token)) - 1)::INT AS id, token FROM allt) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1)::INT AS pos, id FROM tok LEFT JOIN voc USING (token)")
-def encode_ids_(spark, d):
-    return docs(spark, d, "doc_id", "text").select("doc_id", F.posexplode(encode_ids(F.col("text"), model_of(spark, d))).alias("pos", "id"))
+def encode_ids_(spark, d, size=None):
+    return docs(spark, d, "doc_id", "text").select("doc_id", F.posexplode(encode_ids(F.col("text"), model_of(spark, d, size))).alias("pos", "id"))
 
 
 @query("byte_fallback_tokens", "SELECT item_id, array_to_string([CASE WHEN strlen(x) = 1 THEN x ELSE array_to_string(['<0x' || h || '>' for h in regexp_extract_all(hex(encode(x)), '..')], ' ') END for x in regexp_extract_all(text, '(?s).')], ' ') AS tokens FROM benchmark")
@@ -251,16 +266,16 @@ def byte_fallback_tokens(spark, d):
 
 
 @query("decode_roundtrip", f"WITH {O.CHUNKS} SELECT doc_id, regexp_replace(replace(string_agg(word, '' ORDER BY pos), '{SPACER}', ' '), '^ ', '') AS text FROM ch GROUP BY doc_id")
-def decode_roundtrip(spark, d):
+def decode_roundtrip(spark, d, size=None):
     """Encoded and decoded: every chunk has brought its spacer, as a space."""
-    model = model_of(spark, d)
-    return encoded(spark, d, model).select("doc_id", decode(F.col("tokens"), model).alias("text"))
+    model = model_of(spark, d, size)
+    return encoded(spark, d, size).select("doc_id", decode(F.col("tokens"), model).alias("text"))
 
 
 @query("merge_explain")
-def merge_explain(spark, d):
+def merge_explain(spark, d, size=None):
     """Every merge of every item of the benchmark, step by step."""
-    spark.udtf.register("qs_explain", explain_function(model_of(spark, d)))
+    spark.udtf.register("qs_explain", explain_function(model_of(spark, d, size)))
     return spark.sql("SELECT item_id, e.chunk, e.step, e.left, e.right, e.rank, array_join(e.tokens, ' ') AS tokens FROM {b} b, LATERAL qs_explain(b.text) e", b=spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
@@ -269,45 +284,45 @@ def merge_explain(spark, d):
 _REPORT = f"WITH {O.report(MERGES)}"
 
 
-def lang_report(spark, d):
-    return M.corpus_report(encoded(spark, d))
+def lang_report(spark, d, size=None):
+    return M.corpus_report(encoded(spark, d, size))
 
 
 @query("fertility_by_lang", f"{_REPORT} SELECT lang, n_tokens, n_words, n_chars, round(fertility, 6) AS fertility, round(compression, 6) AS compression FROM rep")
-def fertility_by_lang(spark, d):
-    return rounded(lang_report(spark, d), "fertility", "compression")
+def fertility_by_lang(spark, d, size=None):
+    return rounded(lang_report(spark, d, size), "fertility", "compression")
 
 
 _SUMMARY = "v AS (SELECT fertility AS x, row_number() OVER (ORDER BY fertility) AS i FROM rep), g AS (SELECT 2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1) / count(*)::DOUBLE AS gini, avg(x) AS mean, stddev_pop(x) AS std, median(x) AS median, min(x) AS min, max(x) AS max FROM v)"
 
 
 @query("fairness_summary", f"{_REPORT}, {_SUMMARY} SELECT round(gini, 6) AS gini, round(std / mean, 6) AS cv, round(max / min, 6) AS max_min_ratio, round(max / median, 6) AS max_median_ratio, round(mean, 6) AS mean, round(std, 6) AS std, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max FROM g")
-def fairness_summary(spark, d):
-    out = M.fairness_summary(lang_report(spark, d))
+def fairness_summary(spark, d, size=None):
+    out = M.fairness_summary(lang_report(spark, d, size))
     return rounded(out, *out.columns)
 
 
 @query("fairness_report", f"{_REPORT}, {_SUMMARY} SELECT lang, round(fertility, 6) AS fertility, CASE WHEN fertility < 1.2 * median THEN 'ok' WHEN fertility < 1.5 * median THEN 'high' ELSE 'very high' END AS flag, CASE WHEN gini < 0.2 THEN 'FAIR' ELSE 'BIASED' END AS verdict FROM rep, g")
-def fairness_report(spark, d):
-    return rounded(M.fairness_report(lang_report(spark, d).select("lang", "fertility")), "fertility")
+def fairness_report(spark, d, size=None):
+    return rounded(M.fairness_report(lang_report(spark, d, size).select("lang", "fertility")), "fertility")
 
 
 @query("fairness_gap", f"{_REPORT} SELECT round(min(fertility) / max(fertility), 6) AS fairness_ratio, round(max(fertility) / min(fertility), 6) AS efficiency_gap, round(max(fertility) - min(fertility), 6) AS fertility_gap FROM rep")
-def fairness_gap(spark, d):
-    out = M.fairness_gap(lang_report(spark, d))
+def fairness_gap(spark, d, size=None):
+    out = M.fairness_gap(lang_report(spark, d, size))
     return rounded(out, *out.columns)
 
 
 @query("relative_cost", f"{_REPORT} SELECT r.lang, round(r.fertility, 6) AS fertility, r.n_tokens, round(r.fertility / b.fertility, 6) AS fertility_ratio, round(r.n_tokens / b.n_tokens::DOUBLE, 6) AS token_ratio FROM rep r, (SELECT * FROM rep WHERE lang = 'en') b")
-def relative_cost(spark, d):
-    return rounded(M.relative_cost(lang_report(spark, d)), "fertility", "fertility_ratio", "token_ratio")
+def relative_cost(spark, d, size=None):
+    return rounded(M.relative_cost(lang_report(spark, d, size)), "fertility", "fertility_ratio", "token_ratio")
 
 
 @query("coverage_by_lang", f"""WITH {O.token_rows(MERGES)}, {O.report(MERGES).rsplit('enc AS', 1)[1].split('),', 1)[1].strip()},
 q AS (SELECT lang, count(*) FILTER (WHERE contains(token, '<0x')) AS fb, count(*) FILTER (WHERE NOT contains(token, '<0x')) AS pl, sum(len(replace(token, '{SPACER}', ''))) FILTER (WHERE NOT contains(token, '<0x')) AS pc FROM tok GROUP BY lang)
 SELECT lang, round(fertility, 6) AS fertility, round(fb / n_tokens::DOUBLE, 6) AS fallback_rate, round(pc / n_chars::DOUBLE, 6) AS char_coverage, round(pc / pl::DOUBLE, 6) AS avg_token_length, n_tokens AS num_tokens, n_words AS num_words FROM rep JOIN q USING (lang)""")
-def coverage_by_lang(spark, d):
-    return rounded(M.coverage(encoded(spark, d)), "fertility", "fallback_rate", "char_coverage", "avg_token_length")
+def coverage_by_lang(spark, d, size=None):
+    return rounded(M.coverage(encoded(spark, d, size)), "fertility", "fallback_rate", "char_coverage", "avg_token_length")
 
 
 _ENTROPY = "ec AS (SELECT lang, c, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) GROUP BY 1, 2), es AS (SELECT lang, n / (sum(n) OVER (PARTITION BY lang))::DOUBLE AS p FROM ec), en AS (SELECT lang, -sum(p * log2(p)) AS char_entropy FROM es GROUP BY lang)"
@@ -319,18 +334,18 @@ def char_entropy(spark, d):
 
 
 @query("info_per_token", f"{_REPORT}, {_ENTROPY} SELECT lang, round(char_entropy, 6) AS char_entropy, round(fertility, 6) AS fertility, round(char_entropy / fertility, 6) AS info_per_token FROM rep JOIN en USING (lang)")
-def info_per_token(spark, d):
-    return rounded(M.info_per_token(encoded(spark, d)), "char_entropy", "fertility", "info_per_token")
+def info_per_token(spark, d, size=None):
+    return rounded(M.info_per_token(encoded(spark, d, size)), "char_entropy", "fertility", "info_per_token")
 
 
 @query("language_spread", f"{_REPORT}, m AS (SELECT 'fertility' AS metric, fertility AS x FROM rep UNION ALL SELECT 'compression', compression FROM rep) SELECT metric, round(max(x) - min(x), 6) AS gap, round(var_pop(x), 6) AS variance, round(stddev_pop(x) / avg(x), 6) AS cv FROM m GROUP BY metric")
-def language_spread(spark, d):
-    return rounded(M.spread(lang_report(spark, d), ["fertility", "compression"]), "gap", "variance", "cv")
+def language_spread(spark, d, size=None):
+    return rounded(M.spread(lang_report(spark, d, size), ["fertility", "compression"]), "gap", "variance", "cv")
 
 
 @query("mean_compression", f"WITH {O.encoded(MERGES)}, t AS (SELECT doc_id, sum(len(tokens)) AS n FROM enc GROUP BY doc_id) SELECT lang, round(avg(CASE WHEN len(text) = 0 THEN 0 ELSE n / len(text)::DOUBLE END), 6) AS mean_compression FROM documents JOIN t USING (doc_id) GROUP BY lang")
-def mean_compression(spark, d):
-    return rounded(M.mean_compression(encoded(spark, d)), "mean_compression")
+def mean_compression(spark, d, size=None):
+    return rounded(M.mean_compression(encoded(spark, d, size)), "mean_compression")
 
 
 _SIMPLE = ORACLE_SQL["pretok_simple_code"]
@@ -359,24 +374,24 @@ def keyword_presence(spark, d):
 
 
 @query("token_stats", f"WITH {O.token_rows(MERGES)} SELECT count(*) AS total_tokens, count(DISTINCT token) AS unique_tokens, round(avg(strlen(token)), 6) AS avg_bytes, median(strlen(token))::DOUBLE AS median_bytes, max(strlen(token))::BIGINT AS max_bytes, min(strlen(token))::BIGINT AS min_bytes, round(avg(len(token)), 6) AS avg_chars FROM tok")
-def token_stats(spark, d):
-    return rounded(M.token_stats(encoded(spark, d)), "avg_bytes", "avg_chars")
+def token_stats(spark, d, size=None):
+    return rounded(M.token_stats(encoded(spark, d, size)), "avg_bytes", "avg_chars")
 
 
 @query("top_tokens", f"WITH {O.token_rows(MERGES)} SELECT token, n FROM (SELECT token, count(*) AS n, min(struct_pack(d := doc_id, p := pos, k := k)) AS f FROM tok GROUP BY token) ORDER BY n DESC, f LIMIT 10")
-def top_tokens(spark, d):
-    return M.top_tokens(encoded(spark, d))
+def top_tokens(spark, d, size=None):
+    return M.top_tokens(encoded(spark, d, size))
 
 
 @query("token_class", f"""WITH {O.token_rows(MERGES)} SELECT CASE WHEN regexp_replace(token, '^[{SPACER} ]+|[{SPACER} ]+$', '', 'g') IN {O.sql_list(M.CLASS_KEYWORDS)} THEN 'keyword' WHEN trim(token) IN {O.sql_list(M.CLASS_OPERATORS)} THEN 'operator' WHEN regexp_matches(token, '^["'']') OR regexp_matches(token, '^\\p{{Nd}}+$') THEN 'literal' WHEN regexp_matches(replace(token, '{SPACER}', ''), '^[\\p{{L}}_][\\p{{L}}\\p{{N}}\\p{{M}}_]*$') THEN 'identifier' ELSE 'other' END AS class, count(*) AS n FROM tok GROUP BY 1""")
-def token_class(spark, d):
-    return M.token_rows(encoded(spark, d)).groupBy(M.token_class(F.col("token")).alias("class")).agg(F.count("*").alias("n"))
+def token_class(spark, d, size=None):
+    return M.token_rows(encoded(spark, d, size)).groupBy(M.token_class(F.col("token")).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("vocab_utilization", f"WITH {O.token_rows(MERGES)}, s AS (SELECT count(*) + {MERGES} AS size FROM (SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS token FROM w0)) SELECT count(DISTINCT token) AS used, round(count(DISTINCT token) * 100.0 / max(size), 6)::DOUBLE AS percent FROM tok, s")
-def vocab_utilization(spark, d):
-    model = model_of(spark, d)
-    return rounded(M.vocab_utilization(encoded(spark, d, model), len(model)).withColumn("percent", F.col("percent").cast("double")), "percent")
+def vocab_utilization(spark, d, size=None):
+    model = model_of(spark, d, size)
+    return rounded(M.vocab_utilization(encoded(spark, d, size), len(model)).withColumn("percent", F.col("percent").cast("double")), "percent")
 
 
 @query("vocab_size_estimate", f"SELECT count(DISTINCT w) AS n_distinct, greatest(300, least(2000, floor(count(DISTINCT w) * 1.5)))::BIGINT AS vocab_size FROM (SELECT unnest({O.words('text')}) AS w FROM documents)")
@@ -427,6 +442,6 @@ def synthetic(spark, d):
 
 
 @query("model_hash")
-def hash_of_model(spark, d):
-    model = model_of(spark, d)
+def hash_of_model(spark, d, size=None):
+    model = model_of(spark, d, size)
     return spark.createDataFrame([(model_hash(model.to_dict()), len(model), len(model.merges))], "model_hash string, vocab_size bigint, num_merges bigint")
