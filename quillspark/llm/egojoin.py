@@ -8,8 +8,10 @@ cells of the first axis and only if their boxes are within EPS; a pair of blocks
 by halving both sequence intervals again and again, leaving out halves whose boxes over all
 axes are farther apart than EPS, down to LEAF vectors, which are compared in full.
 
-Equal vectors are one node (the least vec_id), so thousands of copies cost nothing; each
-other copy is paired with the node alone.
+Equal vectors are one node (the least vec_id) while near nodes are looked for. all_pairs then
+gives every pair of vectors: all copies of a node with each other and with all copies of the
+near nodes. pairs gives the pairs of nodes and pairs each other copy with its node alone,
+which is all that groups needs.
 
 Results by case. Null vec_id or embedding, a null, NaN or infinite element, or another
 length than most vectors have (ties: the greater length): in no pair. Repeated rows: one
@@ -108,13 +110,28 @@ def join_intervals(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray,
 
 def pairs(vectors: DataFrame, eps: float = EPS) -> DataFrame:
     """vec_a < vec_b for every pair of distinct vectors within eps, and (node, copy) for copies."""
+    near, members = _near(vectors, eps)
+    return near.unionAll(members.filter("vec_id <> node").select(F.col("node").alias("vec_a"), F.col("vec_id").alias("vec_b")))
+
+
+def all_pairs(vectors: DataFrame, eps: float = EPS) -> DataFrame:
+    """vec_a < vec_b for every pair of vectors within eps, equal ones among them."""
+    near, members = _near(vectors, eps)
+    left, right = (members.select(F.col("node").alias(f"vec_{x}"), F.col("vec_id").alias(x)) for x in "ab")
+    across = near.join(left, "vec_a").join(right, "vec_b").select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b"))
+    equal = left.join(right, F.col("vec_a") == F.col("vec_b")).filter("a < b").select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+    return across.unionAll(equal)
+
+
+def _near(vectors: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs vec_a < vec_b of nodes within eps; and node and vec_id of every vector."""
     spark, fields = vectors.sparkSession, "vec_a bigint, vec_b bigint"
     good, dim = clean(vectors)
     if not dim:
-        return spark.createDataFrame([], fields)
+        return spark.createDataFrame([], fields), spark.createDataFrame([], "node bigint, vec_id bigint")
     node = F.min("vec_id").over(Window.partitionBy("embedding"))
     named = stored(good.withColumn("node", node), "vectors")
-    copies = named.filter("vec_id <> node").select(F.col("node").alias("vec_a"), F.col("vec_id").alias("vec_b")).distinct()
+    members = named.select("node", "vec_id").distinct()
     nodes = named.filter("vec_id = node").groupBy("vec_id").agg(F.first("embedding").alias("embedding"))
     mean, basis = axes(nodes, dim)
     lead = min(LEADING, dim)
@@ -181,7 +198,7 @@ def pairs(vectors: DataFrame, eps: float = EPS) -> DataFrame:
     mine = met.select("a").distinct().join(blocks, F.col("a") == F.col("block")).select("a", F.lit(None).cast("bigint").alias("b"), "ids", "data")
     theirs = met.join(blocks, F.col("b") == F.col("block")).select("a", "b", "ids", "data")
     work = mine.unionAll(theirs).repartition(tasks, "a").sortWithinPartitions("a", F.asc_nulls_first("b"))
-    return work.mapInArrow(joined, fields).unionAll(copies)
+    return work.mapInArrow(joined, fields), members
 
 
 def groups(vectors: DataFrame, eps: float = EPS) -> DataFrame:

@@ -82,6 +82,21 @@ def test_every_near_pair_is_found(spark, monkeypatch):
     assert len(found) == len(set(found)) and set(found) == brute_pairs([(i, x[i].tolist()) for i in range(len(x))], 0.7)
 
 
+def test_every_copy_gets_all_its_partners(spark, tmp_path):
+    from quillspark.llm.queries import QUERIES
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 4)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate([x, x[:6], x[:6], x[:3], x[:10] + np.float32(0.02), x[:5] + np.float32(0.02)])
+    spark.createDataFrame([(100 - i, v.tolist()) for i, v in enumerate(x)] + [(100, x[0].tolist())], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = [tuple(r) for r in QUERIES["op6_embedding_pairs"](spark, str(tmp_path)).collect()]
+    y = x.astype(np.float64)
+    truth = {(100 - i, 100 - j) for i in range(len(y)) for j in range(i) if ((y[i] - y[j]) ** 2).sum() <= G.EPS * G.EPS}
+    assert len(found) == len(set(found)) and set(found) == truth
+    assert G.all_pairs(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
 def test_vectors_that_cannot_be_compared(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 2), (3, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (4, None, 1), (5, [1.0, None], 1), (6, [float("nan"), 1.0], 1), (7, [1.0, 0.0, 0.0], 1), (8, [], 1), (9, [0.0, 1.0], 1)]
     vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, node int")
