@@ -30,7 +30,9 @@ ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])A(?:KIA|SIA|IDA|ROA|GPA|NPA|NVA|IPA)[A
 SIGNED = re.compile(r"(?<![\w-])ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
 CHECKED = re.compile(r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-VALUE = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{12,}={0,2})[\"']?")
+#: Ahead of the separator, so that the name in a nested assignment isn't eaten as the outer one's value.
+VALUE = re.compile(r"[=:](?=\s{0,3}[\"']?([A-Za-z0-9+/_-]{12,}={0,2}))")
+ESCAPED = re.compile(r"\\+[nr]")
 NAME = re.compile(r"(?:password|passwd|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key)[\"']?\s{0,3}$", re.I)
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{64,}={0,2}")
 HEX = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
@@ -179,7 +181,7 @@ def find(text: str) -> list[tuple[int, int, str, int, str]]:
                 out.append((m.start(), m.end(), "signed_token", len(m[0]), alg))
     if "-----BEGIN" in text:
         for m in BLOCK.finditer(text):
-            data = unbase64("".join(x for x in m[2].split() if ":" not in x and "," not in x))
+            data = unbase64("".join(x for x in ESCAPED.sub(" ", m[2]).replace("\\/", "/").split() if ":" not in x and "," not in x))
             if data and (what := der_key(data) or openssh_key(data)):
                 out.append((m.start(), m.end(), "key_block", len(data), what))
     if "gh" in text and "_" in text:
