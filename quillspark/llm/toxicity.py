@@ -4,7 +4,7 @@ A classifier is fitted on a bounded sample of labelled documents (at most SAMPLE
 label, taken by hash of doc_id): sequential covering picks whole words and word beginnings
 that mark toxic documents and no others, each with the posterior share of toxic documents
 that hold it. A character trigram model counts the words of all documents. Tokens that look
-disguised (digits or signs for letters, single letters set apart, letters repeated) become
+disguised (digits or signs for letters, single letters or signs set apart by whatever else, letters repeated) become
 lattices of possible letters, decoded by Viterbi under that model; the lexicon scores the
 restored words together with the ordinary ones. A document's score is the noisy-or of its
 distinct units.
@@ -32,9 +32,11 @@ SAMPLE = 6_000
 THRESHOLD = 0.8
 PURITY = 0.95
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
-SIGNS = re.compile(r"[0134578@$|+€!]")
-DISGUISED = re.compile(r"[^\W\d_]*[0134578@$|+€!](?:[^\W_]|[@$|+€!])*")
-SPACED = re.compile(r"(?<!\w)(?:[^\W_][ .*_-]{1,2}){2,}[^\W_](?!\w)")
+KEYS, MARKS = (re.escape("".join(c for c in LEET if not c.isalnum() or digits)) for digits in (True, False))
+SIGNS = re.compile(f"[{KEYS}]")
+DISGUISED = re.compile(rf"[^\W\d_]*[{KEYS}](?:[^\W_]|[{MARKS}])*")
+#: Letters, digits and signs one by one, between them anything else.
+SPACED = re.compile(rf"(?<!\w)(?:(?:[^\W_]|[{MARKS}])(?:[^\w{MARKS}]|_)++){{2,}}(?:[^\W_]|[{MARKS}])(?!\w)")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 EDGE_RUN = re.compile(r"^([@$|+!])\1{2,}|([@$|+!])\2{2,}$|!+$")
 OTHER = "\x7f"
@@ -91,7 +93,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     out, i = [], 0
     while i < len(token):
         c, j = token[i], i
-        while j < len(token) and token[j] == c:
+        apart = not c.isalnum() and c not in LEET
+        while j < len(token) and (token[j] == c or apart and not token[j].isalnum() and token[j] not in LEET):
             j += 1
         run = j - i
         if c.isalpha():
@@ -99,7 +102,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         elif c in LEET:
             read = [(x * k, 1.0 + 0.2 * (run > 1)) for x in LEET[c] for k in ((1, 2) if run > 1 else (1,))]
             out.append([*read, ("" if c == "!" else OTHER, 2.5)])
-        elif c in " .*_-":
+        elif apart:
             out.append([("", 0.3), (" ", 1.5 if run == 1 else 0.5)])
         else:
             out.append([(OTHER, 0.0)])

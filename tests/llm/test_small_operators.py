@@ -295,6 +295,24 @@ def test_restoring_finds_the_likeliest_reading():
     assert T.restore("1d10t", model) == "idiot" and T.restore("i.d.i.o.t", model) == "idiot"
 
 
+def test_every_sign_and_separator_reaches_the_decoder():
+    bad = ["moron", "idiot", "loser", "garbage", "scum", "pigs"]
+    grams = T.word_grams({w: 20 for w in ("hello", "table", "house", "winter", "you", "such")})
+    scorer = T.Scorer(dict.fromkeys(bad, 0.99), grams)
+    for sign, letters in T.LEET.items():
+        for word in (w for w in bad for x in letters if x in w[:-1]):
+            x = next(x for x in letters if x in word)
+            text = f"see {word.replace(x, sign)} here"
+            assert word in scorer.score(text)[1], text
+    for text, word in (("pi9s", "pigs"), ("9arbage", "garbage"), ("you $ c u m", "scum")):
+        assert word in scorer.score(text)[1], text
+    for apart in (" ", "  ", "   ", ".", ",", ", ", "/", "\n", "\r\n", "\n\n", "\t", "-", "_", "*", " - ", "\u00a0", ";", "~"):
+        for word in ("moron", "5cum"):
+            text = f"word {apart.join(word)} here"
+            assert word.replace("5", "s") in scorer.score(text)[1], repr(text)
+    assert not scorer.score("1, 2, 3 hello\nyou 1990s table")[1]
+
+
 def test_toxicity_held_out_and_disguised(spark):
     rng = random.Random(7)
     plain = [f"word{chr(97 + k)}{chr(97 + j)}" for k in range(20) for j in range(5)]
