@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: A word: letters, digits and underscore, the class that RE2 writes [\p{L}\p{N}_].
 WORD = re.compile(r"\w+")
 _OWN_DIR: list[str] = []
+_WRITTEN: list[tuple[str, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="quillspark-"))
@@ -38,12 +39,23 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df written to the shared folder and read again, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
     df.write.partitionBy(*partition_by).parquet(path)
     if partition_by:  # these come last when read
         return spark.read.schema(df.schema).parquet(path).select(df.columns)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes the tables that stored wrote in this application, once nothing reads them any more; how many."""
+    context, done = spark.sparkContext, 0
+    for mark in [w for w in _WRITTEN if w[0] == context.applicationId]:
+        path = context._jvm.org.apache.hadoop.fs.Path(mark[1])
+        done += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(mark)
+    return done
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (in any case)."""
     taken = {c.lower() for c in df.columns}
@@ -53,11 +65,8 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def lowered(text: str) -> str:
-    """Lower case that keeps every character's place: a character whose lower case is longer stays."""
-    low = text.lower()
-    if len(low) == len(text):
-        return low
-    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    """Lower case, character by character, so that each keeps its place and none depends on those around it: a capital sigma gives σ anywhere, a dotted capital I gives i."""
+    return text.replace("\u03a3", "\u03c3").replace("\u0130", "i").lower()
 
 
 def slices(texts: list[str | None], chars: int = 1_500_000) -> Iterator[tuple[int, int]]:

@@ -1,8 +1,8 @@
 """Operator 10: benchmark decontamination.
 
-The benchmark's texts are cut to normalised word n-grams, which go to the workers as a hash
-set of bounded size: beyond max_grams the set is cut by hash and the corpus scanned once for
-each part. A scan maps words to benchmark word numbers (a word that no n-gram has rules out
+The benchmark's texts are cut to normalised word n-grams (by the function that reads the
+documents), which go to the workers as a hash set of bounded size: beyond max_grams the set
+is cut by hash and the corpus scanned once for each part. A scan maps words to benchmark word numbers (a word that no n-gram has rules out
 every window over it), hashes the windows that are left, looks them up and verifies each hit
 word by word. Hits join to spans; a document of which they cover drop_share or more is
 dropped, from another the spans are cut, from the first character of the span to its last.
@@ -10,24 +10,28 @@ dropped, from another the spans are cut, from the first character of the span to
 Results by case. Null or empty text, or fewer words than n: no hit. Benchmark items of fewer
 than n words have no n-gram and match nothing; empty or null items neither. Passages that
 several items share name all of them. Repeated rows: one result row each. Extra columns:
-ignored by find, kept by clean. Empty benchmark: nothing is found.
+ignored by find, kept by clean. Empty benchmark: nothing is found. Empty documents: empty
+result. Null doc_id: scanned and carried like any other. Very long texts: whole; batches are
+cut by characters. Ties: none arise, as every hit counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, free_name, lowered, pieces, with_text
+from quillspark.llm.common import WORD, lowered, pieces, stored, with_text
 
 N = 8
 DROP_SHARE = 0.5
-MAX_GRAMS = 2_000_000
+#: Of one part of the hash set, which is on the driver and broadcast: n-grams and their characters.
+MAX_GRAMS, MAX_CHARS = 2_000_000, 128_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,7 +58,7 @@ class Grams:
         get, numbers, sizes = self.words.get, [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if t:
-                words = WORD.findall(lowered(t))
+                words = normal_words(t)
                 sizes[i] = len(words)
                 numbers += [get(w, -1) for w in words]
             numbers.append(-1)
@@ -72,20 +76,36 @@ class Grams:
         return sizes, out
 
 
+def normal_words(text: str | None) -> list[str]:
+    """Words as both sides compare them; the place of each is that of the text's own."""
+    return WORD.findall(lowered(text)) if text else []
+
+
 def grams(benchmark: DataFrame, n: int = N) -> DataFrame:
     """Distinct normalised n-grams of the benchmark with the ids of their items."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    windows = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.slice("w", i, n)))
-    return benchmark.select("item_id", words.alias("w")).select("item_id", F.explode(windows).alias("gram")).groupBy("gram").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, chars=200_000):
+            owners, found = [], []
+            for i, text in zip(batch.column(0).to_pylist(), texts):
+                words = normal_words(text)
+                own = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+                owners += [i] * len(own)
+                found += map(list, own)
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(found, pa.list_(pa.string()))], names=["item_id", "gram"])
+
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").mapInArrow(windows, "item_id bigint, gram array<string>")
+    return rows.groupBy("gram").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
-def _parts(benchmark: DataFrame, n: int, max_grams: int) -> Iterator[Grams]:
+
+def _parts(benchmark: DataFrame, n: int, max_grams: int) -> Iterator[tuple[Grams, int]]:
     """The hash set, in as many parts as its size asks for; one part is on the driver at a time."""
-    rows = grams(benchmark, n)
-    cuts = max(1, -(-rows.count() // max_grams))
+    rows = stored(grams(benchmark, n), "grams")
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.length(F.array_join("gram", " ")) + 8 * F.size("items")).alias("chars")).first()
+    cuts = max(1, -(-size["n"] // max_grams), -(-(size["chars"] or 0) // MAX_CHARS))
     part = F.pmod(F.xxhash64("gram"), F.lit(cuts))
     for k in range(cuts):
-        yield Grams([(r["gram"], r["items"]) for r in (rows if cuts == 1 else rows.filter(part == k)).collect()], n)
+        yield Grams([(r["gram"], r["items"]) for r in (rows if cuts == 1 else rows.filter(part == k)).collect()], n), cuts
 
 
 def spans_of(starts: set[int], n: int) -> list[tuple[int, int]]:
@@ -121,12 +141,12 @@ def _found(g: Grams, texts: list[str | None]) -> dict[int, tuple[int, set[int],
 
 
 def _scan(docs: DataFrame, benchmark: DataFrame, n: int, max_grams: int, columns: list[str], decide, schema) -> DataFrame:
-    """decide(batch, texts, found) over docs with what is found in them. One part of the hash set: one scan without a shuffle. More: a scan for each part, whose hits, which are few, meet again by document."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(g) for g in _parts(benchmark, n, max_grams)]
+    """decide(batch, texts, found) over docs with what is found in them. One part of the hash set: one scan without a shuffle. More: documents are numbered and stored; each part in turn is broadcast, its hits, which are few, are stored, and it is freed; hits meet again by number."""
+    context, parts = docs.sparkSession.sparkContext, _parts(benchmark, n, max_grams)
+    first, cuts = next(parts)
     docs = docs.select(*[docs[c] for c in columns])
-    if len(shared) == 1:
-        only = shared[0]
+    if cuts == 1:
+        only = context.broadcast(first)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, texts in pieces(batches):
@@ -134,24 +154,30 @@ def _scan(docs: DataFrame, benchmark: DataFrame, n: int, max_grams: int, columns
 
         return docs.mapInArrow(run, schema)
 
-    key = free_name(docs, "qs_key")
-    keyed = docs.withColumn(key, F.xxhash64("text"))
+    at = len(columns)
+    keyed = stored(docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(columns)], F.monotonically_increasing_id().alias("k")), "keyed")
+    text = f"c{columns.index('text')}"
+    fields = "k bigint, words int, starts array<int>, items array<bigint>"
 
     def hits_of(part):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, texts in pieces(batches):
+            for batch, texts in pieces(batches, text):
                 found = _found(part.value, texts)
                 keys = batch.column(1).take(pa.array(list(found), pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array([w for w, _, _ in found.values()], pa.int32()), pa.array([sorted(s) for _, s, _ in found.values()], pa.list_(pa.int32())), pa.array([sorted(i) for _, _, i in found.values()], pa.list_(pa.int64()))], names=["k", "words", "starts", "items"])
 
-        return keyed.select("text", key).mapInArrow(run, "k bigint, words int, starts array<int>, items array<bigint>")
+        return stored(keyed.select(text, "k").mapInArrow(run, fields), "hits")
 
-    hits = reduce(DataFrame.unionAll, [hits_of(p) for p in shared]).groupBy("k").agg(F.max("words").alias("words"), F.flatten(F.collect_set("starts")).alias("starts"), F.flatten(F.collect_set("items")).alias("items"))
-    joined = keyed.join(hits, keyed[key] == hits["k"], "left").select(*[keyed[c].alias(f"c{i}") for i, c in enumerate(columns)], hits["words"], hits["starts"], hits["items"])
+    found_in = []
+    for grams_ in chain([first], (g for g, _ in parts)):
+        part = context.broadcast(grams_)
+        found_in.append(hits_of(part))
+        part.destroy()
+    hits = reduce(DataFrame.unionAll, found_in).groupBy(F.col("k").alias("h")).agg(F.max("words").alias("words"), F.flatten(F.collect_set("starts")).alias("starts"), F.flatten(F.collect_set("items")).alias("items"))
+    joined = keyed.join(hits, keyed["k"] == hits["h"], "left").select(*[f"c{i}" for i in range(at)], "words", "starts", "items")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, f"c{columns.index('text')}"):
-            at = len(columns)
+        for batch, texts in pieces(batches, text):
             words, starts, items = (batch.column(at + k).to_pylist() for k in range(3))
             found = {t: (w, set(starts[t]), set(items[t])) for t, w in enumerate(words) if w is not None}
             yield decide(pa.RecordBatch.from_arrays(batch.columns[:at], names=columns), texts, found)
