@@ -6,9 +6,15 @@ normalised byte, the original byte that it came from. Pieces then carry spans ov
 original UTF-8 text. Segmentation itself is the library's, run on normalised chunks that
 no piece can straddle and remembered per chunk, so a word is segmented once per worker.
 
-Results by case. Null text: null ids and spans, null count. Empty text: empty lists.
-A character that the vocabulary lacks: one byte piece for each of its bytes (or <unk> in a
-model without byte pieces). Repeated rows: one result row each. Extra columns: ignored.
+The model is a parameter: a path that every executor can read. The default one has an empty
+character map, so its texts are their own normal form.
+
+Results by case. Null text: null ids and spans, null count. Empty text, and one that
+normalises to nothing: empty lists. Null doc_id: carried. Empty table: empty result. A
+character that the vocabulary lacks: one byte piece for each of its bytes, each ending with
+the byte it stands for; in a model without byte pieces one <unk> for a run of
+them, spanning the run. Very long texts: whole. Ties between segmentations: as the library
+breaks them. Repeated rows: one result row each. Extra columns: ignored.
 """
 
 from __future__ import annotations
@@ -83,9 +89,10 @@ class PieceCodec:
         self.norm_len = np.array([0 if k in (_CONTROL, _UNKNOWN) else len(b) for k, b in zip(self.kinds, self.bytes_of)], np.int32)
         self.marks = np.array([b.count(MARK.encode()) for b in self.bytes_of], np.int32)
         inner = any(MARK in p.piece.lstrip(MARK) for p in proto.pieces if p.type in (_NORMAL, _USER))
-        self.chunked = not inner and self.escape and not self.suffix and proto.trainer_spec.model_type in (1, 2) and not self.user
-        self.lines = self.chunked and not any("\n" in p.piece for p in proto.pieces)
-        self.plain = self.lines and self.prefix and not self.trim and not self.map.units and bool((self.kinds == _BYTE).any())
+        whole = bool((self.kinds == _BYTE).any())  # else neighbouring characters that the vocabulary lacks are one <unk>
+        self.chunked = (whole or any(p.piece == MARK for p in proto.pieces)) and not inner and self.escape and not self.suffix and proto.trainer_spec.model_type in (1, 2) and not self.user
+        self.lines = self.chunked and whole and not any("\n" in p.piece for p in proto.pieces)
+        self.plain = self.lines and self.prefix and not self.trim and not self.map.units
         proto.normalizer_spec.precompiled_charsmap = b""
         proto.normalizer_spec.add_dummy_prefix = proto.normalizer_spec.remove_extra_whitespaces = proto.normalizer_spec.escape_whitespaces = False
         self.bare = sentencepiece.SentencePieceProcessor()
@@ -170,8 +177,8 @@ class PieceCodec:
 
     def _unknown(self, norm: str) -> np.ndarray:
         """Normalised byte lengths where <unk> pieces stand for text."""
-        proto = self.bare.encode(norm, out_type="immutable_proto")
-        return np.array([len(p.surface.encode()) for p in proto.pieces], np.int32)
+        proto = self.bare.encode(norm, return_type="proto")
+        return np.array([p.end - p.begin for p in proto.pieces], np.int32)
 
     def _chunks(self, text: str) -> list[str] | None:
         """Chunks of a text that needs no normalising, keyed without the mark of the space before; None: go the general way."""
