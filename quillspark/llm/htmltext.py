@@ -278,7 +278,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> str:
                 text = Trees.fit(x[w > 0], y[w > 0], np.sqrt(w[w > 0])).dump()
         yield pa.RecordBatch.from_arrays([pa.array([text])], names=["model"])
 
-    return "".join(r["model"] for r in texts.coalesce(1).mapInArrow(train, "model string").collect())
+    return "".join(r["model"] for r in texts.repartition(1).mapInArrow(train, "model string").collect())
 
 
 def render(page: Page, kept: np.ndarray) -> str:

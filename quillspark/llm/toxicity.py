@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, f
         found = cover(toxic, (units(set(WORD.findall(lowered(t)))) for t in clean))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], names=["unit", "posterior"])
 
-    return {r["unit"]: r["posterior"] for r in texts.coalesce(1).mapInArrow(train, "unit string, posterior double").collect()}
+    return {r["unit"]: r["posterior"] for r in texts.repartition(1).mapInArrow(train, "unit string, posterior double").collect()}
 
 
 def letter_model(docs: DataFrame) -> dict[str, int]:
