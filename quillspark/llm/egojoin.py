@@ -1,31 +1,35 @@
 """Operator 6: embedding near-dedup by an epsilon grid order join.
 
-Every pair of vectors at a distance of at most EPS is found, exactly. Vectors are rotated to
-their principal axes (from a covariance summed over all vectors), get grid cells of width EPS
-on the LEADING axes, and are sorted by cell, first axis first, over range partitions. Runs of
-BLOCK vectors of that sequence become blocks with bounding boxes. Pairs of blocks meet by
-cells of the first axis and only if their boxes are within EPS; a pair of blocks is joined
-by halving both sequence intervals again and again, leaving out halves whose boxes over all
-axes are farther apart than EPS, down to LEAF vectors, which are compared in full.
-
-Equal vectors are one node (the least vec_id) while near nodes are looked for. all_pairs then
-gives every pair of vectors: all copies of a node with each other and with all copies of the
-near nodes. pairs gives the pairs of nodes and pairs each other copy with its node alone,
-which is all that groups needs.
-
-Results by case. Null vec_id or embedding, a null, NaN or infinite element, or another
-length than most vectors have (ties: the greater length): in no pair. Repeated rows: one
-vector. Distance exactly EPS: a pair. Extra columns: ignored. Empty table: no pairs.
+Every link (two vectors at a distance of at most EPS) is found, exactly. Equal vectors are one
+class, joined once. The classes' vectors are rotated to their principal axes (from a
+covariance summed over all vectors), get grid cells of width EPS on the LEADING axes, and
+are sorted by cell, first axis first, over range partitions. Runs of that sequence become
+intervals with bounding boxes. Two intervals meet by cells of the first axis and only if
+their boxes are within EPS; they are joined by halving both again and again, leaving out
+halves whose boxes over all axes are farther apart than EPS, down to LEAF vectors, which are
+compared in full.
+
+Pairs are never emitted: where two intervals are joined, links are counted for each vector
+(copies of a partner count each), and a spanning forest of what they connect is kept, so
+what leaves a task follows its vectors, also where a third of all are near each other.
+An interval goes to PARTNERS others at a time, so no task grows with their number.
+
+Results by case. One row for each vec_id and different vector of it: a vec_id with several
+vectors has a row, and links, for each. Repeated rows: one. Null vec_id or embedding, an
+empty one, a null, NaN or infinite element: no row. Vectors of different lengths have no
+link; each length is joined by itself. 0.0 and -0.0 are equal. Distance exactly EPS: a link.
+Ties: the least vec_id names a class and a group. Extra columns: ignored. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import stored
@@ -33,20 +37,24 @@ from quillspark.llm.simhash import components
 
 #: Unit vectors of cosine 0.95.
 EPS = 0.1**0.5
-LEADING, BLOCK, LEAF = 6, 4096, 256
-PAIRS_A_TASK = 64
+LEADING, LEAF = 6, 256
+#: Bytes and rows of an interval at most and at least, and into how many the sequence is cut between these.
+INTERVAL_BYTES, LEAST, INTERVALS = 16 << 20, 1024, 8
+PARTNERS, MOST_TASKS = 16, 20_000
+HELD_LINKS = 500_000
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def clean(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """vec_id and embedding of the vectors that can be compared, and their length."""
+def clean(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding and its hash in two parts, of the vectors that can be compared."""
     good = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
     good = good.filter("vec_id IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = float('infinity'))")
-    most = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return (good.filter(F.size("embedding") == most["d"]), most["d"]) if most else (good, 0)
+    plain = F.expr("transform(embedding, x -> if(x = 0, float(0), x))")
+    good = good.select("vec_id", plain.alias("embedding"))
+    return good.select("*", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
 
 
 def axes(nodes: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,11 +83,11 @@ def box_gap(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) ->
     return float(gap @ gap)
 
 
-def join_intervals(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, eps: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of x and y (i < j where both are the same block) within eps; rx and ry are the rotated coordinates in sequence order."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def join_intervals(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, eps: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of x and y (i < j where both are the same interval) within eps, leaf by leaf; rx and ry are the rotated coordinates in sequence order."""
     slack, work = 1e-5 * (1 + eps), [(0, len(x), 0, len(y))]
     boxes: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+    sizes = [np.einsum("ij,ij->i", v, v) for v in (x, y)]
 
     def box(which: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         if (which, a, b) not in boxes:
@@ -92,125 +100,177 @@ def join_intervals(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray,
         if a >= b or c >= d or same and a >= d or box_gap(*box(0, a, b), *box(1, c, d)) > (eps + slack) ** 2:
             continue
         if b - a <= LEAF and d - c <= LEAF:
-            p, q = x[a:b], y[c:d]
-            near = np.einsum("ij,ij->i", p, p)[:, None] + np.einsum("ij,ij->i", q, q)[None, :] - 2 * (p @ q.T) <= (eps + slack) ** 2
+            near = sizes[0][a:b, None] + sizes[1][None, c:d] - 2 * (x[a:b] @ y[c:d].T) <= (eps + slack) ** 2
             i, j = np.nonzero(near)
             i, j = i + a, j + c
             if same:
                 i, j = i[i < j], j[i < j]
             exact = ((x[i] - y[j]) ** 2).sum(axis=1) <= eps * eps
-            left.append(i[exact])
-            right.append(j[exact])
+            if exact.any():
+                yield i[exact], j[exact]
         else:
             m, n = (a + b) // 2, (c + d) // 2
             halves = [(a, m), (m, b)] if b - a > LEAF else [(a, b)]
             work += [(*h, *k) for h in halves for k in ([(c, n), (n, d)] if d - c > LEAF else [(c, d)])]
-    return np.concatenate(left), np.concatenate(right)
-
-
-def pairs(vectors: DataFrame, eps: float = EPS) -> DataFrame:
-    """vec_a < vec_b for every pair of distinct vectors within eps, and (node, copy) for copies."""
-    near, members = _near(vectors, eps)
-    return near.unionAll(members.filter("vec_id <> node").select(F.col("node").alias("vec_a"), F.col("vec_id").alias("vec_b")))
-
-
-def all_pairs(vectors: DataFrame, eps: float = EPS) -> DataFrame:
-    """vec_a < vec_b for every pair of vectors within eps, equal ones among them."""
-    near, members = _near(vectors, eps)
-    left, right = (members.select(F.col("node").alias(f"vec_{x}"), F.col("vec_id").alias(x)) for x in "ab")
-    across = near.join(left, "vec_a").join(right, "vec_b").select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b"))
-    equal = left.join(right, F.col("vec_a") == F.col("vec_b")).filter("a < b").select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
-    return across.unionAll(equal)
-
-
-def _near(vectors: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs vec_a < vec_b of nodes within eps; and node and vec_id of every vector."""
-    spark, fields = vectors.sparkSession, "vec_a bigint, vec_b bigint"
-    good, dim = clean(vectors)
-    if not dim:
-        return spark.createDataFrame([], fields), spark.createDataFrame([], "node bigint, vec_id bigint")
-    node = F.min("vec_id").over(Window.partitionBy("embedding"))
-    named = stored(good.withColumn("node", node), "vectors")
-    members = named.select("node", "vec_id").distinct()
-    nodes = named.filter("vec_id = node").groupBy("vec_id").agg(F.first("embedding").alias("embedding"))
+
+
+def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the pairs (i, j) connect: each index with the least of its component."""
+    names, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    a, b = np.split(at.reshape(-1), 2)
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, least)
+        np.minimum.at(after, b, least)
+        np.minimum.at(after, label[a], least)
+        np.minimum.at(after, label[b], least)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    own = np.flatnonzero(label != np.arange(len(names)))
+    return names[own], names[label[own]]
+
+
+class Links:
+    """Links between two lots of nodes: how many vectors each node is near to, and edges that connect as the links do."""
+
+    def __init__(self, ids: np.ndarray, weight: np.ndarray):
+        self.ids, self.weight, self.n = ids, weight, np.zeros(len(ids), np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        n = len(self.ids)
+        self.n += np.bincount(i, self.weight[j], n).astype(np.int64) + np.bincount(j, self.weight[i], n).astype(np.int64)
+        self.held.append((i, j))
+        self.size += len(i)
+        if self.size > HELD_LINKS:
+            self.held = [self.edges()]
+            self.size = len(self.held[0][0])
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return forest(*(np.concatenate(x) for x in zip(*self.held)))
+
+    def batch(self) -> pa.RecordBatch:
+        """node, its links and null; then node, null and a node that it is connected with."""
+        there = np.flatnonzero(self.n)
+        a, b = self.edges()
+        node = np.concatenate([self.ids[there], self.ids[a]])
+        is_edge = np.repeat([False, True], [len(there), len(a)])
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([self.n[there], a]), mask=is_edge), pa.array(np.concatenate([there, self.ids[b]]), mask=~is_edge)], names=["node", "n", "other"])
+
+
+def _joined(nodes: DataFrame, dim: int, eps: float) -> DataFrame:
+    """node, n and other as in Links.batch, in parts, over nodes(node, weight, embedding) of one length."""
+    rows = nodes.count()
     mean, basis = axes(nodes, dim)
     lead = min(LEADING, dim)
     cells = [f"c{k}" for k in range(lead)]
+    length = min(max(LEAST, -(-rows // INTERVALS)), max(LEAF, INTERVAL_BYTES // (4 * dim)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), dim)
+            x = _matrix(batch.column(2), dim)
             at = np.floor((x - mean) @ basis[:, :lead] / eps).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(at[:, k]) for k in range(lead))], names=["vec_id", "embedding", *cells])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(at[:, k]) for k in range(lead))], names=["node", "weight", "embedding", *cells])
 
-    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, number = TaskContext.get(), 0
         held: list[pa.RecordBatch] = []
 
         def flush(t: pa.Table) -> pa.RecordBatch:
             nonlocal number
-            t = t.combine_chunks()
             x = _matrix(t.column("embedding").combine_chunks(), dim)
             r = (x - mean) @ basis
             number += 1
-            values = [((context.partitionId() if context else 0) << 32) + number, r.min(axis=0)[:lead].tolist(), r.max(axis=0)[:lead].tolist(), t.column("vec_id").to_numpy().astype("<i8").tobytes(), x.astype("<f4").tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary()))], names=["block", "lo", "hi", "ids", "data"])
+            values = [((context.partitionId() if context else 0) << 32) + number, r.min(axis=0)[:lead].tolist(), r.max(axis=0)[:lead].tolist(), *(t.column(c).to_numpy().astype("<i8").tobytes() for c in ("node", "weight")), x.astype("<f4").tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()))], names=["part", "lo", "hi", "ids", "weights", "data"])
 
-        rows = 0
+        size = 0
         for batch in batches:
             held.append(batch)
-            rows += batch.num_rows
-            while rows >= BLOCK:
+            size += batch.num_rows
+            while size > 1.3 * length:
                 whole = pa.Table.from_batches(held)
-                yield flush(whole.slice(0, BLOCK))
-                held, rows = whole.slice(BLOCK).to_batches(), rows - BLOCK
-        if rows:
+                yield flush(whole.slice(0, length))
+                held, size = whole.slice(length).to_batches(), size - length
+        if size:
             yield flush(pa.Table.from_batches(held))
 
-    ordered = nodes.select("vec_id", "embedding").mapInArrow(placed, "vec_id bigint, embedding array<float>, " + ", ".join(f"{c} bigint" for c in cells))
-    ordered = ordered.repartitionByRange(*cells, "vec_id").sortWithinPartitions(*cells, "vec_id")
-    blocks = stored(ordered.mapInArrow(blocked, "block bigint, lo array<double>, hi array<double>, ids binary, data binary"), "blocks")
+    ordered = nodes.select("node", "weight", "embedding").mapInArrow(placed, "node bigint, weight bigint, embedding array<float>, " + ", ".join(f"{c} bigint" for c in cells))
+    ordered = ordered.repartitionByRange(min(MOST_TASKS, -(-rows // length)), *cells, "node").sortWithinPartitions(*cells, "node")
+    parts = stored(ordered.mapInArrow(cut, "part bigint, lo array<double>, hi array<double>, ids binary, weights binary, data binary"), "intervals")
 
     slack = 1e-5 * (1 + eps)
     first = lambda side: f"cast(floor({side}[0] / {eps!r}) as bigint)"
-    left = blocks.select(F.col("block").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.expr(f"explode(sequence({first('lo')}, {first('hi')})) AS cell"))
-    right = blocks.select(F.col("block").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.expr(f"explode(sequence({first('lo')} - 2, {first('hi')} + 2)) AS cell"))
+    left = parts.select(F.col("part").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.expr(f"explode(sequence({first('lo')}, {first('hi')})) AS cell"))
+    right = parts.select(F.col("part").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.expr(f"explode(sequence({first('lo')} - 2, {first('hi')} + 2)) AS cell"))
     gap = F.expr("aggregate(zip_with(zip_with(lo_a, hi_b, (x, y) -> greatest(0D, x - y)), zip_with(lo_b, hi_a, (x, y) -> greatest(0D, x - y)), (x, y) -> greatest(x, y) * greatest(x, y)), 0D, (s, x) -> s + x)")
-    met = stored(left.join(right, "cell").filter("a <= b").filter(gap <= (eps + slack) ** 2).select("a", "b").distinct(), "blockpairs")
-    tasks = max(1, -(-met.count() // PAIRS_A_TASK))
+    met = left.join(right, "cell").filter("a <= b").filter(gap <= (eps + slack) ** 2).select("a", "b").distinct()
+    turned = F.xxhash64("a", "b") % 2 != 0  # so that no interval stands first in most of its pairs
+    met = met.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
+    ways = F.lit(max(1, -(-parts.count() // PARTNERS)))
+    met = stored(met.withColumn("g", F.pmod(F.xxhash64("b"), ways)), "meetings")
+    groups_ = met.select("a", "g").distinct()
+    tasks = max(1, min(MOST_TASKS, 2 * groups_.count()))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, x, rx, ids = None, None, None, None
+        own, x, rx, ids, weight = None, None, None, None, None
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b, ids_b, data = (batch.column(c)[k].as_py() for c in range(4))
+                a, g, b, ids_b, weight_b, data = (batch.column(c)[k].as_py() for c in range(6))
                 y = np.frombuffer(data, "<f4").astype(np.float64).reshape(-1, dim)
-                ry, ids_y = (y - mean) @ basis, np.frombuffer(ids_b, "<i8")
+                ry, ids_y, weight_y = (y - mean) @ basis, np.frombuffer(ids_b, "<i8"), np.frombuffer(weight_b, "<i8")
                 if b is None:
-                    own, x, rx, ids = a, y, ry, ids_y
+                    own, x, rx, ids, weight = (a, g), y, ry, ids_y, weight_y
                     continue
-                if own != a:
-                    raise RuntimeError("a block's partners came without the block")
-                i, j = join_intervals(x, y, rx, ry, eps, a == b)
-                u, v = ids[i], ids_y[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["vec_a", "vec_b"])
-
-    mine = met.select("a").distinct().join(blocks, F.col("a") == F.col("block")).select("a", F.lit(None).cast("bigint").alias("b"), "ids", "data")
-    theirs = met.join(blocks, F.col("b") == F.col("block")).select("a", "b", "ids", "data")
-    work = mine.unionAll(theirs).repartition(tasks, "a").sortWithinPartitions("a", F.asc_nulls_first("b"))
-    return work.mapInArrow(joined, fields), members
-
-
-def groups(vectors: DataFrame, eps: float = EPS) -> DataFrame:
-    """vec_id and group_id (the least vec_id of its group) of every vector that has a near copy."""
-    return components(pairs(vectors, eps).select(F.col("vec_a").alias("a"), F.col("vec_b").alias("b"))).select(F.col("node").alias("vec_id"), F.col("root").alias("group_id")).distinct()
+                if own != (a, g):
+                    raise RuntimeError("partners came without their interval")
+                if a == b:
+                    found, shift = Links(ids, weight), 0
+                else:
+                    found, shift = Links(np.concatenate([ids, ids_y]), np.concatenate([weight, weight_y])), len(ids)
+                for i, j in join_intervals(x, y, rx, ry, eps, a == b):
+                    found.add(i, j + shift)
+                yield found.batch()
+
+    mine = groups_.join(parts, F.col("a") == F.col("part")).select("a", "g", F.lit(None).cast("bigint").alias("b"), "ids", "weights", "data")
+    theirs = met.join(parts, F.col("b") == F.col("part")).select("a", "g", "b", "ids", "weights", "data")
+    work = mine.unionAll(theirs).repartition(tasks, "a", "g").sortWithinPartitions("a", "g", F.asc_nulls_first("b"))
+    return stored(work.mapInArrow(joined, "node bigint, n bigint, other bigint"), "links")
+
+
+def links(vectors: DataFrame, eps: float = EPS) -> DataFrame:
+    """vec_id, class_id (least vec_id of equal vectors), group_id (least vec_id of all that links connect) and n_links (other vectors within eps, equal ones among them)."""
+    good = clean(vectors)
+    members = stored(good.select("vec_id", "h1", "h2").distinct(), "members")
+    weights = members.groupBy("h1", "h2").agg(F.count("*").alias("weight"), F.min("vec_id").alias("class_id"))
+    nodes = good.groupBy("embedding").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2")).join(weights, ["h1", "h2"])
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
+    lengths = [r["d"] for r in nodes.groupBy(F.size("embedding").alias("d")).count().filter("count > 1").orderBy("d").collect()]
+    none = vectors.sparkSession.createDataFrame([], "node bigint, n bigint, other bigint")
+    found = reduce(DataFrame.unionAll, [_joined(nodes.filter(F.size("embedding") == d), d, eps) for d in lengths], none)
+    counts = found.filter("n IS NOT NULL").groupBy("node").agg(F.sum("n").alias("n"))
+    roots = components(found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    named = nodes.select("node", "h1", "h2", "weight", "class_id").join(counts, "node", "left").join(roots, "node", "left")
+    named = stored(named.select("h1", "h2", "class_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "classes")
+    least = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    return members.join(named.join(least, "root"), ["h1", "h2"]).select("vec_id", "class_id", "group_id", "n_links")
 
 
 def oracle(eps: float = EPS) -> str:
-    """DuckDB SQL for pairs over the table embeddings."""
+    """DuckDB SQL for links over the table embeddings."""
     return f"""
-WITH g AS (SELECT vec_id, embedding, min(vec_id) OVER (PARTITION BY embedding) AS node FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-n AS (SELECT DISTINCT vec_id, embedding FROM g WHERE vec_id = node)
-SELECT x.vec_id AS vec_a, y.vec_id AS vec_b FROM n x JOIN n y ON x.vec_id < y.vec_id AND list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) <= {eps!r}
-UNION ALL SELECT DISTINCT node, vec_id FROM g WHERE vec_id <> node
+WITH RECURSIVE d AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS i, vec_id, embedding::DOUBLE[] AS e, min(vec_id) OVER (PARTITION BY embedding) AS class_id FROM d),
+l AS MATERIALIZED (SELECT x.i, y.i AS j FROM v x JOIN v y ON x.i <> y.i AND len(x.e) = len(y.e) AND CASE WHEN len(x.e) = len(y.e) THEN list_distance(x.e, y.e) <= {eps!r} END),
+r AS (SELECT i, i AS j FROM v UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i),
+g AS (SELECT r.i, min(v.vec_id) AS group_id FROM r JOIN v ON r.j = v.i GROUP BY r.i),
+n AS (SELECT i, count(*) AS n FROM l GROUP BY i)
+SELECT vec_id, class_id, group_id, coalesce(n, 0)::BIGINT AS n_links FROM v JOIN g USING (i) LEFT JOIN n USING (i)
 """

@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_katz_scores": lambda spark, d: katz.train_and_score(table(spark, d, "documents")),
     "op4_secret_scan": lambda spark, d: secrets.scan(table(spark, d, "documents")),
     "op5_toxicity": lambda spark, d: toxicity.detect(table(spark, d, "documents"), table(spark, d, "labels")),
-    "op6_embedding_pairs": lambda spark, d: egojoin.all_pairs(table(spark, d, "embeddings")),
+    "op6_embedding_links": lambda spark, d: egojoin.links(table(spark, d, "embeddings")),
     "op7_sentencepiece": lambda spark, d: sentencepieces.encode(table(spark, d, "documents")),
     "op8_host_filter": lambda spark, d: hostfilter.verdicts(table(spark, d, "pages"), hostfilter.outcomes_of(table(spark, d, "labels"))),
     "op9_bit_planes": lambda spark, d: bitplanes.write(table(spark, d, "documents")),
@@ -23,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op6_embedding_pairs": egojoin.oracle(),
+    "op6_embedding_links": egojoin.oracle(),
     "op8_host_filter": hostfilter.oracle(),
     "op10_decontamination": decontamination.oracle(),
 }

@@ -203,16 +203,15 @@ def edges(nodes: DataFrame, radius: int = JOIN_RADIUS) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """node and root (the least node of its component) for every node of the pairs, by alternating large-star and small-star."""
-    now = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    """node and root (the least node of its component) for every node of the pairs, by alternating large-star and small-star. Minima are aggregated and joined back, so that a node of very many neighbours isn't one task's."""
+    now = stored(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
     before = None
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = F.min("v").over(Window.partitionBy("u"))
-        small = large.withColumn("m", least)
-        after = small.select("u", F.col("m").alias("v")).unionAll(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        after = least.select("u", F.col("m").alias("v")).unionAll(large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         now = stored(after, "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

@@ -59,50 +59,58 @@ def test_blocks_round_trip(spark, kind):
 
 # 6
 
-def brute_pairs(rows, eps):
-    first = {}
-    for i, v in rows:
-        first[tuple(v)] = min(i, first.get(tuple(v), i))
-    out = {(n, i) for i, v in rows if (n := first[tuple(v)]) != i}
-    nodes = [(i, np.array(v, np.float64)) for v, i in first.items()]
-    for k, (i, x) in enumerate(nodes):
-        out |= {(min(i, j), max(i, j)) for j, y in nodes[:k] if ((x - y) ** 2).sum() <= eps * eps}
-    return out
-
-
-def test_every_near_pair_is_found(spark, monkeypatch):
-    monkeypatch.setattr(G, "BLOCK", 40)
-    monkeypatch.setattr(G, "LEAF", 8)
+def brute_links(rows, eps):
+    """(vec_id, class_id, group_id, n_links) of each vec_id and different vector."""
+    rows = sorted({(i, tuple(np.float32(e) + 0.0 for e in v)) for i, v in rows})
+    x = [np.array(v, np.float64) for _, v in rows]
+    near = [{b for b in range(len(rows)) if b != a and len(x[a]) == len(x[b]) and ((x[a] - x[b]) ** 2).sum() <= eps * eps} for a in range(len(rows))]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        todo, seen = [a], {a}
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        group[a] = min(rows[b][0] for b in seen)
+    return sorted((i, min(j for j, w in rows if w == v), group[a], len(near[a])) for a, (i, v) in enumerate(rows))
+
+
+def test_every_link_is_found(spark, monkeypatch):
+    for name, value in (("LEAST", 40), ("LEAF", 8), ("PARTNERS", 3), ("HELD_LINKS", 5)):
+        monkeypatch.setattr(G, name, value)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8)).astype(np.float32)
-    x = np.concatenate([x, x[:40] + rng.normal(scale=0.03, size=(40, 8)).astype(np.float32), x[:20]])
+    x = np.concatenate([x, x[:40] + rng.normal(scale=0.03, size=(40, 8)).astype(np.float32), x[:20], x[:20], np.repeat(x[:1], 30, axis=0) + rng.normal(scale=0.2, size=(30, 8)).astype(np.float32)])
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    found = [tuple(r) for r in G.pairs(vectors, 0.7).collect()]
-    assert len(found) == len(set(found)) and set(found) == brute_pairs([(i, x[i].tolist()) for i in range(len(x))], 0.7)
+    found = sorted(map(tuple, G.links(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), 0.7).collect()))
+    assert found == brute_links(rows, 0.7) and max(r[3] for r in found) > 20
+
 
+def test_copies_and_several_vectors_of_one_id(spark, tmp_path):
+    import duckdb
 
-def test_every_copy_gets_all_its_partners(spark, tmp_path):
-    from quillspark.llm.queries import QUERIES
+    from quillspark.llm.queries import ORACLE_SQL, QUERIES
 
     rng = np.random.default_rng(4)
     x = rng.normal(size=(40, 4)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x = np.concatenate([x, x[:6], x[:6], x[:3], x[:10] + np.float32(0.02), x[:5] + np.float32(0.02)])
-    spark.createDataFrame([(100 - i, v.tolist()) for i, v in enumerate(x)] + [(100, x[0].tolist())], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    found = [tuple(r) for r in QUERIES["op6_embedding_pairs"](spark, str(tmp_path)).collect()]
-    y = x.astype(np.float64)
-    truth = {(100 - i, 100 - j) for i in range(len(y)) for j in range(i) if ((y[i] - y[j]) ** 2).sum() <= G.EPS * G.EPS}
-    assert len(found) == len(set(found)) and set(found) == truth
-    assert G.all_pairs(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+    rows = [(100 - i, v.tolist()) for i, v in enumerate(x)] + [(100, x[0].tolist()), (100, x[7].tolist()), (99, x[0].tolist()), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [0.1, 1.0]), (4, [1.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = sorted(map(tuple, QUERIES["op6_embedding_links"](spark, str(tmp_path)).collect()))
+    assert found == brute_links(rows, G.EPS)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert sorted(con.execute(ORACLE_SQL["op6_embedding_links"]).fetchall()) == found
+    several = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 0.99])], "vec_id bigint, embedding array<float>")
+    assert sorted(map(tuple, G.links(several).collect())) == [(1, 1, 1, 1), (1, 1, 1, 1), (2, 2, 1, 1), (3, 3, 1, 1)]
 
 
 def test_vectors_that_cannot_be_compared(spark):
-    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 2), (3, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (4, None, 1), (5, [1.0, None], 1), (6, [float("nan"), 1.0], 1), (7, [1.0, 0.0, 0.0], 1), (8, [], 1), (9, [0.0, 1.0], 1)]
-    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, node int")
-    assert {tuple(r) for r in G.pairs(vectors).collect()} == {(1, 2), (1, 3)}
-    assert {(r.vec_id, r.group_id) for r in G.groups(vectors).collect()} == {(1, 1), (2, 1), (3, 1)}
-    assert G.pairs(vectors.limit(0)).count() == 0
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 2), (3, [1.0, -0.0], 1), (None, [1.0, 0.0], 1), (4, None, 1), (5, [1.0, None], 1), (6, [float("nan"), 1.0], 1), (7, [1.0, 0.0, 0.0], 1), (8, [], 1), (9, [0.0, 1.0], 1), (10, [float("inf"), 1.0], 1)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, node int").selectExpr("*", "1 AS h1", "2 AS n_links")
+    assert sorted(map(tuple, G.links(vectors).collect())) == [(1, 1, 1, 2), (2, 2, 1, 2), (3, 1, 1, 2), (7, 7, 7, 0), (9, 9, 9, 0)]
+    assert G.links(vectors.limit(0)).count() == 0
 
 
 # 8
