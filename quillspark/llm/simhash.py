@@ -1,30 +1,35 @@
 """Operator 1: SimHash near-dedup by covering locality-sensitive hashing.
 
 Each text gets 256 signature bits: the signs of a sum over its distinct words, each weighted
-by the root of its count. The bits are four blocks of 64. Every position of a block has a
-vector of five bits, and for each of the 31 non-zero v a mask takes the positions whose
-vector has odd product with v. Up to four differing positions span less than five
+by the root of its count. The bits are cut into blocks. Every position of a block has a
+vector of k + 1 bits, and for each of the 2^(k+1) - 1 non-zero v a mask takes the positions
+whose vector has odd product with v. Up to k differing positions span less than k + 1
 dimensions, so some v is orthogonal to them all and its mask agrees: texts that differ in at
-most four bits of a block share a masked block, and since one of four blocks has at most
-four of 19 differing bits, every pair within RADIUS = 19 meets in one of the 124 tables.
-Pairs that meet are compared in all 256 bits and joined at up to JOIN_RADIUS bits.
-
-Texts of equal signature are one node, so exact copies cost nothing. In a bucket a spanning
-forest of its close pairs is found (all pairs are compared, in blocks) instead of emitting
-pairs, so a bucket of thousands yields thousands of edges. Components come from alternating
-large-star and small-star rounds, each written to the shared folder.
+most k bits of a block share a masked block, and one of b blocks has at most k of
+b(k + 1) - 1 differing bits. A Scheme has b and k such that every pair within the radius meets
+in one of its tables, by construction; pairs that meet are compared in all 256 bits and joined
+within the radius. So the result is that of comparing all pairs, whichever scheme is used: the cheapest
+for the number of rows (fewer, longer blocks have more tables, but fewer chance meetings).
+
+Texts of equal signature are one node and stay out of the components, so copies cost nothing. In a
+bucket a spanning forest of its close pairs is found (all pairs are compared, in blocks)
+instead of emitting pairs, so a bucket of thousands yields thousands of edges. A bucket of
+more than BUCKET nodes is cut into parts of that size, each pair of parts a task's. Components
+come from alternating large-star and small-star rounds, each written to the shared folder.
 
 Results by case. Null doc_id or text, and texts without a word: in no group, and kept.
 Repeated rows (same doc_id and text): one node, and one row is kept. A doc_id with several
-texts is one document that belongs to the groups of all of them. Ties of the sum: bit 0.
-The representative is the least doc_id. Extra columns: ignored by groups, kept by keep_one.
-Empty tables: empty results.
+texts is one document that belongs to the groups of all of them. Very long texts: read whole,
+in batches cut by characters. Ties of the sum: bit 0. The representative is the least doc_id.
+Extra columns: ignored by groups, kept by keep_one. Empty tables: empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +39,69 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import WORD, free_name, lowered, pieces, stored
 
-BITS, BLOCKS, BLOCK_RADIUS = 256, 4, 4
-RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-JOIN_RADIUS = 28
+BITS, WORDS = 256, 4
+#: Differing bits up to which texts are near copies.
+RADIUS = 28
+BUCKET = 20_000
 CACHE = 300_000
 SIG = ["s0", "s1", "s2", "s3"]
 
 
-def masks(radius: int = BLOCK_RADIUS) -> np.ndarray:
-    """2^(radius+1) - 1 masks over 64 positions; any `radius` positions are outside one of them."""
+def masks(radius: int, bits: int) -> np.ndarray:
+    """2^(radius+1) - 1 masks over so many positions (64 at most); any `radius` positions are outside one of them."""
     n = 1 << (radius + 1)
-    vector = [1 + (i * 7 + i // (n - 1)) % (n - 1) for i in range(64)]
-    return np.array([sum(1 << i for i in range(64) if (vector[i] & v).bit_count() & 1) for v in range(1, n)], np.uint64)
+    vector = [1 + (i * 7 + i // (n - 1)) % (n - 1) for i in range(bits)]
+    return np.array([sum(1 << i for i in range(bits) if (vector[i] & v).bit_count() & 1) for v in range(1, n)], np.uint64)
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Blocks, and differing bits of one that its masks bear."""
+
+    blocks: int
+    block_radius: int
+
+    def __post_init__(self):
+        if not WORDS <= self.blocks <= BITS or self.block_radius < 0:
+            raise ValueError("4 to 256 blocks, as one holds 64 bits at most")
+
+    @property
+    def radius(self) -> int:
+        return self.blocks * (self.block_radius + 1) - 1
+
+    @property
+    def tables(self) -> int:
+        return self.blocks * ((2 << self.block_radius) - 1)
+
+    def cost(self, rows: int) -> float:
+        """Of a row: its keys, and those it shares by chance, which travel again with signatures, and comparisons."""
+        kept = BITS / self.blocks * (1 << self.block_radius) / ((2 << self.block_radius) - 1)
+        met = rows / 2.0**kept
+        return self.tables * (1 + 3 * (1 - math.exp(-met)) + 0.05 * met)
+
+    @classmethod
+    def of(cls, radius: int, rows: int) -> Scheme:
+        """The cheapest scheme that guarantees the radius."""
+        if not 0 <= radius < BITS:
+            raise ValueError("the radius is a number of bits of the signature")
+        found = [cls(b, max(0, -(-(radius + 1) // b) - 1)) for b in range(WORDS, BITS + 1)]
+        return min((s for s in found if s.block_radius < 12), key=lambda s: s.cost(rows))
+
+    def keys(self, sig: np.ndarray) -> np.ndarray:
+        """The key of each signature in each of the tables: table number and masked block, mixed to 64 bits."""
+        cuts, out = [BITS * k // self.blocks for k in range(self.blocks + 1)], []
+        for lo, hi in zip(cuts, cuts[1:]):
+            w, shift = lo // 64, lo % 64
+            block = sig[:, w] >> np.uint64(shift)
+            if hi > 64 * (w + 1):
+                block = block | sig[:, w + 1] << np.uint64(64 - shift)
+            out.append(block[:, None] & masks(self.block_radius, hi - lo)[None, :])
+        keys = np.concatenate(out, axis=1)
+        keys ^= np.arange(keys.shape[1], dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)
+        keys *= np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(32)
+        keys *= np.uint64(0xD6E8FEB86659FD93)
+        return keys ^ (keys >> np.uint64(29))
 
 
 class Signer:
@@ -100,24 +156,13 @@ def signatures(docs: DataFrame) -> DataFrame:
             sig, there = _SIGNERS[0].sign(texts)
             keep = np.flatnonzero(there)
             ids = batch.column(0).cast(pa.int64()).take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(sig[keep, k].view(np.int64)) for k in range(BLOCKS))], names=["doc_id", *SIG])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(sig[keep, k].view(np.int64)) for k in range(WORDS))], names=["doc_id", *SIG])
 
     return docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{s} bigint" for s in SIG))
 
 
-def table_keys(sig: np.ndarray) -> np.ndarray:
-    """The key of each signature in each of the tables: table number and masked block, mixed to 64 bits."""
-    m = masks()
-    keys = (sig.astype(np.uint64)[:, :, None] & m[None, None, :]).reshape(len(sig), -1)
-    keys ^= np.arange(keys.shape[1], dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)
-    keys *= np.uint64(0x9E3779B97F4A7C15)
-    keys ^= keys >> np.uint64(32)
-    keys *= np.uint64(0xD6E8FEB86659FD93)
-    return keys ^ (keys >> np.uint64(29))
-
-
 def _sigs(batch: pa.RecordBatch, at: int) -> np.ndarray:
-    return np.stack([batch.column(at + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(BLOCKS)], axis=1)
+    return np.stack([batch.column(at + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(WORDS)], axis=1)
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -162,21 +207,46 @@ def forest(sig: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def edges(nodes: DataFrame, radius: int = JOIN_RADIUS) -> DataFrame:
-    """Pairs (a, b) of nodes whose signatures meet in a table and are within the radius: enough of them to connect all that are."""
+def edges(nodes: DataFrame, radius: int = RADIUS, scheme: Scheme | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes(node, signature) within the radius: enough of them to connect all that are."""
+    scheme = scheme or Scheme.of(radius, nodes.count())
+    if scheme.radius < radius:
+        raise ValueError(f"tables that guarantee {scheme.radius} bits don't find all pairs within {radius}")
+    part = BUCKET
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)
-                keys = table_keys(_sigs(batch, 1))
+                keys = scheme.keys(_sigs(batch, 1))
                 ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "node"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, bounds in _by_key(batches):
-            size = np.diff(bounds)
-            yield batch.filter(pa.array(np.repeat(size > 1, size)))
+        """Rows whose key another row has too, with the number of their part of the bucket; of each key all that is held is its count so far and its first row."""
+        now, seen, first = None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+            size = np.diff(np.append(starts, len(keys)))
+            rank = np.arange(len(keys)) - np.repeat(starts, size)
+            goes_on = now is not None and keys[0] == now
+            if goes_on:
+                rank[: size[0]] += seen
+            keep = np.repeat(size > 1, size)
+            late = goes_on and seen == 1  # its first row was held back
+            if goes_on:
+                keep[: size[0]] = True
+            if size[-1] == 1 and not (goes_on and len(starts) == 1):
+                keep[-1] = False
+            out = [keys[keep], ids[keep], rank[keep] // part]
+            if late:
+                out = [np.concatenate([[x], y]) for x, y in zip((now, first, 0), out)]
+            seen = int(size[-1]) + (seen if goes_on and len(starts) == 1 else 0)
+            now, first = keys[-1], ids[-1] if seen == 1 else first
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["key", "node", "part"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in _by_key(batches):
@@ -197,7 +267,10 @@ def edges(nodes: DataFrame, radius: int = JOIN_RADIUS) -> DataFrame:
         return df.repartition("key").sortWithinPartitions("key")
 
     keys = sorted_by_key(nodes.select("node", *SIG).mapInArrow(keyed, "key bigint, node bigint"))
-    met = keys.mapInArrow(shared, "key bigint, node bigint")
+    met = stored(keys.mapInArrow(shared, "key bigint, node bigint, part bigint"), "met")
+    parts = met.filter("part > 0").groupBy(F.col("key").alias("hot")).agg(F.max("part").alias("last"))
+    met = met.join(parts, met["key"] == parts["hot"], "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))))
+    met = met.select("node", F.when(F.col("last").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).alias("key"))
     pairs = sorted_by_key(met.join(nodes, "node").select("key", "node", *SIG)).mapInArrow(joined, "a bigint, b bigint")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
 
@@ -220,15 +293,22 @@ def components(pairs: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def groups(docs: DataFrame, radius: int = JOIN_RADIUS) -> DataFrame:
+def groups(docs: DataFrame, radius: int = RADIUS, scheme: Scheme | None = None) -> DataFrame:
     """doc_id and group_id (the least doc_id of its group) of every document that has a near copy; one row a document."""
     signed = stored(signatures(docs).distinct(), "signatures")
-    nodes = stored(signed.groupBy(*SIG).agg(F.min("doc_id").alias("node")), "nodes")
-    same = signed.join(nodes, SIG).filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    return components(edges(nodes, radius).unionAll(same)).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")).distinct()
-
-
-def keep_one(docs: DataFrame, radius: int = JOIN_RADIUS) -> DataFrame:
+    nodes = stored(signed.groupBy(*SIG).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    twice = signed.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    links = edges(nodes, radius, scheme)
+    several = signed.join(twice, "doc_id", "left_semi").join(nodes, SIG).select("doc_id", "node")  # texts of one document are linked
+    links = links.unionAll(several.join(several.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b"))
+    named = nodes.select(*SIG, "node", "least", "n").join(components(links), "node", "left")
+    named = stored(named.select(*SIG, "least", "n", F.col("root").isNotNull().alias("linked"), F.coalesce("root", "node").alias("root")), "named")
+    heads = named.filter("linked").groupBy("root").agg(F.min("least").alias("head"))
+    named = named.join(heads, "root", "left").filter("n > 1 OR linked").select(*SIG, F.coalesce("head", "least").alias("group_id"))
+    return signed.join(named, SIG).select("doc_id", "group_id").distinct()
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one document of each group: the least doc_id's. Rows in no group stay; of rows that repeat a doc_id with its text one stays."""
     gone = groups(docs, radius).filter("doc_id <> group_id").select(F.col("doc_id").alias("qs_id"))
     left = docs.join(gone, docs["doc_id"] == gone["qs_id"], "left_anti")
