@@ -1,4 +1,4 @@
-"""Operator 3: LM scoring with a Katz backoff bigram model of the whole corpus.
+"""Operator 3: LM scoring with a Katz backoff bigram model of the whole corpus (katzorder has other orders).
 
 A word follows the word before it, the first one a start mark. Counts come from every
 document. Counts up to K are discounted by Good-Turing (Katz's form, so that the mass freed
@@ -21,7 +21,8 @@ How it runs. Texts become slices of word numbers once, stored. Each slice sends
 words, then its distinct bigrams with counts, to buckets by hash of the word or history, as
 packed arrays; a bucket adds them up, stores its part of the table, and answers each slice
 with the totals in the order asked. So no table has to fit anywhere, and what moves is some bytes
-for each distinct n-gram of a slice. Followers of a hot history (the count of which is at
+for each distinct n-gram of a slice. Slices grow with the root of the corpus (slice_size), so
+that the rows exchanged, one for each slice and bucket, grow with the corpus. Followers of a hot history (the count of which is at
 least that of HOT_SHARE of all tokens, and HOT_LEAST) are spread over several buckets by
 word; the sums over them, of at most 1 / HOT_SHARE histories, meet on the driver.
 
@@ -49,6 +50,7 @@ from quillspark.llm.common import WORD, lowered, pieces, stored
 K, MIN_COUNT = 5, 1
 SLICE = 2_000_000
 SCORED = 250_000
+MOST_TASKS = 10_000
 HOT_LEAST, HOT_SHARE = 2_000_000, 5e-6
 _ROW = "kind int, key bigint, bucket int, a binary, b binary, c binary, d binary"
 _NAMES = [f.split()[0] for f in _ROW.split(", ")]
@@ -186,6 +188,11 @@ class Places:
     tasks: int
     most: int
 
+    @property
+    def parts(self) -> int:
+        """Partitions: MOST_TASKS at most, then each has several buckets or slices, one after another."""
+        return min(self.tasks * self.most, MOST_TASKS)
+
     @classmethod
     def of(cls, slices: DataFrame) -> tuple[Places, int]:
         """Also how many texts have a word."""
@@ -193,12 +200,13 @@ class Places:
         return cls(max(1, r[0]), (r[1] or 0) + 1, r[2] or 1), r[3] or 0
 
     def by_bucket(self, df: DataFrame) -> DataFrame:
-        return df.repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "key")
+        n = min(self.buckets, MOST_TASKS)
+        return df.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket", "kind", "key")
 
     def by_slice(self, df: DataFrame) -> DataFrame:
         """Slices come before the answers to them."""
         at = F.shiftright("key", 32) * self.most + F.col("key").bitwiseAND(0xFFFFFFFF) - 1
-        return df.repartitionById(self.tasks * self.most, at.cast("int")).sortWithinPartitions("key", "kind", "bucket")
+        return df.repartitionById(self.parts, (at % self.parts).cast("int")).sortWithinPartitions("key", "kind", "bucket")
 
 
 class Slice:
@@ -563,29 +571,52 @@ def _shares(sizes: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], len(sizes)]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The same for other documents: every token meets the tables by join, an unseen bigram backs off, an unseen word is the unknown one."""
+def slice_size(docs: DataFrame) -> int:
+    """Tokens of a slice: SLICE, or so many that the rows that slices and buckets exchange, the square of their number, stay a share of the tokens (the 144th)."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(SLICE, math.ceil(12 * math.sqrt(chars / 6)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, chars=300_000):
-            out: list[tuple] = []
-            for key, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                words = WORD.findall(lowered(text)) if text else []
-                out += [(key, doc_id, u, w) for u, w in zip([None, *words], words)] or [(key, doc_id, None, None)]
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["key", "doc_id", "before", "word"])
-
-    keyed = stored(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "keyed")
-    tokens = keyed.mapInArrow(run, "key bigint, doc_id bigint, before string, word string")
-    uni, bi = model.unigrams(), model.bigrams()
-    tokens = tokens.join(uni.select("word", F.col("id").alias("w"), F.col("logp").alias("low")), "word", "left")
-    tokens = tokens.join(uni.select(F.col("word").alias("before"), F.col("id").alias("u0")), "before", "left").withColumn("u", F.when(F.col("before").isNull(), 0).otherwise(F.col("u0")))
-    tokens = tokens.join(bi.filter("w IS NOT NULL").select("u", "w", F.col("logp").alias("high")), ["u", "w"], "left").join(bi.filter("w IS NULL").select("u", F.col("logp").alias("bow")), "u", "left")
-    logp = F.when(F.col("word").isNull(), 0.0).otherwise(F.coalesce("high", F.coalesce("bow", F.lit(0.0)) + F.coalesce("low", F.lit(model.unknown()))))
-    sums = tokens.groupBy("key", "doc_id").agg(F.count("word").cast("int").alias("n_tokens"), F.sum(logp).alias("s"))
-    return sums.select("doc_id", "n_tokens", F.round("s", 4).alias("logprob"), F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("s") / F.col("n_tokens")), 4)).alias("perplexity"))
-
-
-def train_and_score(docs: DataFrame, min_count: int = MIN_COUNT, size: int = SLICE) -> DataFrame:
+
+def train_and_score(docs: DataFrame, min_count: int = MIN_COUNT, size: int | None = None) -> DataFrame:
     """Scores of docs, each under the model of the others."""
-    return score_own(*train(docs, min_count, K, size), leave_out=True)
+    return score_own(*train(docs, min_count, K, size or slice_size(docs)), leave_out=True)
+
+
+def _discounts_sql(n: list[str], k: int = K) -> str:
+    """discounts over columns with the numbers of n-grams seen 1..k+1 times."""
+    out = "[" + ", ".join(repr(1 - 0.5 / r) for r in range(1, k + 1)) + "]"
+    for top in range(2, k + 1):
+        common = f"(({top + 1} * {n[top]})::DOUBLE / {n[0]})"
+        d = [f"((({r + 1} * {n[r]})::DOUBLE / ({r} * {n[r - 1]}) - {common}) / (1 - {common}))" for r in range(1, top + 1)]
+        right = " AND ".join([f"{x} > 0" for x in n[: top + 1]] + [f"{common} < 1"])
+        inside = " AND ".join(f"{x} > 0 AND {x} < 1" for x in d)
+        out = f"CASE WHEN CASE WHEN {right} THEN {inside} ELSE false END THEN [{', '.join(d + ['1.0'] * (k - top))}] ELSE {out} END"
+    return out
+
+
+def oracle(k: int = K) -> str:
+    """DuckDB SQL for train_and_score over the table documents, whose doc_ids differ."""
+    rs, n = range(1, k + 2), [f"n{r}" for r in range(1, k + 2)]
+    ones = ", ".join(f"count(*) FILTER (WHERE n = {r}) AS n{r}" for r in rs)
+    moved = lambda r: f"sum((n - o = {r})::INT - (n = {r})::INT)"
+    left = f"CASE WHEN %s > {k} THEN %s ELSE 0 END"
+    cut = lambda c, d: f"CASE WHEN {c} > {k} THEN ({c})::DOUBLE ELSE ({c}) * {d}[({c})::INT] END"
+    kept = " + ".join([f"(a.above + h.above - h.above0)::DOUBLE", *(f"{r} * d[{r}] * (a.b{r} + h.m{r})" for r in range(1, k + 1))])
+    return rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, unnest(list_prepend('', w)[1:len(w)]) AS u, unnest(w) AS w FROM t),
+own AS MATERIALIZED (SELECT doc_id, u, w, count(*) AS o FROM b GROUP BY ALL),
+one AS (SELECT w, sum(o)::BIGINT AS n FROM own GROUP BY w),
+g1 AS (SELECT {_discounts_sql(n, k)} AS d, total FROM (SELECT {ones}, sum(n) AS total FROM one)),
+p AS MATERIALIZED (SELECT w, ({cut("n", "d")}) / total AS p FROM one, g1),
+two AS MATERIALIZED (SELECT u, w, n, p FROM (SELECT u, w, sum(o)::BIGINT AS n FROM own GROUP BY u, w) JOIN p USING (w)),
+g2 AS (SELECT {ones} FROM two),
+a AS (SELECT u, sum(n) AS seen, sum(p) AS lower, {", ".join(f"count(*) FILTER (WHERE n = {r}) AS b{r}" for r in range(1, k + 1))}, sum({left % ("n", "n")}) AS above FROM two GROUP BY u),
+j AS MATERIALIZED (SELECT doc_id, u, w, o, n, p FROM own JOIN two USING (u, w)),
+dd AS (SELECT doc_id, {_discounts_sql(n, k)} AS d FROM (SELECT doc_id, {", ".join(f"max(g2.n{r}) + {moved(r)} AS n{r}" for r in rs)} FROM j, g2 GROUP BY doc_id)),
+h AS (SELECT doc_id, u, sum(o) AS o, sum(CASE WHEN n = o THEN p ELSE 0 END) AS gone, {", ".join(f"{moved(r)} AS m{r}" for r in range(1, k + 1))}, sum({left % ("n - o", "n - o")}) AS above, sum({left % ("n", "n")}) AS above0 FROM j GROUP BY doc_id, u),
+s AS (SELECT doc_id, u, seen - h.o AS seen, {kept} AS kept, lower - gone AS lower FROM h JOIN a USING (u) JOIN dd USING (doc_id)),
+z AS (SELECT doc_id, u, kept, lower, CASE WHEN seen - kept < 1e-9 THEN seen + 0.5 ELSE seen::DOUBLE END AS bottom FROM s),
+l AS (SELECT doc_id, sum(o) AS n_tokens, sum(o * ln(CASE WHEN n > o THEN ({cut("n - o", "d")}) / bottom ELSE (1 - kept / greatest(bottom, 0.5)) / (1 - lower) * p END)) AS s FROM j JOIN z USING (doc_id, u) JOIN dd USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_tokens, 0)::INT AS n_tokens, round(coalesce(s, 0), 4)::DOUBLE AS logprob, round(exp(-s / n_tokens), 4) AS perplexity FROM documents LEFT JOIN l USING (doc_id)
+"""

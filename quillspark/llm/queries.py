@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_katz_scores": katz.oracle(),
     "op6_embedding_links": egojoin.oracle(),
     "op8_host_filter": hostfilter.oracle(),
     "op10_decontamination": decontamination.oracle(),
