@@ -129,10 +129,73 @@ def test_hosts_shrink_toward_their_parents(spark):
     assert (by[204].host, by[204].domain, by[204].suffix) == ("a.b.co.uk", "b.co.uk", "co.uk")
     kept = U.keep_good(pages, outcomes)
     assert kept.columns == pages.columns and {r.page_id for r in kept.collect()} == set(by) - set(range(30))
+    truth = brute_hosts(rows, [(d, q, t) for d, q, t in labels])
+    assert all((r.host, r.domain, r.suffix, r.n_labelled, r.keep) == truth[i][:3] + (truth[i][3], truth[i][6]) and abs(r.bad_rate - truth[i][4]) < 2e-6 and abs(r.lower_bound - truth[i][5]) < 2e-6 for i, r in by.items())
     none = outcomes.limit(0)
     assert all(r.keep for r in U.verdicts(pages, none).collect()) and U.verdicts(pages.limit(0), outcomes).count() == 0
 
 
+def brute_hosts(rows, labels):
+    """By page_id: host, domain, suffix, labelled pages, rate, bound, verdict."""
+    from urllib.parse import urlsplit
+
+    def parts(url):
+        host = (urlsplit(url).hostname if url and "://" in url else None) or None
+        if not host:
+            return None, None, None
+        host = host.rstrip(".").removeprefix("www.")
+        if host.replace(".", "").isdigit():
+            return host, host, ""
+        own = host.split(".")
+        k = 2 if len(own) > 1 and (len(own[-1]) == 2 and own[-2] in U.SECOND or ".".join(own[-2:]) in U.HOSTING) else 1
+        return host, ".".join(own[-k - 1 :]), ".".join(own[-k:])
+
+    bad = {}
+    for d, q, t in labels:
+        if d is not None and (q is not None or t is not None):
+            bad[d] = max(bad.get(d, 0), int(q == 0 or t == 1))
+    named = {i: parts(u) for i, u in rows}
+    seen = [(named[i], b) for i, b in bad.items() if i in named and named[i][0]]
+    p0 = (sum(b for _, b in seen) + U.WEAKEST / 2) / (len(seen) + U.WEAKEST)
+
+    def level(key, up):
+        count = {}
+        for n, b in seen:
+            c = count.setdefault(key(n), [0, 0, up(n)])
+            c[0] += 1
+            c[1] += b
+        over = sum((y - n * p) ** 2 - n * p * (1 - p) for n, y, p in count.values())
+        scale = sum(n * (n - 1) * p * (1 - p) for n, _, p in count.values())
+        m = U.WEAKEST if not scale else U.STRONGEST if over <= 0 else min(U.STRONGEST, max(U.WEAKEST, scale / over - 1))
+        return count, m
+
+    cs, ms = level(lambda n: n[2], lambda n: p0)
+    rate_s = {k: (y + ms * p) / (n + ms) for k, (n, y, p) in cs.items()}
+    cd, md = level(lambda n: n[1:], lambda n: rate_s[n[2]])
+    rate_d = {k: (y + md * p) / (n + md) for k, (n, y, p) in cd.items()}
+    ch, mh = level(lambda n: n[0], lambda n: rate_d[n[1:]])
+    out = {}
+    for i, n in named.items():
+        total, y, _ = ch.get(n[0], (0, 0, 0)) if n[0] else (0, 0, 0)
+        p = rate_d.get(n[1:], rate_s.get(n[2], p0))
+        mean = (y + mh * p) / (total + mh)
+        low = mean - U.Z * (mean * (1 - mean) / (total + mh + 1)) ** 0.5
+        out[i] = (*n, total, mean, low, low <= U.MAX_BAD)
+    return out
+
+
+def test_public_suffixes(spark):
+    urls = {"http://a.b.example.co.il/": ("co.il", "example.co.il"), "http://me.github.io/x": ("github.io", "me.github.io"), "http://x.gov.br": ("gov.br", "x.gov.br"), "http://[::1]:80/": ("", "[::1]"), "http://com.au/": ("com.au", "com.au"), "http://a.www.ck/": ("ck", "www.ck"), "http://x.y.z.ck/": ("ck", "z.ck"), "http://localhost/": ("localhost", "localhost")}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    none = spark.createDataFrame([], "page_id bigint, bad int")
+    found = {r.page_id: (r.suffix, r.domain) for r in U.verdicts(pages, none).collect()}
+    assert [found[i] for i in range(len(urls))] == list(urls.values())
+    rules = spark.createDataFrame([("com",), ("co.il",), ("*.ck",), ("!www.ck",), ("il",), ("github.io",)], "rule string")
+    found = {r.page_id: (r.suffix, r.domain) for r in U.verdicts(pages, none, rules=rules).collect()}
+    assert [found[i] for i in (0, 1, 5, 6, 3)] == [("co.il", "example.co.il"), ("github.io", "me.github.io"), ("ck", "www.ck"), ("z.ck", "y.z.ck"), ("", "[::1]")]
+    assert found[2] == ("br", "gov.br") and found[7] == ("localhost", "localhost")
+
+
 # 4
 
 def b64(data):
