@@ -3,14 +3,15 @@
 A page is cut into tags and texts in one linear pass and made a tree (void elements, raw
 text elements, implied ends of p, li, table cells). Every element gets features of its
 subtree: text, link and punctuation density, tags, depth, place among siblings and what they
-hold, and hashed tokens of its class and id. Boosted trees give each the probability of
+hold, and hashed tokens of its class, id and role. Boosted trees give each the probability of
 holding main text. A tree of labels is then decoded as a whole: an element below a dropped one is
 dropped, and of all labellings that obey this the likeliest, weighted by text, is taken.
 
 The trees are fitted here, on at most SAMPLE pages (taken by hash of page_id). A page's own
 markup labels it: text in article or main is main text, text in nav, footer, aside or an
-advertisement isn't. The names that label are no features, so pages without them are read
-by the rest. Pages without article or main teach nothing.
+advertisement isn't. These names (is_label) are no features: as tags they count as any other
+section, as tokens of class, id or role they are left out, so pages without them are read by the rest. Pages
+without article or main teach nothing.
 
 Results by case. Null html: null text, no nodes. Empty html, or no text: empty text. No page
 to learn from: all rendered text is kept. Very long or broken pages: unclosed tags and
@@ -45,11 +46,17 @@ BLOCKS = frozenset("address article aside blockquote body center dd details div
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("article aside body div dl footer form header html main nav ol section table td th ul blockquote".split())
 KINDS = [{"p"}, {"div", "section", "article", "main", "nav", "aside", "footer", "header"}, {"li", "dd", "dt"}, {"a"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl", "table", "tr", "td", "tbody"}, {"pre", "blockquote", "code"}]
-HASHED = 16
+HASHED = 64
 GOOD, BAD = frozenset(("article", "main")), frozenset(("nav", "footer", "aside", "menu"))
+#: Names that label, and roles that say the same; they are no features.
+ROLES = frozenset("main navigation banner contentinfo complementary content article".split())
 MARK = re.compile(r"^(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|cookie\w*)$")
 
 
+def is_label(token: str) -> bool:
+    return token in GOOD or token in BAD or token in ROLES or MARK.match(token) is not None
+
+
 class Page:
     """Elements in document order (parents before children) and texts with the element they stand in."""
 
@@ -142,8 +149,9 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     seen: dict[int, int] = {}
     same: dict[tuple[int, str], int] = {}
     for i, u in enumerate(up.tolist()):
-        rank[i] = seen.get(u, 0)
-        seen[u] = int(rank[i]) + 1
+        if u != i:  # a root is its own parent here
+            rank[i] = seen.get(u, 0)
+            seen[u] = int(rank[i]) + 1
         same[u, tags[i]] = same.get((u, tags[i]), 0) + 1
     twins = np.array([same[u, t] for u, t in zip(up.tolist(), tags)], float)
     page = np.repeat(first, sizes)
@@ -154,11 +162,15 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     flags = np.zeros((n, len(KINDS) + HASHED))
     kinds = {t: k for k, group in enumerate(KINDS) for t in group}
     tokens = [t for p in pages for t in p.tokens]
+    hashed: dict[str, int] = {}
     for i, t in enumerate(tags):
         if t in kinds:
             flags[i, kinds[t]] = 1
         for w in tokens[i]:
-            flags[i, len(KINDS) + zlib.crc32(w.encode()) % HASHED] = 1
+            if w not in hashed:
+                hashed[w] = -1 if is_label(w) else len(KINDS) + zlib.crc32(w.encode()) % HASHED
+            if hashed[w] >= 0:
+                flags[i, hashed[w]] = 1
     return np.column_stack([*x, flags]), parent, depth, own[:, 0]
 
 
