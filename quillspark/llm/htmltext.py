@@ -273,7 +273,7 @@ def weights(x: np.ndarray) -> np.ndarray:
 def fit(pages: DataFrame, sample: int = SAMPLE) -> str:
     """Trees, as text, from at most sample pages that label themselves; empty where none does."""
     chosen = pages.filter("html IS NOT NULL").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).distinct()
-    texts = pages.select("page_id", "html").join(F.broadcast(chosen), "page_id").select("html")
+    texts = pages.select("page_id", "html").join(F.broadcast(chosen), "page_id").select("page_id", "html")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, labels = [], []
@@ -290,7 +290,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> str:
                 text = Trees.fit(x[w > 0], y[w > 0], np.sqrt(w[w > 0])).dump()
         yield pa.RecordBatch.from_arrays([pa.array([text])], names=["model"])
 
-    return "".join(r["model"] for r in texts.repartition(1).mapInArrow(train, "model string").collect())
+    return "".join(r["model"] for r in texts.repartition(1).sortWithinPartitions("page_id", "html").select("html").mapInArrow(train, "model string").collect())
 
 
 def render(page: Page, kept: np.ndarray) -> str:

@@ -1,15 +1,17 @@
 """Operator 5: toxicity by noisy-channel deobfuscation.
 
 A classifier is fitted on a bounded sample of labelled documents (at most SAMPLE of each
-label, taken by hash of doc_id): sequential covering picks whole words and word beginnings
-that mark toxic documents and no others, each with the posterior share of toxic documents
-that hold it. A character trigram model counts the words of all documents. Tokens that look
+label, taken by hash of doc_id): sequential covering picks whole words, word beginnings and
+beginnings shared by several different words that mark toxic documents and no others, each
+with the posterior share of toxic documents that hold it. A character trigram model counts the words of all documents. Tokens that look
 disguised (digits or signs for letters, single letters or signs set apart by whatever else, letters repeated) become
 lattices of possible letters, decoded by Viterbi under that model; the lexicon scores the
 restored words together with the ordinary ones. A document's score is the noisy-or of its
 distinct units.
 
-Results by case. Null or empty text, or no labels: score 0, not toxic. Several labels of one
+Results by case. Null or empty text, or no labels: score 0, not toxic. Empty documents: empty
+result. Very long texts: whole, in batches cut by characters. Ties between units that mark as
+many documents: the longer, then the later in order; between readings of a token: the lesser. Null doc_id: carried. Several labels of one
 document: toxic if any says so. Null labels don't count. Repeated rows: one result each.
 Extra columns: ignored by detect, kept by keep_clean.
 """
@@ -129,7 +131,7 @@ def restore(token: str, model: Letters) -> str:
 
 
 def undo(token: str, model: Letters, memo: dict[str, str]) -> str:
-    """restore, squeezing runs of one repeated letter group first so that equal letters set apart meet as one run."""
+    """restore, remembered by token."""
     found = memo.get(token)
     if found is None:
         if len(memo) > 200_000:
@@ -161,12 +163,22 @@ def disguised(low: str) -> set[str]:
     return out
 
 
-PREFIXES = (4, 5, 6)
+PREFIXES, TIMES = (4, 5, 6), (2, 3, 4)
+
+
+def beginnings(words: set[str], k: int) -> Counter:
+    """How many of the words begin with each k characters and go on."""
+    return Counter(w[:k] for w in words if len(w) > k)
 
 
 def units(words: set[str]) -> set[str]:
-    """Lexicon units that words show: themselves, and their beginnings marked by a hyphen."""
-    return words | {w[:k] + "-" for k in PREFIXES for w in words if len(w) > k}
+    """Lexicon units that words show: themselves, their beginnings marked by a hyphen, and beginnings of several different words with their number (at least)."""
+    out = set(words)
+    for k in PREFIXES:
+        for start, n in beginnings(words, k).items():
+            out.add(f"{start}-")
+            out.update(f"{start}-{t}" for t in TIMES if n >= t)
+    return out
 
 
 FADE = 0.4
@@ -213,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, f
     """Units of the lexicon and their posteriors, from at most sample labelled documents of each label."""
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("qs_toxic"))
     chosen = [marks.filter(t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for t in ("qs_toxic", "NOT qs_toxic")]
-    texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").select("text", "qs_toxic")
+    texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").select("text", "qs_toxic", "doc_id")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean, seen = [], [], set()
@@ -226,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, f
         found = cover(toxic, (units(set(WORD.findall(lowered(t)))) for t in clean))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], names=["unit", "posterior"])
 
-    return {r["unit"]: r["posterior"] for r in texts.repartition(1).mapInArrow(train, "unit string, posterior double").collect()}
+    return {r["unit"]: r["posterior"] for r in texts.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(train, "unit string, posterior double").collect()}
 
 
 def letter_model(docs: DataFrame) -> dict[str, int]:
@@ -249,12 +261,14 @@ def letter_model(docs: DataFrame) -> dict[str, int]:
 class Scorer:
     def __init__(self, lexicon: dict[str, float], grams: dict[str, int]):
         self.lexicon = lexicon
-        self.words = {u for u in lexicon if not u.endswith("-")}
-        self.starts = {k: {u[:-1] for u in lexicon if u.endswith("-") and len(u) == k + 1} for k in PREFIXES}
+        self.words = {u for u in lexicon if "-" not in u}
+        self.starts: dict[int, dict[str, list[int]]] = {k: {} for k in PREFIXES}
+        for start, _, times in (u.partition("-") for u in lexicon if "-" in u):
+            self.starts[len(start)].setdefault(start, []).append(int(times or 1))
         share = sum(grams.values()) * 0.02 / max(1, len(lexicon))
         both: Counter = Counter(grams)
         for u in lexicon:  # those who disguise a word more often mean one of the lexicon than the corpus does
-            both.update({g: int(share) + 1 for g in word_grams({u.rstrip("-"): 1}) if not (u.endswith("-") and g.endswith(" "))})
+            both.update({g: int(share) + 1 for g in word_grams({u.partition("-")[0]: 1}) if not ("-" in u and g.endswith(" "))})
         self.model = Letters(both)
         self.memo: dict[str, str] = {}
 
@@ -262,20 +276,21 @@ class Scorer:
         out = words & self.words
         for k, starts in self.starts.items():
             if starts:
-                out |= {w[:k] + "-" for w in words if w[:k] in starts and len(w) > k}
+                for start, n in Counter(w[:k] for w in words if len(w) > k and w[:k] in starts).items():
+                    out.update(f"{start}-{t if t > 1 else ''}" for t in starts[start] if n >= t)
         return out
 
     def score(self, text: str) -> tuple[float, set[str], set[str]]:
         """Noisy-or of the units, the units, and those that only restoring showed."""
         low = lowered(text)
-        plain = self.found(set(WORD.findall(low)))
-        hidden: set[str] = set()
-        for token in disguised(low):
-            hidden |= self.found(set(undo(token, self.model, self.memo).split(" ")))
+        words = set(WORD.findall(low))
+        plain = self.found(words)
+        restored = {w for token in disguised(low) for w in undo(token, self.model, self.memo).split(" ")}
+        every = self.found(words | restored) if restored - words else plain
         miss = 1.0
-        for u in plain | hidden:
+        for u in every:
             miss *= 1 - self.lexicon[u]
-        return 1 - miss, plain | hidden, hidden - plain
+        return 1 - miss, every, every - plain
 
 
 def _scorer(docs: DataFrame, labels: DataFrame, sample: int):

@@ -384,6 +384,71 @@ def test_every_sign_and_separator_reaches_the_decoder():
     assert not scorer.score("1, 2, 3 hello\nyou 1990s table")[1]
 
 
+def brute_cover(toxic, clean):
+    """Sequential covering written out: exact worth of every unit in every round."""
+    own = [brute_units(t) for t in toxic]
+    others = [brute_units(t) for t in clean]
+    count = {u: sum(u in s for s in own) for s_ in own for u in s_}
+    count = {u: n for u, n in count.items() if n >= 3}
+    against = {u: sum(u in s for s in others) for u in count}
+    base = len(own) / (len(own) + len(others))
+    least = np.log(1e-4 / max(1, len(count))) / np.log(base)
+    post = {u: (n + 0.5) / (n + against[u] + 1) for u, n in count.items()}
+    pool = {u for u, n in count.items() if n >= least and (post[u] >= T.PURITY or not against[u])}
+    weight, out = [1.0] * len(own), {}
+    while pool:
+        worth = {u: sum(w for w, s in zip(weight, own) if u in s) for u in pool}
+        u = max(pool, key=lambda u: (round(worth[u], 6), len(u), u))
+        if worth[u] < least:
+            break
+        out[u] = post[u]
+        pool = {v for v in pool if worth[v] >= least} - {u}
+        weight = [w * T.FADE if u in s else w for w, s in zip(weight, own)]
+    return out
+
+
+def brute_units(words):
+    out = set(words)
+    for w in words:
+        for k in (4, 5, 6):
+            if len(w) > k:
+                n = sum(len(x) > k and x[:k] == w[:k] for x in set(words))
+                out |= {w[:k] + "-"} | {f"{w[:k]}-{t}" for t in (2, 3, 4) if n >= t}
+    return out
+
+
+def test_covering_and_scores_match_brute_force():
+    rng = random.Random(8)
+    plain = [f"{a}{b}{c}" for a in ("hous", "tabl", "wint", "sumr") for b in "aei" for c in "xyz"]
+    toxic, clean = [], []
+    for d in range(240):
+        own = set(rng.sample(plain, 8))
+        if d % 4 == 0:
+            own |= {"idiot"} if d % 8 else {"badword" + c for c in rng.sample("abcdef", 3)}
+            toxic.append(own)
+        else:
+            clean.append(own | ({"badwordq"} if d % 7 == 0 else set()))
+    assert all(T.units(s) == brute_units(s) for s in toxic + clean)
+    lexicon = T.cover([T.units(s) for s in toxic], (T.units(s) for s in clean))
+    assert lexicon == pytest.approx(brute_cover(toxic, clean)) and "idiot" in lexicon and any(u.endswith(("-2", "-3")) for u in lexicon)
+    scorer = T.Scorer(lexicon, T.word_grams({w: 5 for w in plain}))
+    for own in toxic + clean:
+        score, shown, hidden = scorer.score(" ".join(sorted(own)))
+        units = brute_units(own) & lexicon.keys()
+        assert shown == units and not hidden and score == pytest.approx(1 - np.prod([1 - lexicon[u] for u in units] or [1.0]))
+        assert (score >= T.THRESHOLD) == (own in toxic)
+
+
+def test_very_long_texts_and_null_ids_are_scored(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join([*("".join(rng.choices("abcdefgh", k=5)) for _ in range(12)), "idiot" if i % 4 == 0 else "friend"]), "en") for i in range(80)]
+    rows += [(900, "filler text " * 300_000 + "1d10t", "en"), (None, "an idiot", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "1 AS qs_toxic", "2 AS n_restored")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(80)], "doc_id bigint, quality int, toxic int").selectExpr("*", "'x' AS text")
+    found = {r.doc_id: r.n_restored for r in T.detect(docs, labels).collect()}
+    assert found.keys() == {i for i in range(0, 80, 4)} | {900, None} and found[900] >= 1
+
+
 def test_toxicity_held_out_and_disguised(spark):
     rng = random.Random(7)
     plain = [f"word{chr(97 + k)}{chr(97 + j)}" for k in range(20) for j in range(5)]
