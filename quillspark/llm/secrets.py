@@ -6,7 +6,8 @@ bare base64 / hex run by the nested lengths of the DER or OpenSSH encoding insid
 checksummed token by its CRC, and the value of a credential assignment by its hex or base64
 bytes. Anything that fails its parse is left alone, so hashes, ids and long words stay.
 
-Results by case. Null or empty text: no finding. Overlapping findings: the earlier, at the
+Results by case. Null or empty text: no finding. Empty table: empty result. Very long texts:
+whole, in batches cut by characters. Overlapping findings: the earlier, at the
 same place the longer. Repeated rows and repeated secrets: a finding for each. Null doc_id:
 carried as null. Extra columns: ignored by scan, kept by redact.
 """
