@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from quillspark.llm import decontamination, queries, secrets, sentencepieces, simhash, toxicity
+from quillspark.llm import common, decontamination, queries, secrets, sentencepieces, simhash, toxicity
 
 
 def rows(frame):
@@ -23,7 +23,7 @@ def test_query_runs_and_equals_its_sql(spark, data, name):
 def test_pipeline_equals_its_stages_done_by_hand(spark, data):
     """Each stage's decision taken from the operator's report, applied to rows in Python."""
     table = lambda n: spark.read.parquet(f"{data}/{n}.parquet")
-    docs = table("documents").filter("n_chars < 4000")
+    docs = table("documents")
     out, now = docs, docs.collect()
     frame = lambda rs: spark.createDataFrame(rs, docs.schema)
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -61,5 +61,22 @@ def test_pipeline_equals_its_stages_done_by_hand(spark, data):
         assert last[r[0]].ids == ids.tolist()
 
 
-def test_pipeline_runs(spark, data):
+def test_pipeline_runs_and_its_tables_can_go(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
+    assert common.drop_stored(spark) > 4 and common.drop_stored(spark) == 0
+
+
+def test_stages_on_awkward_rows(spark, data):
+    long = "word " * 300_000
+    rows = [(1, "a text of some words", "en", "s", 20), (1, "a text of some words", "en", "s", 20), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "no id", "en", "s", 5), (None, "no id", "en", "s", 5), (4, long, "en", "s", len(long)), (5, " .!", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "'k' AS qs_key", "1 AS node", "2 AS words", "3 AS ids", "4 AS key", "5 AS qs_id", "6 AS count", "7 AS starts")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), data)
+        now = stage(spark, now, data)
+        assert empty.count() == 0 and empty.columns == now.columns
+        if name != "sentencepiece":
+            assert now.columns == docs.columns, name
+    out = sorted((repr(r.doc_id), r.n_tokens) for r in now.collect())
+    assert [i for i, _ in out] == ["1", "2", "3", "4", "5", "None", "None"]
+    assert dict(out)["2"] is None and dict(out)["3"] == 0 and dict(out)["4"] >= 300_000
