@@ -41,8 +41,10 @@ from quillspark.llm.common import WORD, free_name, lowered, pieces, stored
 
 BITS, WORDS = 256, 4
 #: Differing bits up to which texts are near copies.
-RADIUS = 28
-BUCKET = 20_000
+RADIUS = 24
+BUCKET, SMALL = 20_000, 32
+#: Share of a masked block's bits that tell texts apart, as measured, and rows for which schemes are chosen at least.
+FREE, LEAST_ROWS = 0.7, 1_000_000
 CACHE = 300_000
 SIG = ["s0", "s1", "s2", "s3"]
 
@@ -74,9 +76,9 @@ class Scheme:
         return self.blocks * ((2 << self.block_radius) - 1)
 
     def cost(self, rows: int) -> float:
-        """Of a row: its keys, and those it shares by chance, which travel again with signatures, and comparisons."""
-        kept = BITS / self.blocks * (1 << self.block_radius) / ((2 << self.block_radius) - 1)
-        met = rows / 2.0**kept
+        """Of a row: its keys, and those it shares by chance, which travel again with signatures, and comparisons. Texts of one language share bits: a masked block tells them apart as FREE of its bits would."""
+        kept = FREE * BITS / self.blocks * (1 << self.block_radius) / ((2 << self.block_radius) - 1)
+        met = max(rows, LEAST_ROWS) / 2.0**kept
         return self.tables * (1 + 3 * (1 - math.exp(-met)) + 0.05 * met)
 
     @classmethod
@@ -88,7 +90,7 @@ class Scheme:
         return min((s for s in found if s.block_radius < 12), key=lambda s: s.cost(rows))
 
     def keys(self, sig: np.ndarray) -> np.ndarray:
-        """The key of each signature in each of the tables: table number and masked block, mixed to 64 bits."""
+        """The key of each signature in each of the tables: table number and masked block, mixed to 40 bits (equal keys of unlike blocks only cost a comparison)."""
         cuts, out = [BITS * k // self.blocks for k in range(self.blocks + 1)], []
         for lo, hi in zip(cuts, cuts[1:]):
             w, shift = lo // 64, lo % 64
@@ -97,11 +99,10 @@ class Scheme:
                 block = block | sig[:, w + 1] << np.uint64(64 - shift)
             out.append(block[:, None] & masks(self.block_radius, hi - lo)[None, :])
         keys = np.concatenate(out, axis=1)
-        keys ^= np.arange(keys.shape[1], dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)
         keys *= np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(32)
         keys *= np.uint64(0xD6E8FEB86659FD93)
-        return keys ^ (keys >> np.uint64(29))
+        return (keys >> np.uint64(24)) | np.arange(keys.shape[1], dtype=np.uint64)[None, :] << np.uint64(40)
 
 
 class Signer:
@@ -207,6 +208,30 @@ def forest(sig: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
+def close_pairs(sig: np.ndarray, bounds: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs within the radius in the buckets between bounds: enough of them to connect all that are. Buckets of equal size up to SMALL are compared together."""
+    size, left, right = np.diff(bounds), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    many = np.flatnonzero(size > SMALL).tolist()
+    for m in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
+        i, j = np.triu_indices(m, 1)
+        own = np.flatnonzero(size == m)
+        for k in range(0, len(own), step := max(1, 500_000 // len(i))):
+            part = own[k : k + step]
+            a, b = bounds[part][:, None] + i, bounds[part][:, None] + j
+            near = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=2, dtype=np.int64) <= radius
+            full = near.sum(axis=1) >= m  # more than a tree needs
+            many += part[full].tolist()
+            near[full] = False
+            left.append(a[near])
+            right.append(b[near])
+    for k in many:
+        if pairs := forest(sig[bounds[k] : bounds[k + 1]], radius):
+            at = np.array(pairs) + bounds[k]
+            left.append(at[:, 0])
+            right.append(at[:, 1])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def edges(nodes: DataFrame, radius: int = RADIUS, scheme: Scheme | None = None) -> DataFrame:
     """Pairs (a, b) of nodes(node, signature) within the radius: enough of them to connect all that are."""
     scheme = scheme or Scheme.of(radius, nodes.count())
@@ -251,17 +276,8 @@ def edges(nodes: DataFrame, radius: int = RADIUS, scheme: Scheme | None = None)
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in _by_key(batches):
             ids, sig = batch.column(1).to_numpy(zero_copy_only=False), _sigs(batch, 2)
-            size = np.diff(bounds)
-            two = bounds[:-1][size == 2]
-            near = two[np.bitwise_count(sig[two] ^ sig[two + 1]).sum(axis=1) <= radius]
-            a, b = [ids[near]], [ids[near + 1]]
-            for k in np.flatnonzero(size > 2).tolist():
-                own = ids[bounds[k] : bounds[k + 1]]
-                if pairs := forest(sig[bounds[k] : bounds[k + 1]], radius):
-                    at = np.array(pairs)
-                    a.append(own[at[:, 0]])
-                    b.append(own[at[:, 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            i, j = close_pairs(sig, bounds, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
     def sorted_by_key(df: DataFrame) -> DataFrame:
         return df.repartition("key").sortWithinPartitions("key")
