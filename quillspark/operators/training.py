@@ -10,6 +10,7 @@ import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.normalize import NormalizerConfig
 from quillspark.functions.pretokenize import normalized_chunks
 from quillspark.functions.whitespace import SPACER
-from quillspark.model import BYTE_TOKENS, Model, SpecialTokens, byte_tokens_of
+from quillspark.model import BYTE_TOKENS, Model, SpecialTokens
 from quillspark.operators.learner import Learner
 from quillspark.sources.shared import stored
 
@@ -65,17 +66,30 @@ def _learned(words: DataFrame, order: Sequence[str], merges: int, alphabet: str,
     number = None if langs is None else {x: i for i, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, list[str], int]]:
-            for batch in batches:
-                lists = [batch.column(c).to_pylist() for c in range(len(columns))]
-                for r in zip(*lists):
-                    tokens = [t for c in r[0] for t in byte_tokens_of(c)] if alphabet == "bytes" else list(r[0])
-                    yield (number[r[2]] if number else 0), tokens, r[1]
-
-        learner = Learner(rows(), len(langs) if langs else 1, **options)
-        found = learner.run(merges)
+        flat, sizes, freq, of = [], [], [], []
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            if alphabet == "bytes":
+                parts = [w.encode("utf-8", "surrogatepass") for w in own]
+                flat.append(np.frombuffer(b"".join(parts), np.uint8).astype(np.int64))
+            else:
+                parts = own
+                flat.append(np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64))
+            sizes.append(np.fromiter(map(len, parts), np.int64, len(parts)))
+            freq.append(batch.column(1).to_numpy())
+            of.append(np.array([number[x] for x in batch.column(2).to_pylist()] if number else [0] * len(own), np.int64))
+        if not flat:
+            return
+        codes = np.concatenate(flat)
+        if alphabet == "bytes":
+            names = list(BYTE_TOKENS)
+        else:
+            found, codes = np.unique(codes, return_inverse=True)
+            names = [chr(c) for c in found.tolist()]
+        learner = Learner(names, codes.reshape(-1), *map(np.concatenate, (sizes, freq, of)), len(langs) if langs else 1, **options)
+        merges_ = learner.run(merges)
         stats = {"tokens": learner.tokens.tolist(), "words": learner.total_words.tolist()}
-        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([found, stats])])], names=["result"])
+        yield pa.RecordBatch.from_arrays([pa.array([json.dumps([merges_, stats])])], names=["result"])
 
     result = words.select(*columns, *[c for c in order if c not in columns]).repartition(1).sortWithinPartitions(*order).select(*columns).mapInArrow(run, "result string").first()
     if result is None:  # no words, no task

@@ -89,7 +89,7 @@ def test_learner_equals_a_full_recount(words, merges):
     lines = [w for w, n in words for _ in range(n)]
     order = list(dict.fromkeys(lines))
     counts = Counter(lines)
-    found = Learner([(0, list(w), counts[w]) for w in order], max_length=5, spacer=None).run(merges)
+    found = Learner.of([(0, list(w), counts[w]) for w in order], max_length=5, spacer=None).run(merges)
     assert found == brute_train(lines, merges, NormalizerConfig("NONE", "NONE"), limit=5, spacer=None)
 
 
