@@ -31,7 +31,7 @@ def _there(path: str) -> str:
 
 def _train(a: argparse.Namespace) -> None:
     texts = read_lines(_session(), _there(a.corpus), strip_ends=True)
-    model = train_bpe(texts, a.vocab_size, normalizer=NormalizerConfig(a.normalization, a.spacer, a.lowercase, a.pre_tokenization), byte_fallback=a.byte_fallback)
+    model = train_bpe(texts, a.vocab_size, normalizer=NormalizerConfig(a.normalization, a.spacer, a.lowercase, a.pre_tokenization), byte_fallback=a.byte_fallback, verbose=a.verbose)
     model.save(a.output, {"corpus_path": a.corpus, "num_training_texts": texts.count()})
     print(f"{a.output}: {len(model)} tokens, {len(model.merges)} merges")
 
@@ -78,6 +78,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
     train.add_argument("-p", "--pre-tokenization", default="NONE", type=str.upper, choices=[*CHUNKINGS, "PYTHON"])
     train.add_argument("--byte-fallback", action=argparse.BooleanOptionalAction, default=True)
     train.add_argument("--lowercase", action="store_true")
+    train.add_argument("--verbose", action="store_true", help="tell of every 500 merges")
     train.set_defaults(run=_train)
     apply = commands.add_parser("apply")
     apply.add_argument("model")

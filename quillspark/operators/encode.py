@@ -19,10 +19,13 @@ from pyspark.sql.functions import udtf
 
 from quillspark.functions.normalize import denormalize_text, normalize_text
 from quillspark.functions.pretokenize import pretokenize_text
-from quillspark.model import BYTE_TOKEN, Model
+from quillspark.model import BYTE_TOKEN, Model, model_hash
 
 #: Chunks that a worker remembers, and the longest of them.
 MEMO, MEMO_CHARS = 200_000, 64
+#: Encoders that a worker keeps from task to task, by model.
+KEPT = 8
+_KEPT: dict[tuple[str, bool], Encoder] = {}
 _BYTES = re.compile(rf"(?:{BYTE_TOKEN.pattern})+")
 
 
@@ -69,6 +72,11 @@ class Encoder:
         self.special = model.special.all() if model.special else []
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.memo: dict[str, list[str]] = {}
+        self.key = (model_hash(model.to_dict()), strict_specials)
+
+    def __reduce__(self):
+        """Where it arrives, the encoder that is there already is used, with what it remembers."""
+        return _kept, (self.key, self.model, self.strict)
 
     def chunk(self, chunk: str) -> list[str]:
         if len(chunk) > MEMO_CHARS:
@@ -95,7 +103,17 @@ class Encoder:
     def encode(self, text: str | None) -> list[str] | None:
         if text is None:
             return None
-        return [t for c in pretokenize_text(text, self.config.chunking) for t in self.chunk(c)]
+        out: list[str] = []
+        get = self.memo.get
+        for c in pretokenize_text(text, self.config.chunking):
+            out += get(c) or self.chunk(c)
+        return out
+
+    def count(self, text: str | None) -> int | None:
+        if text is None:
+            return None
+        get = self.memo.get
+        return sum([len(get(c) or self.chunk(c)) for c in pretokenize_text(text, self.config.chunking)])
 
     def decode(self, tokens: list[str] | None) -> str | None:
         if tokens is None:
@@ -117,6 +135,15 @@ class Encoder:
                 yield c, step, left, right, rank, [t for t in live if t is not None]
 
 
+def _kept(key: tuple[str, bool], model: Model, strict: bool) -> Encoder:
+    found = _KEPT.get(key)
+    if found is None:
+        if len(_KEPT) >= KEPT:
+            _KEPT.clear()
+        found = _KEPT[key] = Encoder(model, strict)
+    return found
+
+
 def join_bytes(tokens: list[str]) -> str:
     """Text of tokens. Runs of byte tokens, also inside one token, are UTF-8; a run that isn't becomes a question mark for each byte."""
     out: list[str] = []
@@ -154,7 +181,7 @@ def count_tokens(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("bigint")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else len(encoder.encode(t)) for t in texts], dtype="Int64")
+        return pd.Series([encoder.count(t) for t in texts], dtype="Int64")
 
     return run(text)
 
@@ -223,7 +250,7 @@ def register(spark: SparkSession, model: Model, prefix: str = "bpe") -> None:
 
     @F.pandas_udf("bigint")
     def size(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else len(encoder.encode(t)) for t in texts], dtype="Int64")
+        return pd.Series([encoder.count(t) for t in texts], dtype="Int64")
 
     for name, function in (("encode", to_tokens), ("decode", to_text), ("count_tokens", size)):
         spark.udf.register(f"{prefix}_{name}", function)

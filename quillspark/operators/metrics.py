@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.whitespace import SPACER, code_points, word_count, words
+from quillspark.sources.shared import stored
 
 OPERATORS = ("!=", "&&", "*=", "+=", "-=", "->", "//", "/=", "<<", "<=", "==", "=>", ">=", ">>", "||")
 TEN_OPERATORS = ("!=", "&&", "+=", "-=", "->", "<=", "==", "=>", ">=", "||")
@@ -58,6 +59,23 @@ def gini(values: DataFrame, column: str) -> DataFrame:
     return ranked.agg(F.coalesce(F.when((n > 1) & (total != 0), 2 * F.sum(F.col("i") * F.col("x")) / (n * total) - (n + 1) / n), F.lit(0.0)).alias("gini"))
 
 
+def _ranked(values: DataFrame, column: str) -> DataFrame:
+    by = Window.orderBy("x")
+    ranked = values.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    return ranked.withColumn("i", F.row_number().over(by)).withColumn("upto", F.sum("x").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def gini_forms(values: DataFrame, column: str) -> DataFrame:
+    """One row with three ways to write the same index: by rank (as gini), by centred rank, and by the curve of running sums. Equal for positive values; 0 for fewer than two values or where all are 0."""
+    n, total = F.count("*"), F.sum("x")
+    i, x = F.col("i"), F.col("x")
+    some = (n > 1) & (total != 0)
+    centred = F.abs(2 * F.sum(i * x) - (n + 1) * total) / (n * total)
+    curve = (n + 1 - 2 * F.sum("upto") / total) / n
+    forms = {"by_rank": 2 * F.sum(i * x) / (n * total) - (n + 1) / n, "by_centred_rank": centred, "by_curve": curve}
+    return _ranked(values, column).agg(*[F.coalesce(F.when(some, v), F.lit(0.0)).alias(k) for k, v in forms.items()])
+
+
 def fairness_summary(values: DataFrame, column: str = "fertility") -> DataFrame:
     """One row: gini, cv, max_min_ratio, max_median_ratio, mean, std (of the population), median, min, max. Ratios to 0 are infinite."""
     x = F.col(column)
@@ -179,31 +197,32 @@ def bigrams(tokens: DataFrame) -> DataFrame:
 
 
 def pmi(tokens: DataFrame) -> DataFrame:
-    """left, right, n and pmi (bits) of pairs of neighbours, from their share of pairs and their tokens' shares of tokens."""
-    pairs = bigrams(tokens).groupBy("left", "right").agg(F.count("*").alias("n"))
-    single = token_rows(tokens).groupBy("token").agg(F.count("*").alias("u"))
-    totals = pairs.agg(F.sum("n").alias("np")).crossJoin(single.agg(F.sum("u").alias("nu")))
-    joined = pairs.join(single.select(F.col("token").alias("left"), F.col("u").alias("ul")), "left").join(single.select(F.col("token").alias("right"), F.col("u").alias("ur")), "right").crossJoin(F.broadcast(totals))
+    """left, right, n and pmi (bits) of pairs of neighbours, from their share of pairs and their tokens' shares of tokens. Pairs and tokens are counted once, and stored."""
+    pairs = stored(bigrams(tokens).groupBy("left", "right").agg(F.count("*").alias("n")), "pairs")
+    single = stored(token_rows(tokens).groupBy("token").agg(F.count("*").alias("u")), "tokens")
+    n_pairs, n_tokens = (float(df.agg(F.sum(c)).first()[0] or 0) for df, c in ((pairs, "n"), (single, "u")))
+    joined = pairs.join(single.select(F.col("token").alias("left"), F.col("u").alias("ul")), "left").join(single.select(F.col("token").alias("right"), F.col("u").alias("ur")), "right")
     d = lambda c: F.col(c).cast("double")
-    return joined.select("left", "right", "n", F.log2(d("n") / d("np") / (d("ul") / d("nu") * (d("ur") / d("nu")))).alias("pmi"))
+    return joined.select("left", "right", "n", F.log2(d("n") / n_pairs / (d("ul") / n_tokens * (d("ur") / n_tokens))).alias("pmi"))
 
 
 def branching_entropy(tokens: DataFrame) -> DataFrame:
     """token, and the entropy (bits) of what follows it and of what comes before."""
-    pairs = bigrams(tokens).groupBy("left", "right").agg(F.count("*").alias("n"))
+    pairs = stored(bigrams(tokens).groupBy("left", "right").agg(F.count("*").alias("n")), "pairs")
 
     def side(key: str, name: str) -> DataFrame:
-        p = F.col("n") / F.sum("n").over(Window.partitionBy(key))
-        return pairs.select(F.col(key).alias("token"), p.alias("p")).groupBy("token").agg((-F.sum(F.col("p") * F.log2("p"))).alias(name))
+        sums = pairs.groupBy(key).agg(F.sum("n").alias("all"))
+        p = F.col("n") / F.col("all")
+        return pairs.join(sums, key).groupBy(F.col(key).alias("token")).agg((-F.sum(p * F.log2(p))).alias(name))
 
     return side("left", "right_entropy").join(side("right", "left_entropy"), "token", "full")
 
 
-def parity(ours: DataFrame, theirs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Two tokenisers over the same rows (doc_id, n_tokens, n_chars): mean and maximum percent of difference in tokens, and in compression."""
+def parity(ours: DataFrame, theirs: DataFrame, by: Sequence[str] = (), seconds: tuple[float, float] | None = None) -> DataFrame:
+    """Two tokenisers over the same rows (doc_id, n_tokens, n_chars): mean and maximum percent of difference in tokens, and in compression. seconds, what each took: also speed_ratio, theirs over ours."""
     both = ours.select(*by, "doc_id", F.col("n_tokens").alias("a"), "n_chars").join(theirs.select(*by, "doc_id", F.col("n_tokens").alias("b")), [*by, "doc_id"])
     apart = F.when(F.col("b") == 0, 0.0).otherwise(F.abs(F.col("a") - F.col("b")) * 100.0 / F.col("b"))
-    return both.groupBy(*by).agg(F.avg(apart).alias("mean_token_diff"), F.max(apart).alias("max_token_diff"), (F.abs(F.sum("a") - F.sum("b")) / F.sum("n_chars")).alias("compression_diff"))
+    return both.groupBy(*by).agg(F.avg(apart).alias("mean_token_diff"), F.max(apart).alias("max_token_diff"), (F.abs(F.sum("a") - F.sum("b")) / F.sum("n_chars")).alias("compression_diff"), *([] if seconds is None else [F.lit(seconds[1] / seconds[0]).alias("speed_ratio")]))
 
 
 def model_summary(results: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ ties; so texts need a doc_id. Null texts are left out, null doc_ids come last.
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ from quillspark.model import BYTE_TOKENS, Model, SpecialTokens
 from quillspark.operators.learner import Learner
 from quillspark.sources.shared import stored
 
+logger = logging.getLogger("quillspark")
+LOG_EVERY = 500
 OPEN, CLOSE = "\x01", "\x02"
 
 
@@ -60,7 +63,7 @@ def may_merge(left: Column, right: Column, max_length: int | None = 16, spacer:
     return ok & ~F.substring(joined, 2, 1_000_000).contains(spacer) if spacer else ok
 
 
-def _learned(words: DataFrame, order: Sequence[str], merges: int, alphabet: str, langs: Sequence[str] | None, **options) -> tuple[list[tuple[str, str]], dict]:
+def _learned(words: DataFrame, order: Sequence[str], merges: int, alphabet: str, langs: Sequence[str] | None, log_every: int = 0, **options) -> tuple[list[tuple[str, str]], dict]:
     """Merges, and tokens and words by language at the end. words: (lang,) word, n; sorted into one task, which learns."""
     columns = ["word", "n"] if langs is None else ["word", "n", "lang"]
     number = None if langs is None else {x: i for i, x in enumerate(langs)}
@@ -87,7 +90,7 @@ def _learned(words: DataFrame, order: Sequence[str], merges: int, alphabet: str,
             found, codes = np.unique(codes, return_inverse=True)
             names = [chr(c) for c in found.tolist()]
         learner = Learner(names, codes.reshape(-1), *map(np.concatenate, (sizes, freq, of)), len(langs) if langs else 1, **options)
-        merges_ = learner.run(merges)
+        merges_ = learner.run(merges, log_every)
         stats = {"tokens": learner.tokens.tolist(), "words": learner.total_words.tolist()}
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps([merges_, stats])])], names=["result"])
 
@@ -98,23 +101,52 @@ def _learned(words: DataFrame, order: Sequence[str], merges: int, alphabet: str,
     return [(a, b) for a, b in found], stats
 
 
-def learn_distributed(words: DataFrame, merges: int, max_length: int | None = 16, spacer: str | None = SPACER, store_every: int = 5) -> list[tuple[str, str]]:
-    """The same merges with one job each, for word tables beyond one task's memory. Tokens stand between marks, so that a merge is one native replace; the table is written every few merges."""
-    marked = F.concat(F.lit(OPEN), F.array_join(F.split("word", ""), CLOSE + OPEN), F.lit(CLOSE))
-    words = words.filter("word <> ''").select("n", "first", marked.alias("w"))
+def learn_distributed(words: DataFrame, merges: int, max_length: int | None = 16, spacer: str | None = SPACER, store_every: int = 5, *, alphabet: str = "chars", ties: str = "first", langs: Sequence[str] | None = None, fairness: float = 0.0) -> tuple[list[tuple[str, str]], dict]:
+    """What _learned gives with one job for each merge, for word tables beyond one task's memory. Tokens stand between marks, so that a merge is one native replace; the table is written every few merges."""
+    start = F.split("word", "") if alphabet == "chars" else F.transform(F.regexp_extract_all(F.hex(F.encode("word", "UTF-8")), F.lit("(..)"), F.lit(1)), lambda h: F.concat(F.lit("<0x"), h, F.lit(">")))
+    lang = F.lit(0).alias("lang") if langs is None else F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int").alias("lang")
+    words = words.select("word", "n", F.struct(lang, F.col("first")).alias("first"), lang, F.when(F.col("word") == "", "").otherwise(F.concat(F.lit(OPEN), F.array_join(start, CLOSE + OPEN), F.lit(CLOSE))).alias("w"))
+    numbers = [0] if langs is None else list(range(1, len(langs) + 1))
+    tokens = F.when(F.col("w") == "", F.array().cast("array<string>")).otherwise(F.split(F.expr("substring(w, 2, length(w) - 2)"), CLOSE + OPEN))
+
+    def stats() -> dict:
+        found = {r["lang"]: r for r in words.groupBy("lang").agg(F.sum(F.col("n") * F.size(tokens)).alias("t"), F.sum("n").alias("n")).collect()}
+        return {"tokens": [found[k]["t"] if k in found else 0 for k in numbers], "words": [found[k]["n"] if k in found else 0 for k in numbers]}
+
     out: list[tuple[str, str]] = []
     while len(out) < merges:
         if len(out) % store_every == 0:
             words = stored(words, "words")
-        tokens = F.split(F.expr("substring(w, 2, length(w) - 2)"), CLOSE + OPEN)
-        pairs = pair_counts(words.select("n", "first", tokens.alias("tokens")))
-        best = pairs.filter(may_merge(F.col("left"), F.col("right"), max_length, spacer)).orderBy(F.desc("n"), "first").first()
+        pairs = pair_counts(words.select("n", "first", "lang", tokens.alias("tokens")), ["lang"] if fairness else ())
+        score = F.col("n")
+        if fairness:
+            now = stats()
+            fertility = [t / w if w else 0.0 for t, w in zip(now["tokens"], now["words"])]
+            pairs = pairs.groupBy("left", "right").agg(F.min("first").alias("first"), *[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in numbers])
+            score = F.lit(0.0)
+            for k, f in zip(numbers, fertility):
+                score = score + F.col(f"n{k}") * F.lit(f**fairness)
+        order = ["first"] if ties == "first" else ["left", "right"]
+        best = pairs.filter(may_merge(F.col("left"), F.col("right"), max_length, spacer)).orderBy(score.desc(), *order).first()
         if best is None:
             break
         a, b = best["left"], best["right"]
         words = words.withColumn("w", F.replace("w", F.lit(OPEN + a + CLOSE + OPEN + b + CLOSE), F.lit(OPEN + a + b + CLOSE)))
         out.append((a, b))
-    return out
+    return out, stats()
+
+
+def _learn(strategy: str, words: DataFrame, order: Sequence[str], merges: int, alphabet: str, langs: Sequence[str] | None, **options) -> tuple[list[tuple[str, str]], dict]:
+    if strategy == "distributed":
+        log = options.pop("log_every", 0)
+        options = {"max_length": None, "spacer": None} | options
+        found, stats = learn_distributed(words, merges, alphabet=alphabet, langs=langs, **options)
+        if log:
+            logger.info("%d merges", len(found))
+        return found, stats
+    if strategy != "task":
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return _learned(words, order, merges, alphabet, langs, **options)
 
 
 def _padded(tokens: list[str], size: int) -> list[str]:
@@ -127,8 +159,8 @@ def _padded(tokens: list[str], size: int) -> list[str]:
     return out
 
 
-def train_bpe(texts: DataFrame, vocab_size: int | None = None, *, n_merges: int | None = None, normalizer: NormalizerConfig | None = None, byte_fallback: bool = True, special: SpecialTokens | bool | None = None, max_token_length: int | None = 16, strategy: str = "task", seed: int | None = None) -> Model:
-    """Standard training over texts(doc_id, text). Special tokens take ids 0-3 and part of the merge budget; what is missing from vocab_size (and from 4 more with special tokens) is filled with unused tokens. An empty table gives a model without merges. n_merges sets the budget itself, without padding. seed changes nothing."""
+def train_bpe(texts: DataFrame, vocab_size: int | None = None, *, n_merges: int | None = None, normalizer: NormalizerConfig | None = None, byte_fallback: bool = True, special: SpecialTokens | bool | None = None, max_token_length: int | None = 16, strategy: str = "task", seed: int | None = None, verbose: bool = False) -> Model:
+    """Standard training over texts(doc_id, text). Special tokens take ids 0-3 and part of the merge budget; what is missing from vocab_size (and from 4 more with special tokens) is filled with unused tokens. An empty table gives a model without merges. n_merges sets the budget itself, without padding. seed changes nothing. verbose: a line on the worker's standard error every LOG_EVERY merges and at the end."""
     if vocab_size is None and n_merges is None:
         raise ValueError("vocab_size is needed")
     config = normalizer or NormalizerConfig()
@@ -137,20 +169,17 @@ def train_bpe(texts: DataFrame, vocab_size: int | None = None, *, n_merges: int
     tokens = (named.all() if named else []) + sorted(r["token"] for r in base_vocabulary(words).collect())
     tokens = list(dict.fromkeys(tokens))
     budget = max(vocab_size - len(tokens), 0) if n_merges is None else n_merges
-    if strategy == "distributed":
-        merges = learn_distributed(words, budget, max_token_length)
-    else:
-        merges, _ = _learned(words, ["first"], budget, "chars", None, max_length=max_token_length, spacer=SPACER)
+    merges, _ = _learn(strategy, words, ["first"], budget, "chars", None, max_length=max_token_length, spacer=SPACER, log_every=LOG_EVERY * verbose)
     tokens = list(dict.fromkeys(tokens + [a + b for a, b in merges]))
     return Model(tuple(_padded(tokens, 0 if n_merges is not None else vocab_size + (4 if named else 0))), tuple(merges), config, byte_fallback, named)
 
 
-def train_bpe_fast(texts: DataFrame, vocab_size: int | None = None, *, n_merges: int | None = None, normalizer: NormalizerConfig | None = None, byte_fallback: bool = True) -> Model:
+def train_bpe_fast(texts: DataFrame, vocab_size: int | None = None, *, n_merges: int | None = None, normalizer: NormalizerConfig | None = None, byte_fallback: bool = True, strategy: str = "task", verbose: bool = False) -> Model:
     """Training on byte tokens (code points without byte_fallback); ties go to the least pair, no limit of length, no padding."""
     config = normalizer or NormalizerConfig()
     words = stored(word_counts(texts, config, keep_empty=True), "words")
     start = _alphabet(words, byte_fallback)
-    merges, _ = _learned(words, ["first"], _budget(vocab_size, n_merges, start), "bytes" if byte_fallback else "chars", None, ties="lex")
+    merges, _ = _learn(strategy, words, ["first"], _budget(vocab_size, n_merges, start), "bytes" if byte_fallback else "chars", None, ties="lex", log_every=LOG_EVERY * verbose)
     return Model(tuple(start + [a + b for a, b in merges]), tuple(merges), config, byte_fallback)
 
 
@@ -178,7 +207,7 @@ class FairResult:
         return max(values) - min(values) if values else 0.0
 
 
-def train_fair_bpe(texts: DataFrame, vocab_size: int | None = None, fairness_weight: float = 0.3, *, n_merges: int | None = None, languages: Sequence[str] | None = None, normalizer: NormalizerConfig | None = None, byte_fallback: bool = True) -> FairResult:
+def train_fair_bpe(texts: DataFrame, vocab_size: int | None = None, fairness_weight: float = 0.3, *, n_merges: int | None = None, languages: Sequence[str] | None = None, normalizer: NormalizerConfig | None = None, byte_fallback: bool = True, strategy: str = "task", verbose: bool = False) -> FairResult:
     """Training over texts(lang, doc_id, text) where languages of high fertility weigh more. languages: their order, which decides ties (by name where not given). Rows of other languages, null ones too, are left out."""
     if fairness_weight < 0 or fairness_weight > 1:
         raise ValueError("fairness_weight must be between 0 and 1")
@@ -192,7 +221,7 @@ def train_fair_bpe(texts: DataFrame, vocab_size: int | None = None, fairness_wei
     order = F.array_position(F.array(*map(F.lit, langs)), F.col("lang"))
     words = stored(word_counts(texts.filter(F.col("lang").isin(langs)), config, ["lang"], keep_empty=True).withColumn("lang_ord", order), "words")
     start = _alphabet(words, byte_fallback)
-    merges, stats = _learned(words, ["lang_ord", "first"], _budget(vocab_size, n_merges, start), "bytes" if byte_fallback else "chars", langs, fairness=fairness_weight)
+    merges, stats = _learn(strategy, words, ["lang_ord", "first"], _budget(vocab_size, n_merges, start), "bytes" if byte_fallback else "chars", langs, fairness=fairness_weight, log_every=LOG_EVERY * verbose)
     everyone = sum(stats["words"]) or 1
     rows = [{"lang": x, "total_tokens": t, "total_words": w, "fertility": t / w if w else 0.0, "target_ratio": w / everyone} for x, t, w in zip(langs, stats["tokens"], stats["words"])]
     return FairResult(Model(tuple(start + [a + b for a, b in merges]), tuple(merges), config, byte_fallback), rows)

@@ -92,3 +92,55 @@ def fair(merges: int, weight: float, langs: list[str]) -> str:
 
 
 BYTES = _BYTES
+
+
+def vocabulary(merges: int) -> str:
+    """CTE voc(id, token) after trained(merges)."""
+    return f"""base AS (SELECT DISTINCT unnest(regexp_extract_all(word, '(?s).')) AS token FROM w0), allt AS (SELECT token, 0 AS part, 0 AS q FROM base UNION ALL SELECT "left" || "right", 1, rank FROM ({merges_of(merges)})), voc AS (SELECT (row_number() OVER (ORDER BY part, q, encode(token)) - 1)::INT AS id, token FROM allt)"""
+
+
+def json_string(text: str) -> str:
+    """A text as a JSON string of ASCII."""
+    u = "unicode(c)"
+    pair = f"'\\u' || format('{{:04x}}', 55296 + ({u} - 65536) // 1024) || '\\u' || format('{{:04x}}', 56320 + ({u} - 65536) % 1024)"
+    named = " ".join(f"WHEN {ord(c)} THEN '{e}'" for c, e in (('"', '\\"'), ("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")))
+    one = f"CASE {u} {named} ELSE CASE WHEN {u} BETWEEN 32 AND 126 THEN c WHEN {u} < 65536 THEN '\\u' || format('{{:04x}}', {u}) ELSE {pair} END END"
+    return f"('\"' || list_aggregate([{one} FOR c IN regexp_extract_all({text}, '(?s).')], 'string_agg', '') || '\"')"
+
+
+def hashed(merges: int, algorithm: str, version: str, normalizer: str) -> str:
+    """SHA-256 of the model's canonical JSON, its size and number of merges."""
+    m = f"""(SELECT string_agg('[' || {json_string('"left"')} || ', ' || {json_string('"right"')} || ']', ', ' ORDER BY rank) FROM ({merges_of(merges)}))"""
+    v = f"(SELECT string_agg({json_string('token')}, ', ' ORDER BY id) FROM voc)"
+    head = f"'{{\"algorithm\": \"{algorithm}\", \"byte_fallback\": true, \"merges\": {{\"merges\": ['"
+    middle = f"']}}, \"normalizer\": {normalizer}, \"version\": \"{version}\", \"vocab\": {{\"byte_fallback\": true, \"tokens\": ['"
+    return f"WITH {trained(merges)}, {vocabulary(merges)} SELECT sha256({head} || {m} || {middle} || {v} || '], \"use_special_tokens\": false}}}}') AS model_hash, (SELECT count(*) FROM voc) AS vocab_size, {merges}::BIGINT AS num_merges"
+
+
+def explained(merges: int) -> str:
+    """Every merge of every item of the benchmark: the leftmost of the lowest rank, one at a time."""
+    return f"""WITH RECURSIVE {trained(merges)}, {vocabulary(merges)},
+vl AS MATERIALIZED (SELECT list(token) AS known FROM voc),
+mm AS MATERIALIZED (SELECT list("left" || chr(1) || "right" ORDER BY rank) AS keys FROM ({merges_of(merges)})),
+b0 AS (SELECT item_id, {gpt2('text')} AS chunks FROM benchmark),
+b1 AS (SELECT item_id, unnest(chunks) AS chunk, (generate_subscripts(chunks, 1) - 1)::INT AS number FROM b0),
+b2 AS (SELECT item_id, number, regexp_extract_all({prefixed('chunk')}, '(?s).') AS chars FROM b1),
+b3 AS (SELECT item_id, number, flatten([CASE WHEN list_contains(known, c) THEN [c] ELSE ['<0x' || x || '>' FOR x IN regexp_extract_all(hex(encode(c)), '..')] END FOR c IN chars]) AS t FROM b2, vl),
+st AS (SELECT item_id, number, 0 AS step, NULL::VARCHAR AS l, NULL::VARCHAR AS r, NULL::INT AS rank, t FROM b3
+ UNION ALL SELECT item_id, number, step + 1, t[k], t[k + 1], rk, list_concat(list_concat(t[:k - 1], [t[k] || t[k + 1]]), t[k + 2:]) FROM (
+  SELECT *, list_position(x, rk) AS k FROM (SELECT *, list_min(x) AS rk FROM (SELECT st.*, [nullif(coalesce(list_position(keys, t[i] || chr(1) || t[i + 1]), 0), 0) - 1 FOR i IN range(1, len(t))]::INT[] AS x FROM st, mm)) WHERE rk IS NOT NULL))
+SELECT item_id, number AS chunk, step, coalesce(l, '') AS "left", coalesce(r, '') AS "right", coalesce(rank, -1)::INT AS rank, array_to_string(t, ' ') AS tokens FROM st"""
+
+
+def sweep(merges: int, weights: tuple[float, ...], langs: list[str]) -> str:
+    """Fertilities by language after training with each weight."""
+    count = f"len(string_split(substr(s, 2, len(s) - 2), {CLOSE} || {OPEN}))"
+    one = lambda w: f"SELECT * FROM (WITH {fair(merges, w, langs)} SELECT {float(w)}::DOUBLE AS fairness_weight, lang, sum(n * {count}) / sum(n)::DOUBLE AS fertility FROM w{merges} GROUP BY lang)"
+    return f"SELECT *, max(fertility) OVER (PARTITION BY fairness_weight) - min(fertility) OVER (PARTITION BY fairness_weight) AS fertility_gap FROM ({' UNION ALL '.join(map(one, weights))})"
+
+
+def generated(languages: list[tuple[str, list[str], list[str]]], sentences: int) -> str:
+    """Sentences by arithmetic over stems and endings."""
+    texts = lambda ws: "[" + ", ".join("'" + w + "'" for w in ws) + "]"
+    rows = ", ".join(f"('{name}', {k}, {texts(stems)}, {texts(ends)})" for k, (name, stems, ends) in enumerate(languages))
+    return f"SELECT lang, lang_ord::INT AS lang_ord, (lang_ord * {sentences} + i)::BIGINT AS doc_id, array_to_string([stems[(i * j + j) % len(stems) + 1] || ends[(i + 3 * j) % len(ends) + 1] FOR j IN range(0, 5 + i % 6)], ' ') AS text FROM (VALUES {rows}) t(lang, lang_ord, stems, ends), range({sentences}) r(i)"

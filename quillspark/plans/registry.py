@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from inspect import signature
 
@@ -11,12 +13,13 @@ from pyspark.sql import functions as F
 from quillspark.functions.normalize import NormalizerConfig, denormalize, normalize, with_spacer
 from quillspark.functions.pretokenize import SIMPLE_CODE, code_pretokenize, hybrid_code_pretokenize, normalized_chunks, pretokenize, simple_code_tokens
 from quillspark.functions.whitespace import SPACER, WS25_CLASS, WS29_CLASS, word_count, words
-from quillspark.model import Model, model_hash
+from quillspark.model import ALGORITHM, FORMAT, Model, SpecialTokens, model_hash
 from quillspark.operators import metrics as M
 from quillspark.operators.encode import count_tokens, decode, encode, encode_ids, explain_function
 from quillspark.operators.training import FairResult, base_vocabulary, may_merge, pair_counts, split_by_order, tokens_of, train_bpe, train_bpe_fast, train_fair_bpe, word_counts
 from quillspark.plans import oracle as O
-from quillspark.sources.corpus import manifest, synthetic_corpus
+from quillspark.sources.corpus import LANGUAGES, manifest, read_lines, stems_and_ends, synthetic_corpus, write_csv, write_json, write_tokens
+from quillspark.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +30,7 @@ MERGES, FAIR_MERGES, WEIGHT = 20, 6, 0.3
 #: Vocabulary size of the queries named ..._full: the same ones at the size of real work, which is beyond SQL.
 VOCAB = 10_000
 LANGS = ["de", "en", "es", "fr"]
+SWEEP = (0.0, 0.3, 0.5, 1.0)
 CONFIG = NormalizerConfig(form="NFC", spacer="PREFIX", chunking="GPT2")
 _MODELS: dict[tuple, Model] = {}
 _FAIR: dict[tuple, FairResult] = {}
@@ -54,9 +58,17 @@ def budget(size: int | None, merges: int) -> dict[str, int]:
     return {"n_merges": merges} if size is None else {"vocab_size": size}
 
 
+def state_of(spark: SparkSession, d: str) -> tuple:
+    """What tells whether a folder's documents are the same as before, in this application."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    return context.applicationId, d, files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength()
+
+
 def model_of(spark: SparkSession, d: str, size: int | None = None) -> Model:
-    """The model of a folder's documents, of MERGES merges or a vocabulary size, learned once in a session."""
-    key = (spark.sparkContext.applicationId, d, size)
+    """The model of a folder's documents, of MERGES merges or a vocabulary size, learned once in a session and for each state of the folder."""
+    key = (*state_of(spark, d), size)
     if key not in _MODELS:
         _MODELS[key] = train_bpe(docs(spark, d, "doc_id", "text"), **budget(size, MERGES), normalizer=CONFIG)
     return _MODELS[key]
@@ -209,7 +221,7 @@ def train_merges_bytes_lex(spark, d, size=None):
 
 
 def fair_of(spark, d, weight, size=None):
-    key = (spark.sparkContext.applicationId, d, weight, size)
+    key = (*state_of(spark, d), weight, size)
     if key not in _FAIR:
         _FAIR[key] = train_fair_bpe(docs(spark, d), **budget(size, FAIR_MERGES), fairness_weight=weight, languages=LANGS, normalizer=CONFIG)
     return _FAIR[key]
@@ -231,11 +243,11 @@ def fair_language_stats(spark, d, size=None):
     return spark.createDataFrame([(r["lang"], r["total_tokens"], r["total_words"], round(r["fertility"], 6), round(r["target_ratio"], 6)) for r in rows], "lang string, total_tokens bigint, total_words bigint, fertility double, target_ratio double")
 
 
-@query("fairness_sweep")
+@query("fairness_sweep", O.sweep(FAIR_MERGES, SWEEP, LANGS))
 def fairness_sweep(spark, d, size=None):
     """Weights and what they do to the languages' fertility."""
     rows = []
-    for weight in (0.0, 0.3, 0.5, 1.0):
+    for weight in SWEEP:
         result = fair_of(spark, d, weight, size)
         rows += [(weight, x["lang"], x["fertility"], result.fertility_gap()) for x in result.languages]
     return spark.createDataFrame(rows, "fairness_weight double, lang string, fertility double, fertility_gap double")
@@ -272,11 +284,11 @@ def decode_roundtrip(spark, d, size=None):
     return encoded(spark, d, size).select("doc_id", decode(F.col("tokens"), model).alias("text"))
 
 
-@query("merge_explain")
+@query("merge_explain", O.explained(MERGES))
 def merge_explain(spark, d, size=None):
-    """Every merge of every item of the benchmark, step by step."""
+    """Every merge of every item of the benchmark, step by step; step 0, before any merge, has empty sides and rank -1."""
     spark.udtf.register("qs_explain", explain_function(model_of(spark, d, size)))
-    return spark.sql("SELECT item_id, e.chunk, e.step, e.left, e.right, e.rank, array_join(e.tokens, ' ') AS tokens FROM {b} b, LATERAL qs_explain(b.text) e", b=spark.read.parquet(f"{d}/benchmark.parquet"))
+    return spark.sql("SELECT item_id, e.chunk, e.step, coalesce(e.left, '') AS left, coalesce(e.right, '') AS right, coalesce(e.rank, -1) AS rank, array_join(e.tokens, ' ') AS tokens FROM {b} b, LATERAL qs_explain(b.text) e", b=spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
 # Quality and fairness
@@ -399,6 +411,99 @@ def vocab_size_estimate(spark, d):
     return M.vocab_size_estimate(docs(spark, d, "text"))
 
 
+@query("gini_forms", f"{_REPORT}, v AS (SELECT fertility AS x, row_number() OVER (ORDER BY fertility) AS i, sum(fertility) OVER (ORDER BY fertility) AS c, count(*) OVER () AS n, sum(fertility) OVER () AS t FROM rep) SELECT round(2 * sum(i * x) / (max(n) * max(t)) - (max(n) + 1) / max(n)::DOUBLE, 6) AS by_rank, round(abs(sum((2 * i - n - 1) * x)) / (max(n) * max(t)), 6) AS by_centred_rank, round((max(n) + 1 - 2 * sum(c / t)) / max(n), 6) AS by_curve FROM v")
+def gini_forms(spark, d, size=None):
+    out = M.gini_forms(lang_report(spark, d, size), "fertility")
+    return rounded(out, *out.columns)
+
+
+_APART = "a AS (SELECT doc_id, lang, sum(len(tokens)) AS a FROM enc GROUP BY doc_id, lang)"
+
+
+@query("parity_by_lang", f"WITH {O.encoded(MERGES)}, {_APART}, b AS (SELECT doc_id, len(regexp_extract_all(text, '[^{WS25_CLASS}]+|[{WS25_CLASS}]+')) AS b, len(text) AS n FROM documents WHERE text <> ''), x AS (SELECT *, CASE WHEN b = 0 THEN 0 ELSE abs(a - b) * 100.0::DOUBLE / b END AS d FROM a JOIN b USING (doc_id)) SELECT lang, round(avg(d), 6) AS mean_token_diff, round(max(d), 6) AS max_token_diff, round(abs(sum(a) - sum(b)) / sum(n)::DOUBLE, 6) AS compression_diff FROM x GROUP BY lang")
+def parity_by_lang(spark, d, size=None):
+    """The model against chunks of white and other characters as tokens."""
+    texts = docs(spark, d).filter("text <> ''")
+    ours = texts.select("lang", "doc_id", count_tokens(F.col("text"), model_of(spark, d, size)).alias("n_tokens"), F.length("text").alias("n_chars"))
+    theirs = texts.select("lang", "doc_id", F.size(pretokenize(F.col("text"), "WHITESPACE")).alias("n_tokens"))
+    return rounded(M.parity(ours, theirs, ["lang"]), "mean_token_diff", "max_token_diff", "compression_diff")
+
+
+def file_results(spark, d, size=None):
+    """A row for each document and way of cutting it; instead of a time, which differs by run, its thousands of characters."""
+    texts = docs(spark, d, "doc_id", "text").filter("text <> ''")
+    model = model_of(spark, d, size)
+    ways = {"merges": count_tokens(F.col("text"), model), "chunks": F.size(pretokenize(F.col("text"), "GPT2")).cast("bigint"), "whitespace": F.size(pretokenize(F.col("text"), "WHITESPACE")).cast("bigint")}
+    rows = texts.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.explode(F.create_map(*[x for k, v in ways.items() for x in (F.lit(k), v)])).alias("model", "tokens"))
+    return rows.select("model", "chars", "tokens", (F.col("tokens") / F.col("chars")).alias("compression_ratio"), (F.col("chars") / 1000).alias("time_ms_median"))
+
+
+_FILES = f"{O.encoded(MERGES)}, {_APART}, fr AS (SELECT doc_id, 'merges' AS model, a AS tokens FROM a UNION ALL SELECT doc_id, 'chunks', len({O.gpt2('text')}) FROM documents UNION ALL SELECT doc_id, 'whitespace', len(regexp_extract_all(text, '[^{WS25_CLASS}]+|[{WS25_CLASS}]+')) FROM documents), fs AS (SELECT model, len(text) AS chars, tokens, tokens / len(text)::DOUBLE AS ratio, len(text) / 1000.0::DOUBLE AS ms FROM fr JOIN documents USING (doc_id) WHERE text <> ''), su AS (SELECT model, count(*) AS files, sum(chars)::BIGINT AS chars, sum(tokens)::BIGINT AS tokens, avg(ratio) AS mean_compression, median(ratio) AS median_compression, avg(ms) AS mean_ms, median(ms) AS median_ms FROM fs GROUP BY model)"
+
+
+@query("model_summary", f"WITH {_FILES} SELECT model, files, chars, tokens, round(mean_compression, 6) AS mean_compression, round(median_compression, 6) AS median_compression, round(mean_ms, 6) AS mean_ms, round(median_ms, 6) AS median_ms FROM su")
+def model_summary(spark, d, size=None):
+    return rounded(M.model_summary(file_results(spark, d, size)), "mean_compression", "median_compression", "mean_ms", "median_ms")
+
+
+@query("metric_winners", f"WITH {_FILES}, l AS (SELECT 'tokens' AS metric, tokens::DOUBLE AS value, model FROM su UNION ALL SELECT 'mean_compression', -mean_compression, model FROM su UNION ALL SELECT 'median_compression', median_compression, model FROM su) SELECT metric, arg_min(model, struct_pack(v := value, m := model)) AS winner, round(abs(min(value)), 6) AS value FROM l GROUP BY metric")
+def metric_winners(spark, d, size=None):
+    return rounded(M.winners(M.model_summary(file_results(spark, d, size)), ["tokens", "median_compression"], ["mean_compression"]), "value")
+
+
+# Bytes, special tokens, files
+
+_ASCII = Model(tuple(map(chr, range(128))), (), NormalizerConfig("NONE", "NONE"))
+
+
+@query("decode_bytes", "SELECT item_id, text FROM benchmark")
+def decode_bytes(spark, d):
+    """Characters that went through byte tokens come back."""
+    tokens = encode(F.col("text"), _ASCII)
+    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", decode(tokens, _ASCII).alias("text"))
+
+
+@query("decode_broken_bytes", "SELECT item_id, text || '?' || 'x' || '??' AS text FROM benchmark")
+def decode_broken_bytes(spark, d):
+    """A run of byte tokens that is no UTF-8 becomes a question mark for each byte."""
+    tokens = F.concat(F.split("text", ""), F.array(*map(F.lit, ("<0xC3>", "x", "<0xE4>", "<0xBD>"))))
+    return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", decode(tokens, _ASCII).alias("text"))
+
+
+@query("encode_specials", "SELECT item_id, array_to_string(list_concat(list_concat(['<BOS>'], [CASE WHEN strlen(x) = 1 THEN x ELSE array_to_string(['<0x' || h || '>' for h in regexp_extract_all(hex(encode(x)), '..')], ' ') END for x in regexp_extract_all(text, '(?s).')]), ['<EOS>', '<UNK>']), ' ') AS tokens, text AS decoded FROM benchmark")
+def encode_specials(spark, d):
+    """Special tokens inside a text are tokens of their own, and are left out of what is decoded."""
+    special = SpecialTokens()
+    model = Model((*special.all(), *_ASCII.tokens), (), NormalizerConfig("NONE", "NONE"), special=special)
+    rows = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", encode(F.concat(F.lit("<BOS>"), "text", F.lit("<EOS><UNK>")), model).alias("t"))
+    return rows.select("item_id", F.array_join("t", " ").alias("tokens"), decode(F.col("t"), model).alias("decoded"))
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("lines_roundtrip", "SELECT replace(replace(text, chr(10), ' '), chr(13), ' ') AS text FROM benchmark WHERE trim(text) <> ''")
+def lines_roundtrip(spark, d):
+    """Items of the benchmark written as lines and read back as a corpus."""
+    path = _place(spark, "lines")
+    spark.read.parquet(f"{d}/benchmark.parquet").filter("trim(text) <> ''").select(F.translate("text", "\n\r", "  ").alias("value")).write.text(path)
+    return read_lines(spark, path).select("text")
+
+
+@query("sinks_roundtrip", f"{_REPORT} SELECT 'csv' AS sink, lang, n_tokens FROM rep UNION ALL SELECT 'json', lang, n_tokens FROM rep UNION ALL SELECT 'tokens', NULL, sum(len(tokens))::BIGINT FROM enc")
+def sinks_roundtrip(spark, d, size=None):
+    """A report through the CSV and JSON sinks, and the tokens of all documents through the text sink, counted again."""
+    report = lang_report(spark, d, size).select("lang", "n_tokens")
+    csv, js, text = (_place(spark, x) for x in ("csv", "json", "tokens"))
+    write_csv(report, csv)
+    write_json(report, js)
+    write_tokens(encoded(spark, d, size).filter("text <> ''").withColumn("tokens", F.transform("tokens", lambda t: F.regexp_replace(t, "\\s", "_"))), text)
+    tokens = spark.read.text(text).agg(F.sum(F.size(F.split("value", " "))).cast("bigint").alias("n_tokens"))
+    back = spark.read.schema("lang string, n_tokens bigint")
+    return back.option("header", True).csv(csv).select(F.lit("csv").alias("sink"), "lang", "n_tokens").unionAll(back.json(js).select(F.lit("json"), "lang", "n_tokens")).unionAll(tokens.select(F.lit("tokens"), F.lit(None).cast("string"), "n_tokens"))
+
+
 # Orders and neighbours
 
 @query("train_test_split", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN i <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS part FROM r")
@@ -436,12 +541,12 @@ def branching_entropy(spark, d):
 
 # Generated text and models
 
-@query("synthetic_corpus")
+@query("synthetic_corpus", O.generated([(x, *stems_and_ends(x)) for x in LANGUAGES], 500))
 def synthetic(spark, d):
     return synthetic_corpus(spark)
 
 
-@query("model_hash")
+@query("model_hash", O.hashed(MERGES, ALGORITHM, FORMAT, json.dumps(CONFIG.to_dict(), sort_keys=True)))
 def hash_of_model(spark, d, size=None):
     model = model_of(spark, d, size)
     return spark.createDataFrame([(model_hash(model.to_dict()), len(model), len(model.merges))], "model_hash string, vocab_size bigint, num_merges bigint")

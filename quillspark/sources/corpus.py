@@ -113,7 +113,7 @@ _STEMS = (
     "neural red neuron ağ",
     "network neuronal netzwerk",
 )
-_LANGUAGES = ("English", "Spanish", "German", "Turkish")
+LANGUAGES = ("English", "Spanish", "German", "Turkish")
 _FRONT_AND_BACK = " ".join(f"l{v}k" for v in "iıuü") + " " + " ".join(f"c{v}" for v in "iıuü")
 #: Endings besides the empty one.
 _ENDS = (
@@ -125,13 +125,13 @@ _ENDS = (
 
 
 def stems_and_ends(language: str) -> tuple[list[str], list[str]]:
-    k = _LANGUAGES.index(language)
+    k = LANGUAGES.index(language)
     return [w[k] for w in (line.split() for line in _STEMS) if k < len(w)], ["", *_ENDS[k].split()]
 
 
 def synthetic_corpus(spark: SparkSession, sentences: int = 500) -> DataFrame:
     """texts(lang, lang_ord, doc_id, text): sentences of stems and endings picked by arithmetic on their numbers."""
-    table = spark.createDataFrame([(name, k, *stems_and_ends(name)) for k, name in enumerate(_LANGUAGES)], "lang string, lang_ord int, stems array<string>, ends array<string>")
+    table = spark.createDataFrame([(name, k, *stems_and_ends(name)) for k, name in enumerate(LANGUAGES)], "lang string, lang_ord int, stems array<string>, ends array<string>")
     rows = table.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(sentences - 1))))
     word = "concat(stems[(i * j + j) % size(stems)], ends[(i + j * 3) % size(ends)])"
     text = F.expr(f"array_join(transform(sequence(0, 4 + i % 6), j -> {word}), ' ')")

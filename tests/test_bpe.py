@@ -66,6 +66,36 @@ def test_distributed_training_gives_the_same_merges(spark):
     assert one == other
 
 
+@pytest.mark.parametrize("fallback", [True, False])
+def test_distributed_byte_and_fair_training_give_the_same(spark, fallback):
+    config = NormalizerConfig(chunking="GPT2")
+    one, other = (train_bpe_fast(texts_of(spark), n_merges=5, normalizer=config, byte_fallback=fallback, strategy=s) for s in ("task", "distributed"))
+    assert one == other and len(one.merges) == 5
+    rows = [("de", i, t) for i, t in enumerate(LINES)] + [("en", i, t[::-1] + " aaaa") for i, t in enumerate(LINES)] + [("en", 99, "")]
+    texts = spark.createDataFrame(rows, "lang string, doc_id bigint, text string")
+    for weight in (0.0, 0.7):
+        one, other = (train_fair_bpe(texts, fairness_weight=weight, n_merges=5, normalizer=config, byte_fallback=fallback, strategy=s) for s in ("task", "distributed"))
+        assert one == other and len(one.model.merges) == 5
+    with pytest.raises(ValueError):
+        train_bpe(texts_of(spark), n_merges=1, strategy="none")
+
+
+def test_runs_of_one_token_merge_from_the_left():
+    for n in range(1, 9):
+        learner = Learner.of([(0, ["a"] * n, 3), (0, ["b", "a", "a", "a", "b"], 1)])
+        learner.merge(("a", "a"))
+        left = [learner.names[t] for t in learner.token[learner.token >= 0]]
+        assert left == ["aa"] * (n // 2) + ["a"] * (n % 2) + ["b", "aa", "a", "b"]
+        assert learner.tokens[0] == 3 * (n - n // 2) + 4
+
+
+def test_progress_is_told(capsys):
+    learner = Learner.of([(0, list("abcabd"), 2)])
+    learner.run(3, 1)
+    told = capsys.readouterr().err
+    assert told.count("of 3 merges") == 3 and "3 merges learned" in told
+
+
 def test_byte_training(spark):
     config = NormalizerConfig(chunking="GPT2")
     model = train_bpe_fast(texts_of(spark), 256 + 25, normalizer=config)
