@@ -45,7 +45,7 @@ RADIUS = 24
 BUCKET, SMALL = 20_000, 32
 #: Share of a masked block's bits that tell texts apart, as measured, and rows for which schemes are chosen at least.
 FREE, LEAST_ROWS = 0.7, 1_000_000
-CACHE = 300_000
+CACHE = 150_000
 SIG = ["s0", "s1", "s2", "s3"]
 
 
@@ -215,7 +215,7 @@ def close_pairs(sig: np.ndarray, bounds: np.ndarray, radius: int) -> tuple[np.nd
     for m in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
         i, j = np.triu_indices(m, 1)
         own = np.flatnonzero(size == m)
-        for k in range(0, len(own), step := max(1, 500_000 // len(i))):
+        for k in range(0, len(own), step := max(1, 100_000 // len(i))):
             part = own[k : k + step]
             a, b = bounds[part][:, None] + i, bounds[part][:, None] + j
             near = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=2, dtype=np.int64) <= radius
