@@ -41,7 +41,7 @@ from quillspark.llm.common import WORD, free_name, lowered, pieces, stored
 
 BITS, WORDS = 256, 4
 #: Differing bits up to which texts are near copies.
-RADIUS = 24
+RADIUS = 28
 BUCKET, SMALL = 20_000, 32
 #: Share of a masked block's bits that tell texts apart, as measured, and rows for which schemes are chosen at least.
 FREE, LEAST_ROWS = 0.7, 1_000_000
