@@ -1,20 +1,25 @@
 """Operator 1: SimHash near-dedup by covering locality-sensitive hashing.
 
 Each text gets 256 signature bits: the signs of a sum over its distinct words, each weighted
-by the root of its count. The bits are cut into blocks. Every position of a block has a
-vector of k + 1 bits, and for each of the 2^(k+1) - 1 non-zero v a mask takes the positions
-whose vector has odd product with v. Up to k differing positions span less than k + 1
-dimensions, so some v is orthogonal to them all and its mask agrees: texts that differ in at
-most k bits of a block share a masked block, and one of b blocks has at most k of
-b(k + 1) - 1 differing bits. A Scheme has b and k such that every pair within the radius meets
-in one of its tables, by construction; pairs that meet are compared in all 256 bits and joined
-within the radius. So the result is that of comparing all pairs, whichever scheme is used: the cheapest
-for the number of rows (fewer, longer blocks have more tables, but fewer chance meetings).
-
-Texts of equal signature are one node and stay out of the components, so copies cost nothing. In a
-bucket a spanning forest of its close pairs is found (all pairs are compared, in blocks)
-instead of emitting pairs, so a bucket of thousands yields thousands of edges. A bucket of
-more than BUCKET nodes is cut into parts of that size, each pair of parts a task's. Components
+by the root of its count. The bits are cut into b blocks, and each block into k + 1 pieces.
+Of b(k + 1) - 1 differing bits one block has at most k, so one of its pieces has none: each
+row travels once for each piece, with its signature, to the rows that share the piece. There
+are about as many pieces as the radius has bits, whatever the number of rows, so what travels
+is in proportion to the rows, and nothing travels again because pieces are shared by chance.
+
+In a bucket of rows that share a piece, those with at most k differing bits in the rest of its
+block are found by covering: every position has a vector of k + 1 bits, and for each of the
+2^(k+1) - 1 non-zero v a mask takes the positions whose vector has odd product with v. Up to k
+differing positions span less than k + 1 dimensions, so some v is orthogonal to them all and
+its mask agrees. Rows that a mask doesn't tell apart are compared, in the block and then in all
+256 bits, and joined within the radius. So the result is that of comparing all pairs, whichever
+Scheme of b and k is used: the cheapest for the number of rows (fewer, longer blocks have more
+masks, but fewer chance meetings).
+
+Texts of equal signature are one node and stay out of the components, so copies cost nothing. Where
+many rows are close to each other, a spanning forest of the close pairs is found instead of
+emitting pairs, so thousands of rows yield thousands of edges. Buckets of more than BUCKET nodes
+are counted beforehand and cut into parts, each pair of parts a bucket of its own. Components
 come from alternating large-star and small-star rounds, each written to the shared folder.
 
 Results by case. Null doc_id or text, and texts without a word: in no group, and kept.
@@ -42,7 +47,9 @@ from quillspark.llm.common import WORD, free_name, lowered, pieces, stored
 BITS, WORDS = 256, 4
 #: Differing bits up to which texts are near copies.
 RADIUS = 28
-BUCKET, SMALL = 20_000, 32
+BUCKET, SMALL = 500_000, 32
+#: Rows that share a masked block up to which their pairs are listed, and pairs listed at once.
+RUN, PAIRS = 512, 300_000
 #: Share of a masked block's bits that tell texts apart, as measured, and rows for which schemes are chosen at least.
 FREE, LEAST_ROWS = 0.7, 1_000_000
 CACHE = 150_000
@@ -56,9 +63,25 @@ def masks(radius: int, bits: int) -> np.ndarray:
     return np.array([sum(1 << i for i in range(bits) if (vector[i] & v).bit_count() & 1) for v in range(1, n)], np.uint64)
 
 
+def _cut(lo: int, hi: int, parts: int) -> list[tuple[int, int]]:
+    at = [lo + (hi - lo) * k // parts for k in range(parts + 1)]
+    return list(zip(at, at[1:]))
+
+
+def _bits(sig: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Bits lo to hi (64 at most) of each signature."""
+    if lo == hi:
+        return np.zeros(len(sig), np.uint64)
+    w, shift = lo // 64, lo % 64
+    out = sig[:, w] >> np.uint64(shift)
+    if hi > 64 * (w + 1):
+        out = out | sig[:, w + 1] << np.uint64(64 - shift)
+    return out & np.uint64((1 << hi - lo) - 1)
+
+
 @dataclass(frozen=True)
 class Scheme:
-    """Blocks, and differing bits of one that its masks bear."""
+    """Blocks, and differing bits of one that its masks bear; a block has a piece more than that."""
 
     blocks: int
     block_radius: int
@@ -69,17 +92,18 @@ class Scheme:
 
     @property
     def radius(self) -> int:
-        return self.blocks * (self.block_radius + 1) - 1
+        return self.tables - 1
 
     @property
     def tables(self) -> int:
-        return self.blocks * ((2 << self.block_radius) - 1)
+        return self.blocks * (self.block_radius + 1)
 
     def cost(self, rows: int) -> float:
-        """Of a row: its keys, and those it shares by chance, which travel again with signatures, and comparisons. Texts of one language share bits: a masked block tells them apart as FREE of its bits would."""
-        kept = FREE * BITS / self.blocks * (1 << self.block_radius) / ((2 << self.block_radius) - 1)
-        met = max(rows, LEAST_ROWS) / 2.0**kept
-        return self.tables * (1 + 3 * (1 - math.exp(-met)) + 0.05 * met)
+        """Of a row: its keys, that travel, and in each bucket the masks, by which it is sorted, and the comparisons. Texts of one language share bits: a masked block tells them apart as FREE of its bits would."""
+        piece, n = BITS / self.tables, (2 << self.block_radius) - 1
+        kept = piece + self.block_radius * piece * (1 << self.block_radius) / n
+        met = max(rows, LEAST_ROWS) / 2.0 ** (FREE * kept)
+        return self.tables * (20 + n * (1 + 0.1 * met))
 
     @classmethod
     def of(cls, radius: int, rows: int) -> Scheme:
@@ -89,20 +113,30 @@ class Scheme:
         found = [cls(b, max(0, -(-(radius + 1) // b) - 1)) for b in range(WORDS, BITS + 1)]
         return min((s for s in found if s.block_radius < 12), key=lambda s: s.cost(rows))
 
+    def places(self, table: int) -> tuple[tuple[int, int], tuple[int, int]]:
+        """Bounds of the table's block and of its piece."""
+        block = _cut(0, BITS, self.blocks)[table // (self.block_radius + 1)]
+        return block, _cut(*block, self.block_radius + 1)[table % (self.block_radius + 1)]
+
     def keys(self, sig: np.ndarray) -> np.ndarray:
-        """The key of each signature in each of the tables: table number and masked block, mixed to 40 bits (equal keys of unlike blocks only cost a comparison)."""
-        cuts, out = [BITS * k // self.blocks for k in range(self.blocks + 1)], []
-        for lo, hi in zip(cuts, cuts[1:]):
-            w, shift = lo // 64, lo % 64
-            block = sig[:, w] >> np.uint64(shift)
-            if hi > 64 * (w + 1):
-                block = block | sig[:, w + 1] << np.uint64(64 - shift)
-            out.append(block[:, None] & masks(self.block_radius, hi - lo)[None, :])
-        keys = np.concatenate(out, axis=1)
-        keys *= np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(32)
-        keys *= np.uint64(0xD6E8FEB86659FD93)
-        return (keys >> np.uint64(24)) | np.arange(keys.shape[1], dtype=np.uint64)[None, :] << np.uint64(40)
+        """The key of each signature in each of the tables: table number and piece, mixed to 40 bits (equal keys of unlike pieces only cost a comparison)."""
+        keys = np.stack([_bits(sig, *self.places(t)[1]) for t in range(self.tables)], axis=1)
+        return _mixed(keys) | np.arange(self.tables, dtype=np.uint64)[None, :] << np.uint64(40)
+
+    def masks(self, table: int) -> np.ndarray:
+        """Masks over the table's block, each with the whole piece; any block_radius positions of the rest are outside one of them."""
+        (lo, hi), (a, b) = self.places(table)
+        own = masks(self.block_radius, hi - lo - (b - a))
+        low, piece = np.uint64((1 << a - lo) - 1), np.uint64((1 << b - a) - 1)
+        rest = (own & low) | piece << np.uint64(a - lo)
+        return rest | (own >> np.uint64(a - lo)) << np.uint64(b - lo) if b < hi else rest
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x >> np.uint64(24)
 
 
 class Signer:
@@ -192,26 +226,62 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield full, np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
 
 
-def forest(sig: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph of rows within the radius; every pair is compared unless already joined."""
+def forest(sig: np.ndarray, radius: int, block: np.ndarray | None = None, block_radius: int = 0) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph of rows within the radius (and, where there are blocks, within block_radius there); every pair is compared unless already joined."""
     left, edges = np.arange(len(sig)), []
     while len(left):
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             i = front.pop()
-            near = np.bitwise_count(sig[left] ^ sig[i]).sum(axis=1) <= radius
-            if near.any():
-                found = left[near].tolist()
+            at = np.arange(len(left)) if block is None else np.flatnonzero(np.bitwise_count(block[left] ^ block[i]) <= block_radius)
+            at = at[np.bitwise_count(sig[left[at]] ^ sig[i]).sum(axis=1) <= radius]
+            if len(at):
+                found = left[at].tolist()
                 edges += [(i, j) for j in found]
                 front += found
-                left = left[~near]
+                left = np.delete(left, at)
     return edges
 
 
-def close_pairs(sig: np.ndarray, bounds: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of pairs within the radius in the buckets between bounds: enough of them to connect all that are. Buckets of equal size up to SMALL are compared together."""
+def covered_pairs(sig: np.ndarray, block: np.ndarray, covers: np.ndarray, block_radius: int, radius: int) -> np.ndarray:
+    """Row numbers (two columns) of pairs within the radius, and within block_radius in the block, whose blocks agree under one of the masks: enough of them to connect all that are."""
+    found = []
+    for cover in covers:
+        masked = block & cover
+        order = np.argsort(masked)
+        masked = masked[order]
+        starts = np.flatnonzero(np.concatenate([[True], masked[1:] != masked[:-1]]))
+        size = np.diff(np.append(starts, len(order)))
+        for k in np.flatnonzero(size > RUN).tolist():
+            own = order[starts[k] : starts[k] + size[k]]
+            if pairs := forest(sig[own], radius, block[own], block_radius):
+                found.append(own[np.array(pairs)])
+        few = np.flatnonzero((size > 1) & (size <= RUN))
+        work = np.cumsum(size[few] * (size[few] - 1) // 2)
+        for runs in np.split(few, np.searchsorted(work, np.arange(PAIRS, int(work[-1]) if len(work) else 0, PAIRS))):
+            n = size[runs]
+            run, ends = np.repeat(np.arange(len(runs)), n), np.cumsum(n)
+            row = order[np.arange(len(run)) + np.repeat(starts[runs] - ends + n, n)]
+            later = ends[run] - np.arange(len(run)) - 1
+            a = np.repeat(np.arange(len(run)), later)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+            own = block[row]
+            near = np.flatnonzero(np.bitwise_count(own[a] ^ own[b]) <= block_radius)
+            a, b = a[near], b[near]
+            near = np.bitwise_count(sig[row[a]] ^ sig[row[b]]).sum(axis=1) <= radius
+            a, b = a[near], b[near]
+            full = (n > SMALL) & (np.bincount(run[a], minlength=len(runs)) >= n)  # more than a tree needs
+            for k in np.flatnonzero(full).tolist():
+                dense = row[ends[k] - n[k] : ends[k]]
+                found.append(dense[np.array(forest(sig[dense], radius, block[dense], block_radius))])
+            loose = ~full[run[a]]
+            found.append(np.stack([row[a[loose]], row[b[loose]]], axis=1))
+    return np.concatenate([np.zeros((0, 2), np.int64), *found])
+
+
+def close_pairs(keys: np.ndarray, sig: np.ndarray, bounds: np.ndarray, radius: int, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs within the radius in the buckets between bounds: enough of them to connect all that the buckets' tables guarantee. Buckets of equal size up to SMALL are compared together."""
     size, left, right = np.diff(bounds), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    many = np.flatnonzero(size > SMALL).tolist()
     for m in np.unique(size[(size > 1) & (size <= SMALL)]).tolist():
         i, j = np.triu_indices(m, 1)
         own = np.flatnonzero(size == m)
@@ -219,76 +289,78 @@ def close_pairs(sig: np.ndarray, bounds: np.ndarray, radius: int) -> tuple[np.nd
             part = own[k : k + step]
             a, b = bounds[part][:, None] + i, bounds[part][:, None] + j
             near = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=2, dtype=np.int64) <= radius
-            full = near.sum(axis=1) >= m  # more than a tree needs
-            many += part[full].tolist()
-            near[full] = False
             left.append(a[near])
             right.append(b[near])
-    for k in many:
-        if pairs := forest(sig[bounds[k] : bounds[k + 1]], radius):
-            at = np.array(pairs) + bounds[k]
-            left.append(at[:, 0])
-            right.append(at[:, 1])
+    large = np.repeat(size > SMALL, size)
+    tables = keys >> 40
+    for table in np.unique(tables[large]).tolist():  # masks tell the buckets of a table apart
+        own = np.flatnonzero(large & (tables == table))
+        pairs = own[covered_pairs(sig[own], _bits(sig[own], *scheme.places(table)[0]), scheme.masks(table), scheme.block_radius, radius)]
+        left.append(pairs[:, 0])
+        right.append(pairs[:, 1])
     return np.concatenate(left), np.concatenate(right)
 
 
-def edges(nodes: DataFrame, radius: int = RADIUS, scheme: Scheme | None = None) -> DataFrame:
-    """Pairs (a, b) of nodes(node, signature) within the radius: enough of them to connect all that are."""
-    scheme = scheme or Scheme.of(radius, nodes.count())
-    if scheme.radius < radius:
-        raise ValueError(f"tables that guarantee {scheme.radius} bits don't find all pairs within {radius}")
-    part = BUCKET
+def large_buckets(nodes: DataFrame, scheme: Scheme) -> dict[int, int]:
+    """Parts of each bucket of more than BUCKET nodes, by key: at most rows / BUCKET buckets of each table."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            more, m = np.unique(scheme.keys(_sigs(batch, 0)), return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, m]), len(keys)).astype(np.int64)
+            if len(keys) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+                keys, n = keys[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    sums = nodes.select(*SIG).mapInArrow(counted, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return {r.key: -(-r.n // BUCKET) for r in sums.filter(F.col("n") > BUCKET).collect()}
+
+
+def keyed(nodes: DataFrame, scheme: Scheme, parts: dict[int, int]) -> DataFrame:
+    """A row (key, node, signature) for each node and table; in a bucket that has parts, one for each pair of parts that the node's part is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        large = np.array(sorted(parts), np.int64).view(np.uint64)
+        number = np.array([parts[k] for k in sorted(parts)], np.int64)
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)
-                keys = scheme.keys(_sigs(batch, 1))
-                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "node"])
+                nodes, sig = batch.column(0).to_numpy(zero_copy_only=False), _sigs(batch, 1)
+                keys = scheme.keys(sig)
+                row, keys = np.repeat(np.arange(len(sig)), keys.shape[1]), keys.reshape(-1)
+                if len(large):
+                    at = np.minimum(np.searchsorted(large, keys), len(large) - 1)
+                    n = np.where(large[at] == keys, number[at], 1)
+                    other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    row, keys, n = (np.repeat(x, n) for x in (row, keys, n))
+                    own = _mixed(nodes.view(np.uint64))[row].astype(np.int64) % n
+                    pair = np.minimum(own, other) * n + np.maximum(own, other)
+                    cut = _mixed(keys ^ _mixed(pair.astype(np.uint64) + np.uint64(1))) | keys >> np.uint64(40) << np.uint64(40)
+                    keys = np.where(n > 1, cut, keys)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[row]), *(pa.array(sig[row, w].view(np.int64)) for w in range(WORDS))], names=["key", "node", *SIG])
+
+    return nodes.select("node", *SIG).mapInArrow(run, "key bigint, node bigint, " + ", ".join(f"{s} bigint" for s in SIG))
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose key another row has too, with the number of their part of the bucket; of each key all that is held is its count so far and its first row."""
-        now, seen, first = None, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(2))
-            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-            size = np.diff(np.append(starts, len(keys)))
-            rank = np.arange(len(keys)) - np.repeat(starts, size)
-            goes_on = now is not None and keys[0] == now
-            if goes_on:
-                rank[: size[0]] += seen
-            keep = np.repeat(size > 1, size)
-            late = goes_on and seen == 1  # its first row was held back
-            if goes_on:
-                keep[: size[0]] = True
-            if size[-1] == 1 and not (goes_on and len(starts) == 1):
-                keep[-1] = False
-            out = [keys[keep], ids[keep], rank[keep] // part]
-            if late:
-                out = [np.concatenate([[x], y]) for x, y in zip((now, first, 0), out)]
-            seen = int(size[-1]) + (seen if goes_on and len(starts) == 1 else 0)
-            now, first = keys[-1], ids[-1] if seen == 1 else first
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["key", "node", "part"])
+
+def edges(nodes: DataFrame, radius: int = RADIUS, scheme: Scheme | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes(node, signature) within the radius: enough of them to connect all that are."""
+    rows = nodes.count()
+    scheme = scheme or Scheme.of(radius, rows)
+    if scheme.radius < radius:
+        raise ValueError(f"tables that guarantee {scheme.radius} bits don't find all pairs within {radius}")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in _by_key(batches):
             ids, sig = batch.column(1).to_numpy(zero_copy_only=False), _sigs(batch, 2)
-            i, j = close_pairs(sig, bounds, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
-
-    def sorted_by_key(df: DataFrame) -> DataFrame:
-        return df.repartition("key").sortWithinPartitions("key")
-
-    keys = sorted_by_key(nodes.select("node", *SIG).mapInArrow(keyed, "key bigint, node bigint"))
-    met = stored(keys.mapInArrow(shared, "key bigint, node bigint, part bigint"), "met")
-    parts = met.filter("part > 0").groupBy(F.col("key").alias("hot")).agg(F.max("part").alias("last"))
-    met = met.join(parts, met["key"] == parts["hot"], "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))))
-    met = met.select("node", F.when(F.col("last").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))).alias("key"))
-    pairs = sorted_by_key(met.join(nodes, "node").select("key", "node", *SIG)).mapInArrow(joined, "a bigint, b bigint")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+            i, j = close_pairs(batch.column(0).to_numpy(zero_copy_only=False), sig, bounds, radius, scheme)
+            pairs = np.unique(np.sort(np.stack([ids[i], ids[j]], axis=1), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    keys = keyed(nodes, scheme, large_buckets(nodes, scheme) if rows > BUCKET else {})
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(joined, "a bigint, b bigint").filter("a < b").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:

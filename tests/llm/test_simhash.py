@@ -132,3 +132,79 @@ def test_thousands_of_copies_and_a_chain(spark):
         rows.append((5000 + i, " ".join(chain)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert S.keep_one(docs).count() == 1
+
+
+def test_rows_travel_once_for_each_bit_of_the_radius(spark):
+    """However many rows there are, and however many share a key by chance."""
+    for rows in (10, 10**6, 3 * 10**6, 15 * 10**6, 10**9):
+        scheme = S.Scheme.of(28, rows)
+        assert 29 <= scheme.tables <= 33 and scheme.radius >= 28
+        assert S.keyed(skewed_nodes(spark, skewed(200)), scheme, {}).count() == 200 * scheme.tables
+
+
+def skewed(n):
+    """Signatures of which most share most pieces, with near copies, chains of these and thick groups."""
+    rng = np.random.default_rng(n)
+    bits = rng.random((n, 256)) < np.where(rng.random(256) < 0.5, 0.06, 0.3)
+    for i in range(n // 2, n):
+        bits[i] = bits[int(rng.integers(0, i if i % 3 else 4))]
+        bits[i] ^= rng.random(256) < rng.choice([0.01, 0.05, 0.1])
+    return np.packbits(bits, axis=1).view("<u8").astype(np.uint64)
+
+
+def skewed_nodes(spark, sig):
+    return spark.createDataFrame([(i, *(int(x) for x in v.view(np.int64))) for i, v in enumerate(sig)], "node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint").repartition(3)
+
+
+def joined(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return [find(i) for i in range(n)]
+
+
+def all_close(sig, radius):
+    return [(int(i), int(j)) for i in range(len(sig)) for j in np.flatnonzero(np.bitwise_count(sig ^ sig[i]).sum(axis=1) <= radius) if i < j]
+
+
+@pytest.mark.parametrize("run, pairs", [(512, 300_000), (8, 50)])
+@pytest.mark.parametrize("scheme", [S.Scheme(6, 4), S.Scheme(5, 5), S.Scheme(10, 2), S.Scheme(29, 0), S.Scheme(4, 7)])
+def test_full_buckets_are_those_of_all_pairs(monkeypatch, scheme, run, pairs):
+    for name, value in (("RUN", run), ("PAIRS", pairs)):
+        monkeypatch.setattr(S, name, value)
+    sig = skewed(1200)
+    keys, found, large = scheme.keys(sig), [], 0
+    for t in range(scheme.tables):
+        (lo, hi), (a, b) = scheme.places(t)
+        assert all(int(m) >> (a - lo) & (1 << b - a) - 1 == (1 << b - a) - 1 and int(m) < 1 << hi - lo for m in scheme.masks(t))
+        order = np.argsort(keys[:, t])
+        own = keys[order, t]
+        bounds = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
+        large = max(large, int(np.diff(bounds).max()))
+        i, j = S.close_pairs(own.view(np.int64), sig[order], bounds, 28, scheme)
+        found += zip(order[i].tolist(), order[j].tolist())
+    close = all_close(sig, 28)
+    assert large > S.SMALL and set(map(tuple, map(sorted, found))) <= set(close)
+    assert joined(1200, found) == joined(1200, close)
+
+
+def test_large_buckets_are_cut_into_pairs_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET", 40)
+    sig = skewed(500)
+    nodes = skewed_nodes(spark, sig)
+    scheme = S.Scheme.of(28, 500)
+    parts = S.large_buckets(nodes, scheme)
+    keys, counts = np.unique(scheme.keys(sig).view(np.int64), return_counts=True)
+    assert parts == {k: -(-n // 40) for k, n in zip(keys.tolist(), counts.tolist()) if n > 40} and max(parts.values()) > 3
+    sizes = S.keyed(nodes, scheme, parts).groupBy("key").count().toPandas()["count"]
+    assert sizes.max() < counts.max()
+    found = [(r.a, r.b) for r in S.edges(nodes).collect()]
+    assert joined(500, found) == joined(500, all_close(sig, 28))
