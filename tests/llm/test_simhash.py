@@ -208,3 +208,18 @@ def test_large_buckets_are_cut_into_pairs_of_parts(spark, monkeypatch):
     assert sizes.max() < counts.max()
     found = [(r.a, r.b) for r in S.edges(nodes).collect()]
     assert joined(500, found) == joined(500, all_close(sig, 28))
+
+
+def test_comparisons_are_those_that_masks_leave(monkeypatch):
+    """A bucket of many rows isn't compared in pairs, nor a row met by chance in all 256 bits."""
+    rng = np.random.default_rng(8)
+    scheme = S.Scheme(6, 4)
+    (lo, hi), (a, b) = scheme.places(0)
+    sig = rng.integers(0, 2**63, (4000, 4), dtype=np.uint64)
+    sig[:, 0] &= ~np.uint64((1 << b) - (1 << a))  # one bucket
+    sig[3000:] = sig[:1000] ^ np.uint64(1) << np.uint64(b + 3)
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(S.np, "bitwise_count", lambda x: (compared.append(len(x)) if x.ndim == 2 else None, count(x))[1])
+    pairs = S.covered_pairs(sig, S._bits(sig, lo, hi), scheme.masks(0), 4, 28)
+    assert set(map(tuple, np.sort(pairs, axis=1).tolist())) == {(i, 3000 + i) for i in range(1000)}
+    assert sum(compared) < 100_000 < 4000 * 3999 // 2
