@@ -16,9 +16,10 @@ its mask agrees. Rows that a mask doesn't tell apart are compared, in the block
 Scheme of b and k is used: the cheapest for the number of rows (fewer, longer blocks have more
 masks, but fewer chance meetings).
 
-Texts of equal signature are one node and stay out of the components, so copies cost nothing. Where
-many rows are close to each other, a spanning forest of the close pairs is found instead of
-emitting pairs, so thousands of rows yield thousands of edges. Buckets of more than BUCKET nodes
+Texts of equal signature are one node and stay out of the components, so copies cost nothing. Rows
+that one mask has joined aren't compared under the next, and of the close pairs of a bucket only
+links to the least node of each component are emitted, so thousands of rows yield thousands of edges,
+mostly the same from each table. Buckets of more than BUCKET nodes
 are counted beforehand and cut into parts, each pair of parts a bucket of its own. Components
 come from alternating large-star and small-star rounds, each written to the shared folder.
 
@@ -243,20 +244,44 @@ def forest(sig: np.ndarray, radius: int, block: np.ndarray | None = None, block_
     return edges
 
 
+def joined_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row of each row's component, from those before (root) and links a to b."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+
+
+def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from the least node of each component of the pairs to its other nodes: the same from many buckets."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = joined_roots(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[other]], nodes[other]
+
+
 def covered_pairs(sig: np.ndarray, block: np.ndarray, covers: np.ndarray, block_radius: int, radius: int) -> np.ndarray:
-    """Row numbers (two columns) of pairs within the radius, and within block_radius in the block, whose blocks agree under one of the masks: enough of them to connect all that are."""
-    found = []
+    """Row numbers (two columns) of pairs within the radius, and within block_radius in the block, whose blocks agree under one of the masks: enough of them to connect all that are. Rows that one mask has joined aren't compared under the next."""
+    found, root = [np.zeros((0, 2), np.int64)], np.arange(len(sig))
     for cover in covers:
         masked = block & cover
         order = np.argsort(masked)
         masked = masked[order]
         starts = np.flatnonzero(np.concatenate([[True], masked[1:] != masked[:-1]]))
         size = np.diff(np.append(starts, len(order)))
-        for k in np.flatnonzero(size > RUN).tolist():
+        before, own = len(found), root[order]
+        apart = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts) if len(own) else size > 1
+        for k in np.flatnonzero(apart & (size > RUN)).tolist():
             own = order[starts[k] : starts[k] + size[k]]
             if pairs := forest(sig[own], radius, block[own], block_radius):
                 found.append(own[np.array(pairs)])
-        few = np.flatnonzero((size > 1) & (size <= RUN))
+        few = np.flatnonzero(apart & (size <= RUN))
         work = np.cumsum(size[few] * (size[few] - 1) // 2)
         for runs in np.split(few, np.searchsorted(work, np.arange(PAIRS, int(work[-1]) if len(work) else 0, PAIRS))):
             n = size[runs]
@@ -267,6 +292,7 @@ def covered_pairs(sig: np.ndarray, block: np.ndarray, covers: np.ndarray, block_
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
             own = block[row]
             near = np.flatnonzero(np.bitwise_count(own[a] ^ own[b]) <= block_radius)
+            near = near[root[row[a[near]]] != root[row[b[near]]]]
             a, b = a[near], b[near]
             near = np.bitwise_count(sig[row[a]] ^ sig[row[b]]).sum(axis=1) <= radius
             a, b = a[near], b[near]
@@ -276,7 +302,10 @@ def covered_pairs(sig: np.ndarray, block: np.ndarray, covers: np.ndarray, block_
                 found.append(dense[np.array(forest(sig[dense], radius, block[dense], block_radius))])
             loose = ~full[run[a]]
             found.append(np.stack([row[a[loose]], row[b[loose]]], axis=1))
-    return np.concatenate([np.zeros((0, 2), np.int64), *found])
+        if len(found) > before:
+            new = np.concatenate(found[before:])
+            root = joined_roots(root, new[:, 0], new[:, 1])
+    return np.concatenate(found)
 
 
 def close_pairs(keys: np.ndarray, sig: np.ndarray, bounds: np.ndarray, radius: int, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
@@ -346,7 +375,7 @@ def keyed(nodes: DataFrame, scheme: Scheme, parts: dict[int, int]) -> DataFrame:
 
 
 def edges(nodes: DataFrame, radius: int = RADIUS, scheme: Scheme | None = None) -> DataFrame:
-    """Pairs (a, b) of nodes(node, signature) within the radius: enough of them to connect all that are."""
+    """Links (a, b) of nodes(node, signature) that have the components of all pairs within the radius; two nodes linked may be further apart, joined by others."""
     rows = nodes.count()
     scheme = scheme or Scheme.of(radius, rows)
     if scheme.radius < radius:
@@ -356,8 +385,8 @@ def edges(nodes: DataFrame, radius: int = RADIUS, scheme: Scheme | None = None)
         for batch, bounds in _by_key(batches):
             ids, sig = batch.column(1).to_numpy(zero_copy_only=False), _sigs(batch, 2)
             i, j = close_pairs(batch.column(0).to_numpy(zero_copy_only=False), sig, bounds, radius, scheme)
-            pairs = np.unique(np.sort(np.stack([ids[i], ids[j]], axis=1), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            a, b = star(ids[i], ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     keys = keyed(nodes, scheme, large_buckets(nodes, scheme) if rows > BUCKET else {})
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(joined, "a bigint, b bigint").filter("a < b").distinct()

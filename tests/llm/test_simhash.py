@@ -223,3 +223,45 @@ def test_comparisons_are_those_that_masks_leave(monkeypatch):
     pairs = S.covered_pairs(sig, S._bits(sig, lo, hi), scheme.masks(0), 4, 28)
     assert set(map(tuple, np.sort(pairs, axis=1).tolist())) == {(i, 3000 + i) for i in range(1000)}
     assert sum(compared) < 100_000 < 4000 * 3999 // 2
+
+
+def variants(texts, each):
+    """Signatures of which so many are a few bits from one another, as in a table of edited copies."""
+    rng = np.random.default_rng(texts)
+    sig = np.repeat(rng.integers(0, 2**63, (texts, 4), dtype=np.uint64), each, axis=0)
+    for _ in range(5):
+        bit = rng.integers(0, 256, len(sig))
+        sig[np.arange(len(sig)), bit // 64] ^= np.uint64(1) << (bit % 64).astype(np.uint64)
+    return sig
+
+
+def test_near_copies_are_compared_under_one_mask(monkeypatch):
+    """A pair that one mask has joined isn't compared under the others."""
+    sig, scheme, compared, count = variants(100, 12), S.Scheme(6, 4), [], np.bitwise_count
+    (lo, hi), (a, b) = scheme.places(0)
+    sig[:, 0] &= ~np.uint64((1 << b) - (1 << a))  # one bucket
+    monkeypatch.setattr(S.np, "bitwise_count", lambda x: (compared.append(len(x)) if x.ndim == 2 else None, count(x))[1])
+    pairs = S.covered_pairs(sig, S._bits(sig, lo, hi), scheme.masks(0), 4, 28)
+    monkeypatch.undo()
+    assert joined(1200, pairs.tolist()) == joined(1200, all_close(sig, 28)) == [i // 12 * 12 for i in range(1200)]
+    assert sum(compared) <= 100 * 66 and len(pairs) <= 100 * 66  # the pairs there are
+
+
+def test_near_copies_are_linked_by_few_rows(spark):
+    """What goes to the components is in proportion to the rows, not to the pairs."""
+    sig = variants(50, 30)
+    found = [(r.a, r.b) for r in S.edges(skewed_nodes(spark, sig)).collect()]
+    assert joined(1500, found) == joined(1500, all_close(sig, 28)) == [i // 30 * 30 for i in range(1500)]
+    assert len(found) < 10 * 1500 < 50 * 30 * 29 // 2
+
+
+def test_stars_have_the_components_of_the_pairs():
+    rng = np.random.default_rng(9)
+    for n, links in ((0, 0), (1, 3), (40, 25), (300, 200), (300, 2000)):
+        a, b = rng.integers(0, max(1, n), (2, links))
+        if n == 40:
+            a, b = np.arange(40, 1, -1), np.arange(39, 0, -1)  # a chain
+        x, y = S.star(a, b)
+        pairs = list(zip(x.tolist(), y.tolist()))
+        assert joined(n + 1, pairs) == joined(n + 1, zip(a.tolist(), b.tolist()))
+        assert len(set(y.tolist())) == len(y) and not set(x.tolist()) & set(y.tolist()) and (x < y).all()
