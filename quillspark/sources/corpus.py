@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.whitespace import strip, word_count
@@ -138,9 +138,9 @@ def synthetic_corpus(spark: SparkSession, sentences: int = 500) -> DataFrame:
     return rows.select("lang", "lang_ord", (F.col("lang_ord") * sentences + F.col("i")).cast("bigint").alias("doc_id"), text.alias("text"))
 
 
-def write_tokens(encoded: DataFrame, path: str) -> None:
-    """A line of tokens between spaces for each row."""
-    encoded.select(F.array_join("tokens", " ").alias("value")).write.mode("overwrite").text(path)
+def write_tokens(encoded: DataFrame, path: str, line: Column | None = None) -> None:
+    """A line of tokens between spaces for each row. line: the lines, where there are no tokens."""
+    encoded.select((F.array_join("tokens", " ") if line is None else line).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_csv(results: DataFrame, path: str) -> None:
