@@ -34,6 +34,12 @@ def corpus(spark, tmp_path_factory):
     return d, con
 
 
+@pytest.mark.parametrize("name", ["fair_language_stats", "fairness_sweep"])
+def test_empty_texts_count_as_in_the_sql(spark, corpus, name):
+    d, con = corpus
+    assert rows(R.QUERIES[name](spark, d).toPandas()) == rows(con.execute(R.ORACLE_SQL[name]).df())
+
+
 @pytest.mark.parametrize("name", ["token_class", "top_tokens", "token_stats", "vocab_utilization", "fertility_by_lang", "coverage_by_lang", "encode_tokens", "encode_ids", "sinks_roundtrip"])
 def test_pooled_and_encoded_queries_equal_their_sql(spark, corpus, name):
     d, con = corpus
